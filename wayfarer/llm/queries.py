@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfarer.llm import bpe, decontaminate
+from wayfarer.llm import bpe, decontaminate, langid
 from wayfarer.llm._shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,14 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learned from two thirds of the documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", langid.held_out(F.col("doc_id"), 3, 1).alias("held_out"))
+    filters = langid.train(docs.where("NOT held_out"))
+    return langid.predict(docs.select("doc_id", "text", "held_out"), filters).select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that lie in a window of ten words of a benchmark item, and the items."""
