@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfarer.llm import bpe, decontaminate, langid
+from wayfarer.llm import bpe, decontaminate, langid, lm
 from wayfarer.llm._shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids=False, digests=True)
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PPM and word unigram scores of every whole text, learned from nine tenths of the documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", langid.held_out(F.col("doc_id"), 10, 0).alias("held_out"))
+    model = lm.train(docs.where("NOT held_out"))
+    return lm.score_with_unigrams(docs, model)
