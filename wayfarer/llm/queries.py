@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfarer.llm import bpe, decontaminate, langid, lm
+from wayfarer.llm import bpe, decontaminate, langid, linededup, lm
 from wayfarer.llm._shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,45 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+@query
+def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the later copies of repeated runs of lines that hold ten words or more."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
+
+
+ORACLE_SQL["op8_linededup"] = """
+WITH l AS (
+  SELECT doc_id, i, line, line_words,
+         sum(line_words) OVER (PARTITION BY doc_id ORDER BY i) AS upto
+  FROM (SELECT doc_id, i, lines[i] AS line,
+               len(list_filter(regexp_split_to_array(lines[i], '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS line_words
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i
+              FROM documents WHERE text IS NOT NULL))
+),
+w AS (
+  SELECT a.doc_id, a.i AS s, min(b.i) AS e FROM l a JOIN l b ON b.doc_id = a.doc_id AND b.i >= a.i AND b.upto - a.upto + a.line_words >= 10 GROUP BY ALL
+  UNION
+  SELECT b.doc_id, max(a.i) AS s, b.i AS e FROM l a JOIN l b ON b.doc_id = a.doc_id AND b.i >= a.i AND b.upto - a.upto + a.line_words >= 10 GROUP BY b.doc_id, b.i
+),
+t AS (
+  SELECT w.doc_id, s, e, array_to_string(list_slice(string_split(text, chr(10)), s, e), chr(10)) AS run
+  FROM w JOIN documents d ON d.doc_id = w.doc_id
+),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS i
+  FROM (SELECT *, row_number() OVER (PARTITION BY e - s, run ORDER BY doc_id, s) AS copy FROM t) WHERE copy > 1
+),
+g AS (SELECT doc_id, list(i) AS cut FROM gone GROUP BY doc_id)
+SELECT d.doc_id,
+       CASE WHEN cut IS NULL THEN text
+            ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(string_split(text, chr(10))) + 1), lambda x: NOT list_contains(cut, x)), lambda x: string_split(text, chr(10))[x]), chr(10)), '') END AS text,
+       CAST(CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS BIGINT) AS n_lines,
+       CAST(coalesce(len(cut), 0) AS BIGINT) AS n_removed
+FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
+
+
 @query
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PPM and word unigram scores of every whole text, learned from nine tenths of the documents."""
