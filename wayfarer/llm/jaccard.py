@@ -1,0 +1,246 @@
+"""N-gram Jaccard join with a token-group matrix.
+
+Documents become sets of hashed word shingles; equal sets are one class.
+Two sets link if 100 * |A and B| >= threshold * |A or B|.
+
+1. A fixed order of tokens (``common`` ones last, then by hash) gives each set
+   a prefix of |A| - ceil(t|A|) + 1 tokens; two sets that link share a token of
+   their prefixes.  Which tokens count as common changes the work only, never
+   the links: they are those most frequent within tasks, at most
+   ``COMMON`` of them, and their list is what is broadcast.
+2. Sets that share a prefix token are compared with the smallest of that
+   token's list, and those that link are partitioned into groups (components).
+3. The token-group matrix holds the union of the tokens of each group, cut into
+   parts of at most ``PART`` members.  Sets that share a prefix token with
+   another group query it: |Q and T| bounds the overlap with every member, and
+   only the parts of groups that reach ceil(t|Q|) are opened, their members
+   compared one by one.
+
+Sets of a group are never compared pair by pair among themselves, as they are
+connected already; every pair of different groups that can link is decided, so
+the components are exact.
+
+Edge cases: null and empty texts have no shingles and stand alone; a text of
+fewer words than a shingle has one shingle, the whole sequence; repeated rows
+and equal sets are one class; a null key belongs to no class and gets itself.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from wayfarer.llm._shared import written
+from wayfarer.llm._text import SPACED, blocks, hashed_words, mix, run_hashes
+from wayfarer.llm.components import components
+
+#: Tokens that are put last in the order: at most so many, which a task has met in so many sets.
+COMMON, OFTEN = 1 << 17, 12
+#: Members in a part of a group.
+PART = 64
+_TOP = np.uint64(1) << np.uint64(63)
+
+
+def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes (63 bits) of each text."""
+    words, bounds = hashed_words(column, SPACED)
+    runs = run_hashes(words, k) >> np.uint64(1)
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if b - a >= k:
+            out.append(np.unique(runs[a : b - k + 1]))
+        elif b > a:
+            out.append(run_hashes(words[a:b], b - a) >> np.uint64(1))
+        else:
+            out.append(np.zeros(0, np.uint64))
+    return out
+
+
+def _signature(tokens: np.ndarray) -> int:
+    """64 bits of a set, whatever the order of its tokens."""
+    return int(mix(mix(tokens).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(tokens)))[0].astype(np.int64))
+
+
+def _least(n: np.ndarray | int, percent: int):
+    """The smallest overlap with which a set of n tokens can link: ceil(percent * n / 100)."""
+    return -(-n * percent // 100)
+
+
+def _links(both, n, m, percent: int):
+    return 100 * both >= percent * (n + m - both)
+
+
+def _ordered(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Tokens in the order of prefixes: the top bit set on common ones."""
+    if len(common):
+        at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+        tokens = np.sort(np.where(common[at] == tokens, tokens | _TOP, tokens))
+    return tokens
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """``key`` (long), ``n_shingles``, ``component_id`` (smallest key reachable by links) and ``n_links`` checked."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in blocks(batches, "text"):
+            found = shingle_sets(part.column("text"), k)
+            yield pa.RecordBatch.from_pydict({"key": part.column("key"), "n": np.array([len(x) for x in found], np.int64), "sig": pa.array([_signature(x) if len(x) else None for x in found], pa.int64())})
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met, held, size = set(), [], 0
+        for part in blocks(batches, "text"):
+            for x in shingle_sets(part.column("text"), k):
+                if len(x) and (s := _signature(x)) not in met:
+                    met.add(s)
+                    held.append(x)
+                    size += len(x)
+            if size > 3_000_000:
+                yield _often(held)
+                held, size = [], 0
+        if held:
+            yield _often(held)
+
+    def _often(held: list[np.ndarray]) -> pa.RecordBatch:
+        tokens, n = np.unique(np.concatenate(held), return_counts=True)
+        many = n >= OFTEN
+        return pa.RecordBatch.from_pydict({"token": tokens[many].astype(np.int64), "n": n[many]})
+
+    seen = written(rows.mapInArrow(sets, "key bigint, n bigint, sig bigint"), "sets")
+    classes = seen.where("n > 0").groupBy("n", "sig").agg(F.min("key").alias("class"))
+    common = rows.mapInArrow(frequent, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(COMMON)
+    last = spark.sparkContext.broadcast(np.sort(common.select("token").toArrow()["token"].to_numpy().astype(np.uint64)))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = set()
+        for part in blocks(batches, "text"):
+            tokens, sigs, sizes = [], [], []
+            for x in shingle_sets(part.column("text"), k):
+                n = len(x)
+                if not n or (s := _signature(x)) in met:
+                    continue
+                met.add(s)
+                tokens.append(_ordered(x, last.value)[: n - _least(n, percent) + 1])
+                sigs.append(s)
+                sizes.append(n)
+            if tokens:
+                lengths = [len(x) for x in tokens]
+                yield pa.RecordBatch.from_pydict({"token": np.concatenate(tokens).view(np.int64), "sig": np.repeat(np.array(sigs, np.int64), lengths), "n": np.repeat(np.array(sizes, np.int32), lengths)})
+
+    posted = rows.mapInArrow(prefixes, "token bigint, sig bigint, n int")
+    lists = posted.select("*", F.expr("min(struct(n, sig)) OVER (PARTITION BY token) AS head"), F.expr("max(struct(n, sig)) OVER (PARTITION BY token) AS tail"))
+    lists = written(lists.where("head <> tail").select("token", "sig", "n", "head").distinct(), "postings")
+
+    # sets that share a prefix token with another: kept to be compared, by signature
+    involved = written(lists.select("sig", "n").distinct(), "involved")
+    wanted = _bloom(involved.select("sig"))
+    mask = spark.sparkContext.broadcast(wanted)
+
+    def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = set()
+        for part in blocks(batches, "text"):
+            sigs, held = [], []
+            for x in shingle_sets(part.column("text"), k):
+                if len(x) and (s := _signature(x)) not in met and _maybe(mask.value, s):
+                    met.add(s)
+                    sigs.append(s)
+                    held.append(x.tobytes())
+            yield pa.RecordBatch.from_pydict({"sig": pa.array(sigs, pa.int64()), "n": pa.array([len(x) // 8 for x in held], pa.int32()), "tokens": pa.array(held, pa.binary())})
+
+    members = rows.mapInArrow(tokens_of, "sig bigint, n int, tokens binary").join(involved, ["sig", "n"], "left_semi").dropDuplicates(["sig", "n"])
+    members = written(members, "members")
+
+    close = (F.col("n") * percent <= F.col("m") * 100) & (F.col("m") * percent <= F.col("n") * 100)
+    stars = lists.select("sig", "n", F.col("head.sig").alias("to"), F.col("head.n").alias("m")).where("sig <> to OR n <> m").where(close).distinct()
+    linked = written(compared(stars, members, percent), "stars")
+    groups = components(linked.select(F.col("sig").alias("a"), F.col("to").alias("b")))
+    grouped = written(involved.join(groups, F.col("sig") == F.col("node"), "left").select("sig", "n", F.coalesce("component", "sig").alias("grp")), "groups")
+
+    more = across_groups(lists.select("token", "sig", "n"), grouped, members, percent)
+    links = linked.unionByName(more)
+    named = classes.select("n", "sig", "class")
+    edges = links.join(named.select(F.col("n"), "sig", F.col("class").alias("a")), ["n", "sig"]).join(named.select(F.col("n").alias("m"), F.col("sig").alias("to"), F.col("class").alias("b")), ["m", "to"])
+    whole = components(edges.select("a", "b"))
+    out = seen.join(classes, ["n", "sig"], "left").join(whole, F.col("class") == F.col("node"), "left")
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "class", "key").alias("component_id"))
+
+
+def _bloom(sigs: DataFrame, bits: int = 1 << 24) -> np.ndarray:
+    """A filter of fixed size over the signatures; what it lets through in error is joined away later."""
+    word = F.shiftright(F.col("sig").bitwiseAND(bits - 1), 6)
+    # signatures are hashes already: their low bits choose the bit
+    found = sigs.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(sig & 63 as int))")).alias("mask")).toArrow()
+    table = np.zeros(bits // 64, np.uint64)
+    table[found["word"].to_numpy()] = found["mask"].to_numpy().view(np.uint64)
+    return table
+
+
+def _maybe(table: np.ndarray, sig: int) -> bool:
+    at = sig & (len(table) * 64 - 1)
+    return bool((int(table[at >> 6]) >> (at & 63)) & 1)
+
+
+def compared(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (sig, n, to, m) those that link, by their whole sets."""
+    held = pairs.join(members, ["sig", "n"]).join(members.select(F.col("sig").alias("to"), F.col("n").alias("m"), F.col("tokens").alias("others")), ["to", "m"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            good = []
+            for i, (a, b) in enumerate(zip(part.column("tokens"), part.column("others"), strict=True)):
+                x, y = (np.frombuffer(t.as_buffer(), np.uint64) for t in (a, b))
+                if _links(_overlap(x, y), len(x), len(y), percent):
+                    good.append(i)
+            yield part.select(["sig", "n", "to", "m"]).take(pa.array(good, pa.int64()))
+
+    return held.select("sig", "n", "to", "m", "tokens", "others").mapInArrow(run, "sig bigint, n int, to bigint, m int")
+
+
+def _overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """The size of the intersection of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return int(np.count_nonzero(y[at] == x))
+
+
+def across_groups(lists: DataFrame, grouped: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links (sig, n, to, m) between sets of different groups that share a prefix token."""
+    sizes = grouped.groupBy("grp").agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"))
+    posted = lists.join(grouped, ["sig", "n"]).join(sizes, "grp")
+    here = posted.select("token", "sig", "n", "grp", "size")
+    there = posted.select("token", F.col("grp").alias("other"), F.col("size").alias("other_size"), "low", "high").distinct()
+    # the set of the smaller group asks the larger; of single sets, the later
+    fits = (F.col("n") * percent <= F.col("high") * 100) & (F.col("low") * percent <= F.col("n") * 100)
+    asks = here.join(there, "token").where("grp <> other AND (other_size > size OR (other_size = size AND other < grp))").where(fits)
+    asks = written(asks.select("sig", "n", "other").distinct(), "asks")
+
+    parts = grouped.join(sizes.select("grp", "size"), "grp").select("sig", "n", "grp", F.pmod(F.xxhash64("sig", "n"), F.ceil(F.col("size") / PART)).alias("part"))
+    asked = parts.join(asks.select(F.col("other").alias("grp")).distinct(), "grp", "left_semi")
+    cells = asked.join(members, ["sig", "n"])
+
+    def union(table: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(t.as_buffer(), np.uint64) for t in table["tokens"]]
+        return pa.table({"grp": table["grp"][:1], "part": table["part"][:1], "union": pa.array([np.unique(np.concatenate(sets)).tobytes()], pa.binary())})
+
+    matrix = cells.groupBy("grp", "part").applyInArrow(union, "grp bigint, part bigint, union binary")
+    bounds = asks.withColumnRenamed("other", "grp").join(matrix, "grp").join(members, ["sig", "n"])
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            good = []
+            for i, (a, b) in enumerate(zip(part.column("tokens"), part.column("union"), strict=True)):
+                x, y = (np.frombuffer(t.as_buffer(), np.uint64) for t in (a, b))
+                if _overlap(x, y) >= _least(len(x), percent):
+                    good.append(i)
+            yield part.select(["sig", "n", "grp", "part"]).take(pa.array(good, pa.int64()))
+
+    reached = written(bounds.select("sig", "n", "grp", "part", "tokens", "union").mapInArrow(bound, "sig bigint, n int, grp bigint, part bigint"), "reached")
+    opened = reached.join(parts.select(F.col("sig").alias("to"), F.col("n").alias("m"), "grp", "part"), ["grp", "part"])
+    close = (F.col("n") * percent <= F.col("m") * 100) & (F.col("m") * percent <= F.col("n") * 100)
+    return compared(opened.where(close).select("sig", "n", "to", "m"), members, percent)

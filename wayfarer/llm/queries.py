@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfarer.llm import bpe, decontaminate, langid, linededup, lm
+from wayfarer.llm import bpe, decontaminate, jaccard, langid, linededup, lm
 from wayfarer.llm._shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,12 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document: five words, Jaccard 0.8."""
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 @query
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole text, learned from two thirds of the documents."""
