@@ -120,7 +120,7 @@ _PLACE = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of ``k`` consecutive words; entry i belongs to words i to i+k-1."""
     n = max(0, len(words) - k + 1)
-    total = np.full(n, np.uint64(k) * _STEP, np.uint64)
+    total = np.full(n, (k * int(_STEP)) % 2**64, np.uint64)
     for j in range(k):
         total += words[j : j + n] * (_PLACE[j] if j < 64 else mix(np.array([j + 1], np.uint64))[0] | np.uint64(1))
     return mix(total)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfarer.llm import bpe, decontaminate, jaccard, langid, linededup, lm
+from wayfarer.llm import bpe, decontaminate, jaccard, langid, licenses, linededup, lm, urlfilter
 from wayfarer.llm._shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,15 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+@query
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License statements in every whole text."""
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+ORACLE_SQL["op3_licenses"] = licenses.SQL
+
+
 @query
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole text, learned from two thirds of the documents."""
@@ -103,3 +112,13 @@ def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", langid.held_out(F.col("doc_id"), 10, 0).alias("held_out"))
     model = lm.train(docs.where("NOT held_out"))
     return lm.score_with_unigrams(docs, model)
+
+
+@query
+def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL against the lists as they stood when it was fetched (a day of 2024 by page number)."""
+    captures = table(spark, sf_dir, "pages").select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 366).cast("int")).alias("fetched"))
+    return urlfilter.evaluate(captures, urlfilter.list_entries(spark)).withColumn("fetched", F.col("fetched").cast("string"))
+
+
+ORACLE_SQL["op10_urlfilter"] = urlfilter.SQL
