@@ -80,7 +80,9 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, key: str = "doc_id
         F.size("words") >= K,
         F.transform(F.sequence(F.lit(0), F.size("words") - K), lambda i: F.xxhash64(*[F.get("words", i + j) for j in range(K)])),
     )
-    rolled = rows.select("row", "key", F.size("words").cast("long").alias("n_words"), F.posexplode_outer(hashes).alias("pos", "hash"))
+    # the words stay below the explosion: they would be carried along with every hash
+    hashed = rows.select("row", "key", F.size("words").cast("long").alias("n_words"), hashes.alias("hashes"))
+    rolled = hashed.select("row", "key", "n_words", F.posexplode_outer("hashes").alias("pos", "hash"))
     # the templates are a fixed list of a few hundred positions
     voted = rolled.join(F.broadcast(templates), "hash", "left")
     per_row = ["row", "key", "n_words"]
