@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfarer.llm import bpe, decontaminate, jaccard, langid, licenses, linededup, lm, urlfilter
+from wayfarer.llm import ann, bpe, decontaminate, jaccard, langid, licenses, linededup, lm, urlfilter
 from wayfarer.llm._shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,12 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["op3_licenses"] = licenses.SQL
 
 
+@query
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth vector."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole text, learned from two thirds of the documents."""
