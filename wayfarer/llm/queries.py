@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfarer.llm import ann, bpe, decontaminate, jaccard, langid, licenses, linededup, lm, urlfilter
+from wayfarer.llm import ann, bpe, decontaminate, html, jaccard, langid, licenses, linededup, lm, urlfilter
 from wayfarer.llm._shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,12 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document: five words, Jaccard 0.8."""
