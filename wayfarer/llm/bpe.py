@@ -21,7 +21,7 @@ import heapq
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -172,6 +172,12 @@ def _sha256(of: list[bytes], row: Sequence[int], between: bytes) -> str:
     return hashlib.sha256(between.join(map(of.__getitem__, row))).hexdigest()
 
 
+def _lists(coded: list[list[int]], rows: list[array]) -> pa.Array:
+    flat = [array("i", chain.from_iterable(map(coded.__getitem__, row))) for row in rows]
+    offsets = np.append(0, np.cumsum([len(x) for x in flat])).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(flat), np.int32)))
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: bool = True, digests: bool = False) -> DataFrame:
     """``docs`` with ``n_tokens`` and, as asked, ``token_ids`` (array<int>) and the digests of ids and decoded bytes.
 
@@ -206,7 +212,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: bo
             counts = np.array([len(x) for x in coded])
             columns["n_tokens"] = pa.array([int(counts[row].sum()) for row in rows], pa.int64())
             if ids:
-                columns["token_ids"] = pa.array([[i for x in row for i in coded[x]] for row in rows], pa.list_(pa.int32()))
+                columns["token_ids"] = _lists(coded, rows)
             if digests:
                 columns["ids_sha256"] = pa.array([_sha256(shown, row, b",") for row in rows])
                 columns["decoded_sha256"] = pa.array([_sha256(decoded, row, b"") for row in rows])
