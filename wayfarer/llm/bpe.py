@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from wayfarer.llm._text import blocks
 
 #: Bytes of text whose distinct pieces are replayed together.
-REPLAYED_BYTES = 16_000_000
+REPLAYED_BYTES = 8_000_000
 #: Pieces whose ids a worker remembers from block to block; when full it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -94,11 +94,11 @@ class MergeReplay:
         data = np.frombuffer(b"".join(pieces[i] for i in todo), np.uint8)
         n = len(data)
         ids = np.append(self.byte_ids[data], -1)
-        owner = np.repeat(np.arange(len(todo)), lengths)
-        following = np.arange(1, n + 2)  # next position in the piece; n: none
+        owner = np.repeat(np.arange(len(todo), dtype=np.int32), lengths)
+        following = np.arange(1, n + 2, dtype=np.int32)  # next position in the piece; n: none
         following[np.cumsum(lengths) - 1] = n
         following[n] = n
-        before = np.arange(-1, n)  # previous position in the piece; -1: none
+        before = np.arange(-1, n, dtype=np.int32)  # previous position in the piece; -1: none
         before[np.cumsum(lengths) - lengths] = -1
         before = np.append(before, -1)
         alive = np.ones(n + 1, bool)

@@ -1,20 +1,28 @@
 """N-gram Jaccard join with a token-group matrix.
 
 Documents become sets of hashed word shingles; equal sets are one class.
-Two sets link if 100 * |A and B| >= threshold * |A or B|.
+Two sets link if 100 * |A and B| >= percent * |A or B|.
+
+The token-group matrix has a row of bits for every set: tokens are put into
+groups by their hash, four times as many groups as the set has tokens, and a
+bit tells that the set holds a token of the group.  Each bit of A that B lacks
+is a token that they don't share, so |A| less these bits bounds the overlap of
+A with B, and with every member of a group whose rows were put together (OR).
 
 1. A fixed order of tokens (``common`` ones last, then by hash) gives each set
    a prefix of |A| - ceil(t|A|) + 1 tokens; two sets that link share a token of
    their prefixes.  Which tokens count as common changes the work only, never
-   the links: they are those most frequent within tasks, at most
-   ``COMMON`` of them, and their list is what is broadcast.
-2. Sets that share a prefix token are compared with the smallest of that
-   token's list, and those that link are partitioned into groups (components).
-3. The token-group matrix holds the union of the tokens of each group, cut into
-   parts of at most ``PART`` members.  Sets that share a prefix token with
-   another group query it: |Q and T| bounds the overlap with every member, and
-   only the parts of groups that reach ceil(t|Q|) are opened, their members
-   compared one by one.
+   the links: they are those most frequent within tasks, at most ``COMMON`` of
+   them, and their list is what is broadcast.
+2. Sets that share a prefix token are held against the smallest set of that
+   token's list and the one with the most common tokens; pairs within the bound are compared token by token, and those
+   that link partition the sets into groups (components).
+3. Sets without a link are grouped by a token that many of them share.  Each
+   group stores the union of its rows, in parts of at most about ``PART``
+   members.  Sets that share a prefix token with a part query it, and
+   only the parts whose bound reaches ceil(t|Q|) are opened: their members are
+   held against the query by their own rows, then token by token.  The first
+   such part of a group is opened first, the others only if it holds no link.
 
 Sets of a group are never compared pair by pair among themselves, as they are
 connected already; every pair of different groups that can link is decided, so
@@ -22,7 +30,7 @@ the components are exact.
 
 Edge cases: null and empty texts have no shingles and stand alone; a text of
 fewer words than a shingle has one shingle, the whole sequence; repeated rows
-and equal sets are one class; a null key belongs to no class and gets itself.
+and equal sets are one class; a null key belongs to its class but names none.
 """
 
 from __future__ import annotations
@@ -38,10 +46,11 @@ from wayfarer.llm._shared import written
 from wayfarer.llm._text import SPACED, blocks, hashed_words, mix, run_hashes
 from wayfarer.llm.components import components
 
-#: Tokens that are put last in the order: at most so many, which a task has met in so many sets.
-COMMON, OFTEN = 1 << 17, 12
+#: Tokens that are put last in the order: at most COMMON of them, which tasks have met so often.
+#: A task counts a token of the LOW part of the hash range, where most prefixes lie, from the second set on.
+COMMON, OFTEN, LOW = 1 << 20, 6, 1 << 61
 #: Members in a part of a group.
-PART = 64
+PART = 32
 _TOP = np.uint64(1) << np.uint64(63)
 
 
@@ -83,63 +92,134 @@ def _ordered(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """``key`` (long), ``n_shingles``, ``component_id`` (smallest key reachable by links) and ``n_links`` checked."""
+    """``key`` (long), ``n_shingles`` and ``component_id`` (smallest key reachable by links) of every row."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in blocks(batches, "text"):
-            found = shingle_sets(part.column("text"), k)
-            yield pa.RecordBatch.from_pydict({"key": part.column("key"), "n": np.array([len(x) for x in found], np.int64), "sig": pa.array([_signature(x) if len(x) else None for x in found], pa.int64())})
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each document (its matrix row once a task), and one for each token that the task met often."""
         met, held, size = set(), [], 0
+
+        def often() -> pa.RecordBatch:
+            tokens, n = np.unique(np.concatenate(held), return_counts=True)
+            many = (n > 1) & ((tokens < LOW) | (n >= OFTEN))
+            none = pa.nulls(int(many.sum()), pa.int64())
+            return pa.RecordBatch.from_arrays([none, pa.array(n[many]), none, pa.nulls(len(none), pa.binary()), pa.array(tokens[many].astype(np.int64))], ["key", "n", "sig", "bits", "token"])
+
         for part in blocks(batches, "text"):
-            for x in shingle_sets(part.column("text"), k):
-                if len(x) and (s := _signature(x)) not in met:
-                    met.add(s)
+            found = shingle_sets(part.column("text"), k)
+            sigs, bits = [], []
+            for x in found:
+                sig = _signature(x) if len(x) else None
+                new = sig is not None and sig not in met
+                if new:
+                    met.add(sig)
                     held.append(x)
                     size += len(x)
-            if size > 3_000_000:
-                yield _often(held)
+                sigs.append(sig)
+                bits.append(_bits(x).tobytes() if new else None)
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([len(x) for x in found], pa.int64()), pa.array(sigs, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(len(found), pa.int64())], ["key", "n", "sig", "bits", "token"])
+            if size > 4_000_000:
+                yield often()
                 held, size = [], 0
         if held:
-            yield _often(held)
+            yield often()
 
-    def _often(held: list[np.ndarray]) -> pa.RecordBatch:
-        tokens, n = np.unique(np.concatenate(held), return_counts=True)
-        many = n >= OFTEN
-        return pa.RecordBatch.from_pydict({"token": tokens[many].astype(np.int64), "n": n[many]})
-
-    seen = written(rows.mapInArrow(sets, "key bigint, n bigint, sig bigint"), "sets")
+    both = written(rows.mapInArrow(sets, "key bigint, n bigint, sig bigint, bits binary, token bigint"), "sets")
+    seen = both.where("token IS NULL").select("key", F.col("n").cast("int").alias("n"), "sig")
     classes = seen.where("n > 0").groupBy("n", "sig").agg(F.min("key").alias("class"))
-    common = rows.mapInArrow(frequent, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(COMMON)
+    matrix = both.where("bits IS NOT NULL").select("sig", F.col("n").cast("int").alias("n"), "bits")
+    common = both.where("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "token").limit(COMMON)
     last = spark.sparkContext.broadcast(np.sort(common.select("token").toArrow()["token"].to_numpy().astype(np.uint64)))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = set()
         for part in blocks(batches, "text"):
-            tokens, sigs, sizes = [], [], []
+            tokens, sigs, sizes, shared = [], [], [], []
             for x in shingle_sets(part.column("text"), k):
                 n = len(x)
                 if not n or (s := _signature(x)) in met:
                     continue
                 met.add(s)
-                tokens.append(_ordered(x, last.value)[: n - _least(n, percent) + 1])
+                ordered = _ordered(x, last.value)
+                tokens.append(ordered[: n - _least(n, percent) + 1])
+                shared.append(n - int(np.searchsorted(ordered, _TOP)))
                 sigs.append(s)
                 sizes.append(n)
             if tokens:
                 lengths = [len(x) for x in tokens]
-                yield pa.RecordBatch.from_pydict({"token": np.concatenate(tokens).view(np.int64), "sig": np.repeat(np.array(sigs, np.int64), lengths), "n": np.repeat(np.array(sizes, np.int32), lengths)})
+                yield pa.RecordBatch.from_pydict({"token": np.concatenate(tokens).view(np.int64), "sig": np.repeat(np.array(sigs, np.int64), lengths), "n": np.repeat(np.array(sizes, np.int32), lengths), "shared": np.repeat(np.array(shared, np.int32), lengths)})
+
+    posted = rows.mapInArrow(prefixes, "token bigint, sig bigint, n int, shared int")
+    # of many copies with changes the one with the most common tokens has the fewest changes of its own
+    middle, least, most = ("max(struct(shared, n, sig))", "min(struct(n, sig))", "max(struct(n, sig))")
+    lists = posted.select("*", *[F.expr(f"{x} OVER (PARTITION BY token) AS {name}") for name, x in (("middle", middle), ("head", least), ("tail", most), ("sets", "count(*)"))])
+    lists = written(lists.where("head <> tail").select("token", "sig", "n", F.expr("struct(middle.n, middle.sig) AS middle"), "head", "sets").distinct(), "postings")
+
+    involved = lists.select("sig", "n").distinct()
+    matrix = written(matrix.join(involved, ["sig", "n"], "left_semi").dropDuplicates(["sig", "n"]), "matrix")
+    close = (F.col("n") * percent <= F.col("m") * 100) & (F.col("m") * percent <= F.col("n") * 100)
+    ends = lists.select("sig", "n", F.explode(F.array("middle", "head")).alias("end"))
+    stars = ends.select("sig", "n", F.col("end.sig").alias("to"), F.col("end.n").alias("m")).where("sig <> to OR n <> m").where(close).distinct()
+    linked = compared(rows, within_bound(stars, matrix, percent), k, percent)
+    groups = components(linked.select(F.col("sig").alias("a"), F.col("to").alias("b")))
+    # sets without a link are grouped by the token of their prefix that most sets have
+    lead = lists.groupBy("sig", "n").agg(F.max_by("token", F.struct("sets", "token")).alias("lead"))
+    grouped = lead.join(groups, F.col("sig") == F.col("node"), "left").select("sig", "n", F.coalesce("component", "lead").alias("grp"), F.col("component").isNotNull().alias("linked"))
+    grouped = written(grouped, "groups")
+    links = linked.unionByName(across_groups(rows, lists, grouped, matrix, k, percent))
+    named = classes.select("n", "sig", "class")
+    edges = links.join(named.select(F.col("n"), "sig", F.col("class").alias("a")), ["n", "sig"]).join(named.select(F.col("n").alias("m"), F.col("sig").alias("to"), F.col("class").alias("b")), ["m", "to"])
+    whole = components(edges.select("a", "b"))
+    out = seen.join(classes, ["n", "sig"], "left").join(whole, F.col("class") == F.col("node"), "left")
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "class", "key").alias("component_id"))
+
+
+def _bits(tokens: np.ndarray) -> np.ndarray:
+    """A row of the matrix: a bit for each of at least four times as many groups as there are tokens."""
+    groups = 1 << max(6, (4 * len(tokens) - 1).bit_length())
+    bits = np.zeros(groups, bool)
+    bits[tokens & np.uint64(groups - 1)] = True
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The row with fewer groups."""
+    return np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
+
+
+def _bound(a: np.ndarray, n: int, b: np.ndarray) -> int:
+    """The most tokens of the set with row ``a`` and size ``n`` that a set, or any set of a union, with row ``b`` can hold."""
+    words = min(len(a), len(b))
+    return n - int(np.bitwise_count(_folded(a, words) & ~_folded(b, words)).sum())
+
+
+def _filter(held: DataFrame, columns: list[str], percent: int, test) -> DataFrame:
+    """The rows of ``held`` whose binary columns ``a`` and ``b`` (rows of the matrix) pass the test."""
+    kept = held.select(*columns, "a", "b")
+    schema = ", ".join(f"{c} {kept.schema[c].dataType.simpleString()}" for c in columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            sizes = [part.column(c).to_pylist() for c in ("n", "m") if c in part.schema.names]
+            good = [i for i, (a, b, *n) in enumerate(zip(part.column("a"), part.column("b"), *sizes, strict=True)) if test(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), *n)]
+            yield part.select(columns).take(pa.array(good, pa.int64()))
+
+    return kept.mapInArrow(run, schema)
+
+
+def within_bound(pairs: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
+    """The pairs (sig, n, to, m) that can link by their rows of the matrix."""
+    held = pairs.join(matrix.withColumnRenamed("bits", "a"), ["sig", "n"]).join(matrix.select(F.col("sig").alias("to"), F.col("n").alias("m"), F.col("bits").alias("b")), ["to", "m"])
+    return _filter(held, ["sig", "n", "to", "m"], percent, lambda a, b, n, m: _links(min(_bound(a, n, b), _bound(b, m, a)), n, m, percent))
 
-    posted = rows.mapInArrow(prefixes, "token bigint, sig bigint, n int")
-    lists = posted.select("*", F.expr("min(struct(n, sig)) OVER (PARTITION BY token) AS head"), F.expr("max(struct(n, sig)) OVER (PARTITION BY token) AS tail"))
-    lists = written(lists.where("head <> tail").select("token", "sig", "n", "head").distinct(), "postings")
 
-    # sets that share a prefix token with another: kept to be compared, by signature
-    involved = written(lists.select("sig", "n").distinct(), "involved")
-    wanted = _bloom(involved.select("sig"))
-    mask = spark.sparkContext.broadcast(wanted)
+def compared(rows: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of the pairs (sig, n, to, m) those that link, by their whole sets, made again from the texts of these sets alone."""
+    spark = rows.sparkSession
+    pairs = written(pairs, "pairs")
+    wanted = pairs.select("sig", "n").unionByName(pairs.select(F.col("to").alias("sig"), F.col("m").alias("n"))).distinct()
+    mask = spark.sparkContext.broadcast(_bloom(wanted.select("sig")))
 
     def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = set()
@@ -152,22 +232,18 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, p
                     held.append(x.tobytes())
             yield pa.RecordBatch.from_pydict({"sig": pa.array(sigs, pa.int64()), "n": pa.array([len(x) // 8 for x in held], pa.int32()), "tokens": pa.array(held, pa.binary())})
 
-    members = rows.mapInArrow(tokens_of, "sig bigint, n int, tokens binary").join(involved, ["sig", "n"], "left_semi").dropDuplicates(["sig", "n"])
-    members = written(members, "members")
+    sets = rows.mapInArrow(tokens_of, "sig bigint, n int, tokens binary").join(wanted, ["sig", "n"], "left_semi").dropDuplicates(["sig", "n"])
+    sets = written(sets, "members")
+    held = pairs.join(sets.withColumnRenamed("tokens", "a"), ["sig", "n"]).join(sets.select(F.col("sig").alias("to"), F.col("n").alias("m"), F.col("tokens").alias("b")), ["to", "m"])
+    return written(_filter(held, ["sig", "n", "to", "m"], percent, lambda a, b, n, m: _links(_overlap(a, b), n, m, percent)), "links")
 
-    close = (F.col("n") * percent <= F.col("m") * 100) & (F.col("m") * percent <= F.col("n") * 100)
-    stars = lists.select("sig", "n", F.col("head.sig").alias("to"), F.col("head.n").alias("m")).where("sig <> to OR n <> m").where(close).distinct()
-    linked = written(compared(stars, members, percent), "stars")
-    groups = components(linked.select(F.col("sig").alias("a"), F.col("to").alias("b")))
-    grouped = written(involved.join(groups, F.col("sig") == F.col("node"), "left").select("sig", "n", F.coalesce("component", "sig").alias("grp")), "groups")
 
-    more = across_groups(lists.select("token", "sig", "n"), grouped, members, percent)
-    links = linked.unionByName(more)
-    named = classes.select("n", "sig", "class")
-    edges = links.join(named.select(F.col("n"), "sig", F.col("class").alias("a")), ["n", "sig"]).join(named.select(F.col("n").alias("m"), F.col("sig").alias("to"), F.col("class").alias("b")), ["m", "to"])
-    whole = components(edges.select("a", "b"))
-    out = seen.join(classes, ["n", "sig"], "left").join(whole, F.col("class") == F.col("node"), "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "class", "key").alias("component_id"))
+def _overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """The size of the intersection of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return int(np.count_nonzero(y[at] == x))
 
 
 def _bloom(sigs: DataFrame, bits: int = 1 << 24) -> np.ndarray:
@@ -185,62 +261,70 @@ def _maybe(table: np.ndarray, sig: int) -> bool:
     return bool((int(table[at >> 6]) >> (at & 63)) & 1)
 
 
-def compared(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (sig, n, to, m) those that link, by their whole sets."""
-    held = pairs.join(members, ["sig", "n"]).join(members.select(F.col("sig").alias("to"), F.col("n").alias("m"), F.col("tokens").alias("others")), ["to", "m"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            good = []
-            for i, (a, b) in enumerate(zip(part.column("tokens"), part.column("others"), strict=True)):
-                x, y = (np.frombuffer(t.as_buffer(), np.uint64) for t in (a, b))
-                if _links(_overlap(x, y), len(x), len(y), percent):
-                    good.append(i)
-            yield part.select(["sig", "n", "to", "m"]).take(pa.array(good, pa.int64()))
-
-    return held.select("sig", "n", "to", "m", "tokens", "others").mapInArrow(run, "sig bigint, n int, to bigint, m int")
-
-
-def _overlap(x: np.ndarray, y: np.ndarray) -> int:
-    """The size of the intersection of two sorted sets."""
-    if len(x) > len(y):
-        x, y = y, x
-    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-    return int(np.count_nonzero(y[at] == x))
-
-
-def across_groups(lists: DataFrame, grouped: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Links (sig, n, to, m) between sets of different groups that share a prefix token."""
-    sizes = grouped.groupBy("grp").agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"))
-    posted = lists.join(grouped, ["sig", "n"]).join(sizes, "grp")
-    here = posted.select("token", "sig", "n", "grp", "size")
-    there = posted.select("token", F.col("grp").alias("other"), F.col("size").alias("other_size"), "low", "high").distinct()
-    # the set of the smaller group asks the larger; of single sets, the later
+def across_groups(rows: DataFrame, lists: DataFrame, grouped: DataFrame, matrix: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (sig, n, to, m) between sets that share a prefix token and no component: of a set and a component, one at least if there is one."""
+    group, cell = ["grp", "linked"], ["grp", "linked", "part"]
+    sizes = grouped.groupBy(*group).agg(F.count("*").alias("size"))
+    parts = grouped.join(sizes, group).withColumn("part", F.pmod(F.xxhash64("sig", "n"), F.ceil(F.col("size") / PART)))
+    ranges = parts.groupBy(*cell).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    parts = written(parts.join(ranges, cell), "parts")
+    posted = lists.select("token", "sig", "n").join(parts, ["sig", "n"])
+    here = posted.select("token", "sig", "n", F.struct("linked", "size", "grp", "part").alias("own"))
+    there = posted.select("token", F.struct("linked", "size", "grp", "part").alias("other"), "low", "high").distinct()
     fits = (F.col("n") * percent <= F.col("high") * 100) & (F.col("low") * percent <= F.col("n") * 100)
-    asks = here.join(there, "token").where("grp <> other AND (other_size > size OR (other_size = size AND other < grp))").where(fits)
-    asks = written(asks.select("sig", "n", "other").distinct(), "asks")
+    # a set asks the parts that come after its own, and its own unless that is connected already
+    later = (F.col("own") < F.col("other")) & ~(F.col("own.linked") & F.col("other.linked") & (F.col("own.grp") == F.col("other.grp")))
+    asks = here.join(there, "token").where((later | ((F.col("own") == F.col("other")) & ~F.col("own.linked"))) & fits)
+    asks = written(asks.select("sig", "n", "other.grp", "other.linked", "other.part").distinct(), "asks")
 
-    parts = grouped.join(sizes.select("grp", "size"), "grp").select("sig", "n", "grp", F.pmod(F.xxhash64("sig", "n"), F.ceil(F.col("size") / PART)).alias("part"))
-    asked = parts.join(asks.select(F.col("other").alias("grp")).distinct(), "grp", "left_semi")
-    cells = asked.join(members, ["sig", "n"])
+    cells = parts.select("sig", "n", *cell).join(matrix, ["sig", "n"])
+    member = pa.list_(pa.struct([("to", pa.int64()), ("m", pa.int32()), ("bits", pa.binary())]))
 
     def union(table: pa.Table) -> pa.Table:
-        sets = [np.frombuffer(t.as_buffer(), np.uint64) for t in table["tokens"]]
-        return pa.table({"grp": table["grp"][:1], "part": table["part"][:1], "union": pa.array([np.unique(np.concatenate(sets)).tobytes()], pa.binary())})
-
-    matrix = cells.groupBy("grp", "part").applyInArrow(union, "grp bigint, part bigint, union binary")
-    bounds = asks.withColumnRenamed("other", "grp").join(matrix, "grp").join(members, ["sig", "n"])
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            good = []
-            for i, (a, b) in enumerate(zip(part.column("tokens"), part.column("union"), strict=True)):
-                x, y = (np.frombuffer(t.as_buffer(), np.uint64) for t in (a, b))
-                if _overlap(x, y) >= _least(len(x), percent):
-                    good.append(i)
-            yield part.select(["sig", "n", "grp", "part"]).take(pa.array(good, pa.int64()))
-
-    reached = written(bounds.select("sig", "n", "grp", "part", "tokens", "union").mapInArrow(bound, "sig bigint, n int, grp bigint, part bigint"), "reached")
-    opened = reached.join(parts.select(F.col("sig").alias("to"), F.col("n").alias("m"), "grp", "part"), ["grp", "part"])
-    close = (F.col("n") * percent <= F.col("m") * 100) & (F.col("m") * percent <= F.col("n") * 100)
-    return compared(opened.where(close).select("sig", "n", "to", "m"), members, percent)
+        held = [np.frombuffer(t.as_buffer(), np.uint64) for t in table["bits"]]
+        words = min(map(len, held))
+        whole = np.bitwise_or.reduce([_folded(x, words) for x in held])
+        members = [dict(zip(("to", "m", "bits"), x, strict=True)) for x in zip(*(table[c].to_pylist() for c in ("sig", "n", "bits")), strict=True)]
+        return pa.table({**{c: table[c][:1] for c in cell}, "b": pa.array([whole.tobytes()], pa.binary()), "members": pa.array([members], member)})
+
+    stored = written(cells.groupBy(*cell).applyInArrow(union, "grp bigint, linked boolean, part bigint, b binary, members array<struct<to: bigint, m: int, bits: binary>>"), "unions")
+    bounds = asks.join(stored.drop("members"), cell).join(matrix.withColumnRenamed("bits", "a"), ["sig", "n"])
+    reached = written(_filter(bounds, ["sig", "n", *cell], percent, lambda a, b, n: _bound(a, n, b) >= _least(n, percent)), "reached")
+
+    def opened(asked: DataFrame) -> DataFrame:
+        held = asked.join(stored.drop("b"), cell).join(matrix, ["sig", "n"]).select("sig", "n", "linked", "bits", "members")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                good = []
+                for sig, n, linked, bits, members in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
+                    near = [x for x in members if n * percent <= x["m"] * 100 and x["m"] * percent <= n * 100]
+                    if not linked and any((x["m"], x["to"]) == (n, sig) for x in members):  # its own part: each pair once
+                        near = [x for x in near if (n, sig) < (x["m"], x["to"])]
+                    good += [(sig, n, x["to"], x["m"]) for x in _possible(np.frombuffer(bits, np.uint64), n, near, percent)]
+                yield pa.RecordBatch.from_pydict({c: pa.array([g[i] for g in good], kind) for i, (c, kind) in enumerate((("sig", pa.int64()), ("n", pa.int32()), ("to", pa.int64()), ("m", pa.int32())))})
+
+        return compared(rows, held.mapInArrow(run, "sig bigint, n int, to bigint, m int"), k, percent)
+
+    # parts of one component give the same answer: the first is opened first
+    begun = reached.where("linked").groupBy("sig", "n", "grp").agg(F.min("part").alias("first"))
+    tried = reached.join(begun, ["sig", "n", "grp"], "left").withColumn("now", F.coalesce(~F.col("linked") | (F.col("part") == F.col("first")), F.lit(True)))
+    first = opened(tried.where("now").select("sig", "n", *cell))
+    found = first.join(parts.where("linked").select(F.col("sig").alias("to"), F.col("n").alias("m"), "grp"), ["to", "m"]).select("sig", "n", "grp").distinct()
+    rest = written(tried.where("NOT now").select("sig", "n", *cell).join(found, ["sig", "n", "grp"], "left_anti"), "rest")
+    return first if rest.isEmpty() else first.unionByName(opened(rest))
+
+
+def _possible(a: np.ndarray, n: int, members: list[dict], percent: int) -> list[dict]:
+    """The members that can link with the set by their rows, a width of rows at a time."""
+    out = []
+    for width in {len(x["bits"]) for x in members}:
+        same = [x for x in members if len(x["bits"]) == width]
+        rows = np.stack([np.frombuffer(x["bits"], np.uint64) for x in same])
+        words = min(len(a), rows.shape[1])
+        folded = np.bitwise_or.reduce(rows.reshape(len(same), -1, words), axis=1)
+        own = _folded(a, words)
+        m = np.array([x["m"] for x in same])
+        both = np.minimum(n - np.bitwise_count(own & ~folded).sum(axis=1, dtype=np.int64), m - np.bitwise_count(folded & ~own).sum(axis=1, dtype=np.int64))
+        out += [same[i] for i in np.flatnonzero(_links(both, n, m, percent))]
+    return out
