@@ -242,8 +242,8 @@ def q_term_overlap(t: Tables) -> DataFrame:
     """SELECT s_suppkey, round(lat, 4) AS lat, round(lon, 4) AS lon, CASE WHEN km IS NULL THEN 'alone' WHEN km < 400 THEN 'near' WHEN km < 1000 THEN 'mid' ELSE 'far' END AS bucket FROM (
          SELECT a.s_suppkey, any_value(a.lat) AS lat, any_value(a.lon) AS lon,
            min(2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))) AS km
-         FROM (SELECT s_suppkey, s_nationkey, s_suppkey * 37 % 90 - 45.0 AS lat, s_suppkey * 53 % 180 - 90.0 AS lon FROM supplier) a
-         LEFT JOIN (SELECT s_suppkey, s_nationkey, s_suppkey * 37 % 90 - 45.0 AS lat, s_suppkey * 53 % 180 - 90.0 AS lon FROM supplier) b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey GROUP BY 1)"""
+         FROM (SELECT s_suppkey, s_nationkey, (s_suppkey * 37 % 90 - 45)::DOUBLE AS lat, (s_suppkey * 53 % 180 - 90)::DOUBLE AS lon FROM supplier) a
+         LEFT JOIN (SELECT s_suppkey, s_nationkey, (s_suppkey * 37 % 90 - 45)::DOUBLE AS lat, (s_suppkey * 53 % 180 - 90)::DOUBLE AS lon FROM supplier) b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey GROUP BY 1)"""
 )
 def q_nn_bucket(t: Tables) -> DataFrame:
     sites = t.supplier.select("s_suppkey", "s_nationkey", (F.col("s_suppkey") * 37 % 90 - 45.0).alias("lat"), (F.col("s_suppkey") * 53 % 180 - 90.0).alias("lon"))

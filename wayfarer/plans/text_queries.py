@@ -221,7 +221,7 @@ def q_escape(t: Tables) -> DataFrame:
 
 @query(
     """SELECT p_partkey, repeat('L', CAST(p_size // 50 AS INTEGER)) || CASE p_size % 50 // 10 WHEN 4 THEN 'XL' WHEN 3 THEN 'XXX' WHEN 2 THEN 'XX' WHEN 1 THEN 'X' ELSE '' END || list_extract(['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'], CAST(p_size % 10 + 1 AS INTEGER)) AS roman,
-         CASE p_type WHEN 'ECONOMY' THEN 0.9 WHEN 'STANDARD' THEN 0.5 ELSE 0.75 END AS confidence FROM part"""
+         (CASE p_type WHEN 'ECONOMY' THEN 0.9 WHEN 'STANDARD' THEN 0.5 ELSE 0.75 END)::DOUBLE AS confidence FROM part"""
 )
 def q_roman(t: Tables) -> DataFrame:
     coded = F.create_map(F.lit("ECONOMY"), F.lit(0.9), F.lit("STANDARD"), F.lit(0.5))
@@ -312,7 +312,7 @@ def q_drift(t: Tables) -> DataFrame:
 @query(
     f"""WITH m AS (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS token FROM documents) JOIN {_KEYS} USING (token) GROUP BY 1, 2),
        v AS (SELECT token, CASE WHEN doc_id % 3 = 0 THEN 'reject' ELSE 'accept' END AS decision, doc_id FROM m), b AS (SELECT token, count(*) FILTER (decision = 'accept') AS yes, count(*) AS votes FROM v GROUP BY 1)
-       SELECT token, 'link-' || substr(sha1(token || '␟' || votes), 1, 12) AS link_id, yes, votes, yes * 2 > votes AS accepted, length(token) % 9 * 10.0 AS lat, length(token) % 17 * 10.0 AS lon FROM b WHERE yes * 2 > votes"""
+       SELECT token, 'link-' || substr(sha1(token || '␟' || votes), 1, 12) AS link_id, yes, votes, yes * 2 > votes AS accepted, (length(token) % 9 * 10)::DOUBLE AS lat, (length(token) % 17 * 10)::DOUBLE AS lon FROM b WHERE yes * 2 > votes"""
 )
 def q_mention_candidate_link(t: Tables) -> DataFrame:
     found = M.token_mentions(t.documents, "doc_id", "text", _long_words(t), "token").select("doc_id", "token").distinct()
