@@ -36,6 +36,8 @@ SLOTS = 1 << 20
 HASHES = 3
 #: Most frequent grams of a language that its filter takes in.
 GRAMS = 30_000
+#: Bytes of text that a task looks at together.
+PIECE = 300_000
 #: A gram is a language's own if its share there is at least this part of its largest share.
 OWN = 0.5
 
@@ -46,14 +48,8 @@ _PLAIN[65:91] = np.arange(97, 123)
 _LETTER = regex.compile(r"\p{L}")
 
 
-def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The 4-byte grams of all texts as integers, and the text of each."""
-    data, offsets = text_bytes(column)
-    n = len(offsets) - 1
-    lengths = np.diff(offsets)
-    text = np.repeat(np.arange(n), lengths)
-    padded = np.full(len(data) + 2 * n, 32, np.uint8)
-    padded[np.arange(len(data)) + 2 * text + 1] = _PLAIN[data]
+def _keys(padded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 4-byte grams that have no two spaces in a row, as integers, and where they begin."""
     if len(padded) < 4:
         return np.zeros(0, np.uint32), np.zeros(0, np.int64)
     space = padded == 32
@@ -61,7 +57,24 @@ def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     good = np.flatnonzero(~(twice[:-2] | twice[1:-1] | twice[2:]))
     wide = padded.astype(np.uint32)
     key = (wide[:-3] << np.uint32(24)) | (wide[1:-2] << np.uint32(16)) | (wide[2:-1] << np.uint32(8)) | wide[3:]
-    return key[good], np.searchsorted(offsets[1:] + 2 * np.arange(1, n + 1), good, "right")
+    return key[good], good
+
+
+def grams(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The 4-byte grams of all texts as integers, and the text of each, in parts of about ``PIECE`` bytes at most."""
+    data, offsets = text_bytes(column)
+    n = len(offsets) - 1
+    if len(data) > 2 * PIECE and n == 1:  # one long text: windows over its bytes, three shared by neighbours
+        padded = np.concatenate([[32], _PLAIN[data], [32]]).astype(np.uint8)
+        for start in range(0, len(padded) - 3, PIECE):
+            key, _ = _keys(padded[start : start + PIECE + 3])
+            yield key, np.zeros(len(key), np.int64)
+        return
+    text = np.repeat(np.arange(n), np.diff(offsets))
+    padded = np.full(len(data) + 2 * n, 32, np.uint8)
+    padded[np.arange(len(data)) + 2 * text + 1] = _PLAIN[data]
+    key, good = _keys(padded)
+    yield key, np.searchsorted(offsets[1:] + 2 * np.arange(1, n + 1), good, "right")
 
 
 def _slots(key: np.ndarray) -> list[np.ndarray]:
@@ -82,18 +95,19 @@ class LanguageFilters:
 
     def hits(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """For each text the count of its grams in each language, corrected for chance, and the number of its grams."""
-        key, text = grams(column)
         n = len(column)
-        total = np.bincount(text, minlength=n).astype(float)
+        total = np.zeros(n)
         found = np.zeros((n, len(self.labels)))
-        slots = _slots(key)
-        for t, sliced in enumerate(self.tables):
-            mask = sliced[slots[0]]
-            for s in slots[1:]:
-                mask &= sliced[s]
-            seen = np.bincount(text * 256 + mask, minlength=n * 256).reshape(n, 256)
-            bits = (np.arange(256)[:, None] >> np.arange(8)) & 1
-            found[:, 8 * t : 8 * t + 8] = (seen @ bits)[:, : len(self.labels) - 8 * t]
+        bits = (np.arange(256)[:, None] >> np.arange(8)) & 1
+        for key, text in grams(column):
+            total += np.bincount(text, minlength=n)
+            slots = _slots(key)
+            for t, sliced in enumerate(self.tables):
+                mask = sliced[slots[0]]
+                for s in slots[1:]:
+                    mask &= sliced[s]
+                seen = np.bincount(text * 256 + mask, minlength=n * 256).reshape(n, 256)
+                found[:, 8 * t : 8 * t + 8] += (seen @ bits)[:, : len(self.labels) - 8 * t]
         chance = self.by_chance
         return np.maximum(0, (found - total[:, None] * chance) / np.maximum(1e-9, 1 - chance)), total
 
@@ -108,14 +122,14 @@ def train(docs: DataFrame, label: str = "lang", text: str = "text") -> LanguageF
             keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
             return keys, np.bincount(at, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
 
-        for part in blocks(batches, "text"):
-            labels = np.array(part.column("label").to_pylist(), object)
-            key, of = grams(part.column("text"))
-            for name in set(labels):
-                parts = held.setdefault(name, [])
-                parts.append(np.unique(key[labels[of] == name], return_counts=True))
-                if len(parts) > 15:
-                    held[name] = [summed(parts)]
+        for part in blocks(batches, "text", PIECE):
+            names, of_text = np.unique(np.array(part.column("label").to_pylist(), np.str_), return_inverse=True)
+            for key, of in grams(part.column("text")):
+                for i, name in enumerate(names.tolist()):
+                    parts = held.setdefault(name, [])
+                    parts.append(np.unique(key[of_text[of] == i], return_counts=True))
+                    if len(parts) > 15:
+                        held[name] = [summed(parts)]
         for name, parts in held.items():
             keys, n = summed(parts)
             yield pa.RecordBatch.from_pydict({"label": pa.array([name]).take(pa.array(np.zeros(len(keys), np.int32))), "gram": keys.astype(np.int64), "n": n})
@@ -144,7 +158,7 @@ def predict(docs: DataFrame, filters: LanguageFilters, text: str = "text") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model.value
         n = len(known.labels)
-        for part in blocks(batches, text):
+        for part in blocks(batches, text, PIECE):
             column = part.column(text)
             lettered = np.array([bool(t) and _LETTER.search(t) is not None for t in column.to_pylist()], bool)
             if n:
