@@ -16,7 +16,8 @@ a task holds one shard and one block whatever the sizes of the tables.
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite
 components take no part, as candidates or as queries; only vectors of equal
 length are compared; ties go to the smaller id; a query is never its own
-neighbour, nor is a row with its id; with fewer than k candidates all are
+neighbour, nor is a row with its id; of rows that share an id the nearest
+counts, as candidate and as query; with fewer than k candidates all are
 returned; an empty table gives no rows.
 """
 
@@ -52,49 +53,63 @@ class Shard:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
+        self.repeats = len(np.unique(ids)) < len(ids)
         self.m, self.least = _parameters(SHARD)
         self.directions = np.random.default_rng(7).standard_normal((self.m, vectors.shape[1])).T
         projected = vectors @ self.directions
-        self.order = np.argsort(projected, axis=0, kind="stable")
-        self.sorted = np.ascontiguousarray(np.take_along_axis(projected, self.order, axis=0).T)
-        self.order = np.ascontiguousarray(self.order.T)
-
-    def nearest(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances of the k nearest found, nearest first."""
-        n = len(self.ids)
-        at = query @ self.directions
-        lo = np.array([np.searchsorted(s, x) for s, x in zip(self.sorted, at, strict=True)])
+        order = np.argsort(projected, axis=0, kind="stable")
+        self.sorted = np.ascontiguousarray(np.take_along_axis(projected, order, axis=0).T)
+        self.order = np.ascontiguousarray(order.T)
+
+    def _first_of_each(self, found: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Nearest first, ties to the smaller id; of rows that share an id the nearest."""
+        best = np.lexsort((self.ids[found], far))
+        if self.repeats:
+            best = best[np.sort(np.unique(self.ids[found[best]], return_index=True)[1])]
+        return found[best], far[best]
+
+    def nearest(self, own: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the ids and distances of the k nearest found, nearest first."""
+        n, q = len(self.ids), len(queries)
+        at = queries @ self.directions
+        lo = np.stack([np.searchsorted(s, x) for s, x in zip(self.sorted, at.T, strict=True)], axis=1)
         hi = lo.copy()
-        near = np.array([min(abs(s[min(n - 1, i)] - x), abs(s[max(0, i - 1)] - x)) for s, x, i in zip(self.sorted, at, lo, strict=True)])
-        radius = max(2 * float(np.median(near)) / W, 1e-9 * float(np.abs(at).max()) or 1e-9)
-        count = np.zeros(n, np.int64)
-        done = np.zeros(n, bool)
-        found, far = np.zeros(0, np.int64), np.zeros(0)
-        want = k + int((self.ids == own).sum())
-        while True:
-            half = W * radius / 2
-            entered = []
+        # windows begin at a twentieth of the shard on either side
+        step, each = max(1, n // 20), np.arange(self.m)
+        near = np.minimum(np.abs(self.sorted[each, np.minimum(n - 1, lo + step)] - at), np.abs(self.sorted[each, np.maximum(0, lo - step)] - at))
+        radius = np.maximum(2 * np.median(near, axis=1) / W, 1e-9 * np.maximum(np.abs(at).max(axis=1), 1e-9))
+        count = np.zeros((q, n), np.int32)
+        done = np.zeros((q, n), bool)
+        found, far = [np.zeros(0, np.int64)] * q, [np.zeros(0)] * q
+        want = k + np.isin(own, self.ids)
+        active = np.arange(q)
+        while len(active):
+            half = W * radius[active] / 2
+            a, b = np.empty((len(active), self.m), np.int64), np.empty((len(active), self.m), np.int64)
             for j in range(self.m):
-                a = int(np.searchsorted(self.sorted[j], at[j] - half))
-                b = int(np.searchsorted(self.sorted[j], at[j] + half, "right"))
-                a, b = min(a, int(lo[j])), max(b, int(hi[j]))
-                entered += [self.order[j, a : lo[j]], self.order[j, hi[j] : b]]
-                lo[j], hi[j] = a, b
-            count += np.bincount(np.concatenate(entered), minlength=n)
-            new = np.flatnonzero((count >= self.least) & ~done)
-            if len(new):
-                done[new] = True
-                found = np.append(found, new)
-                far = np.append(far, np.sqrt(((self.vectors[new] - query) ** 2).sum(axis=1)))
-            if len(found) >= want and np.partition(far, want - 1)[want - 1] <= radius:
-                break
-            if (hi - lo).min() == n:
-                break
-            radius *= GROWTH
-        other = self.ids[found] != own
-        found, far = found[other], far[other]
-        best = np.lexsort((self.ids[found], far))[:k]
-        return self.ids[found[best]], far[best]
+                a[:, j] = np.searchsorted(self.sorted[j], at[active, j] - half)
+                b[:, j] = np.searchsorted(self.sorted[j], at[active, j] + half, "right")
+            a, b = np.minimum(a, lo[active]), np.maximum(b, hi[active])
+            goes_on = []
+            for i, a_i, b_i in zip(active.tolist(), a, b, strict=True):
+                entered = [order[x:y] for order, x, y in zip(self.order, a_i.tolist(), lo[i].tolist(), strict=True)]
+                entered += [order[x:y] for order, x, y in zip(self.order, hi[i].tolist(), b_i.tolist(), strict=True)]
+                count[i] += np.bincount(np.concatenate(entered), minlength=n).astype(np.int32)
+                new = np.flatnonzero((count[i] >= self.least) & ~done[i])
+                if len(new):
+                    done[i, new] = True
+                    apart = np.sqrt(((self.vectors[new] - queries[i]) ** 2).sum(axis=1))
+                    found[i], far[i] = self._first_of_each(np.append(found[i], new), np.append(far[i], apart))
+                enough = len(found[i]) >= want[i] and far[i][want[i] - 1] <= radius[i]
+                goes_on.append(not enough and int((b_i - a_i).min()) < n)
+            lo[active], hi[active] = a, b
+            active = active[np.array(goes_on, bool)]
+            radius[active] *= GROWTH
+        out = []
+        for i in range(q):
+            other = self.ids[found[i]] != own[i]
+            out.append((self.ids[found[i][other][:k]], far[i][other][:k]))
+        return out
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -116,13 +131,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id
         out = {"query_id": [], "id": [], "score": []}
         if here.num_rows and queries.num_rows:
             shard = Shard(*matrix(here))
-            for own, query in zip(*matrix(queries), strict=True):
-                ids, far = shard.nearest(own, query, k)
+            owners, asked = matrix(queries)
+            for own, (ids, far) in zip(owners, shard.nearest(owners, asked, k), strict=True):
                 out["query_id"].append(np.full(len(ids), own))
                 out["id"].append(ids)
                 out["score"].append(far)
         return pa.table({c: pa.array(np.concatenate(x) if x else [], pa.float64() if c == "score" else pa.int64()) for c, x in out.items()})
 
+    # by number, so that a task has few cells of the grid: what they cost is not their bytes
+    tasks = min(20_000, 3 * shards * n_blocks)
+    held, asked = held.repartition(tasks, *grid), asked.repartition(tasks, *grid)
     near = held.groupBy(*grid).cogroup(asked.groupBy(*grid)).applyInArrow(run, "query_id bigint, id bigint, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
-    return near.dropDuplicates(["query_id", "id"]).withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
+    return near.groupBy("query_id", "id").agg(F.min("score").alias("score")).withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
