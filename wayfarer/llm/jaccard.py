@@ -18,8 +18,9 @@ A with B, and with every member of a group whose rows were put together (OR).
    token's list and the one with the most common tokens; pairs within the bound are compared token by token, and those
    that link partition the sets into groups (components).
 3. Sets without a link are grouped by a token that many of them share.  Each
-   group stores the union of its rows, in parts of at most about ``PART``
-   members.  Sets that share a prefix token with a part query it, and
+   group stores the union of its rows, in parts of members of like size: of at
+   most about ``PART`` near copies, or ``LONE`` sets without a link, whose union
+   would else hold a bit of every token group.  Sets that share a prefix token with a part query it, and
    only the parts whose bound reaches ceil(t|Q|) are opened: their members are
    held against the query by their own rows, then token by token.  The first
    such part of a group is opened first, the others only if it holds no link.
@@ -49,8 +50,8 @@ from wayfarer.llm.components import components
 #: Tokens that are put last in the order: at most COMMON of them, which tasks have met so often.
 #: A task counts a token of the LOW part of the hash range, where most prefixes lie, from the second set on.
 COMMON, OFTEN, LOW = 1 << 20, 6, 1 << 61
-#: Members in a part of a group.
-PART = 32
+#: Members in a part of a group: of linked sets, and of others; sizes in a part differ by this factor at most.
+PART, LONE, STEP = 32, 4, 1.12
 _TOP = np.uint64(1) << np.uint64(63)
 
 
@@ -94,7 +95,7 @@ def _ordered(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """``key`` (long), ``n_shingles`` and ``component_id`` (smallest key reachable by links) of every row."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document (its matrix row once a task), and one for each token that the task met often."""
@@ -104,7 +105,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, p
             tokens, n = np.unique(np.concatenate(held), return_counts=True)
             many = (n > 1) & ((tokens < LOW) | (n >= OFTEN))
             none = pa.nulls(int(many.sum()), pa.int64())
-            return pa.RecordBatch.from_arrays([none, pa.array(n[many]), none, pa.nulls(len(none), pa.binary()), pa.array(tokens[many].astype(np.int64))], ["key", "n", "sig", "bits", "token"])
+            return pa.RecordBatch.from_arrays([none, pa.array(n[many]), none, pa.nulls(len(none), pa.binary()), pa.array(tokens[many].astype(np.int64))], ["key", "n", "sig", "bits", "token"]).append_column("h", none)
 
         for part in blocks(batches, "text"):
             found = shingle_sets(part.column("text"), k)
@@ -118,16 +119,16 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, p
                     size += len(x)
                 sigs.append(sig)
                 bits.append(_bits(x).tobytes() if new else None)
-            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([len(x) for x in found], pa.int64()), pa.array(sigs, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(len(found), pa.int64())], ["key", "n", "sig", "bits", "token"])
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([len(x) for x in found], pa.int64()), pa.array(sigs, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(len(found), pa.int64()), part.column("h")], ["key", "n", "sig", "bits", "token", "h"])
             if size > 4_000_000:
                 yield often()
                 held, size = [], 0
         if held:
             yield often()
 
-    both = written(rows.mapInArrow(sets, "key bigint, n bigint, sig bigint, bits binary, token bigint"), "sets")
-    seen = both.where("token IS NULL").select("key", F.col("n").cast("int").alias("n"), "sig")
-    classes = seen.where("n > 0").groupBy("n", "sig").agg(F.min("key").alias("class"))
+    both = written(rows.mapInArrow(sets, "key bigint, n bigint, sig bigint, bits binary, token bigint, h bigint"), "sets")
+    seen = both.where("token IS NULL").select("key", F.col("n").cast("int").alias("n"), "sig", "h")
+    classes = written(seen.where("n > 0").groupBy("n", "sig").agg(F.min("key").alias("class"), F.min("h").alias("h")), "classes")
     matrix = both.where("bits IS NOT NULL").select("sig", F.col("n").cast("int").alias("n"), "bits")
     common = both.where("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "token").limit(COMMON)
     last = spark.sparkContext.broadcast(np.sort(common.select("token").toArrow()["token"].to_numpy().astype(np.uint64)))
@@ -161,17 +162,17 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, p
     close = (F.col("n") * percent <= F.col("m") * 100) & (F.col("m") * percent <= F.col("n") * 100)
     ends = lists.select("sig", "n", F.explode(F.array("middle", "head")).alias("end"))
     stars = ends.select("sig", "n", F.col("end.sig").alias("to"), F.col("end.n").alias("m")).where("sig <> to OR n <> m").where(close).distinct()
-    linked = compared(rows, within_bound(stars, matrix, percent), k, percent)
+    linked = compared(rows, classes, within_bound(stars, matrix, percent), k, percent)
     groups = components(linked.select(F.col("sig").alias("a"), F.col("to").alias("b")))
     # sets without a link are grouped by the token of their prefix that most sets have
     lead = lists.groupBy("sig", "n").agg(F.max_by("token", F.struct("sets", "token")).alias("lead"))
     grouped = lead.join(groups, F.col("sig") == F.col("node"), "left").select("sig", "n", F.coalesce("component", "lead").alias("grp"), F.col("component").isNotNull().alias("linked"))
     grouped = written(grouped, "groups")
-    links = linked.unionByName(across_groups(rows, lists, grouped, matrix, k, percent))
+    links = linked.unionByName(across_groups(rows, classes, lists, grouped, matrix, k, percent))
     named = classes.select("n", "sig", "class")
     edges = links.join(named.select(F.col("n"), "sig", F.col("class").alias("a")), ["n", "sig"]).join(named.select(F.col("n").alias("m"), F.col("sig").alias("to"), F.col("class").alias("b")), ["m", "to"])
     whole = components(edges.select("a", "b"))
-    out = seen.join(classes, ["n", "sig"], "left").join(whole, F.col("class") == F.col("node"), "left")
+    out = seen.drop("h").join(classes.drop("h"), ["n", "sig"], "left").join(whole, F.col("class") == F.col("node"), "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "class", "key").alias("component_id"))
 
 
@@ -214,25 +215,26 @@ def within_bound(pairs: DataFrame, matrix: DataFrame, percent: int) -> DataFrame
     return _filter(held, ["sig", "n", "to", "m"], percent, lambda a, b, n, m: _links(min(_bound(a, n, b), _bound(b, m, a)), n, m, percent))
 
 
-def compared(rows: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of the pairs (sig, n, to, m) those that link, by their whole sets, made again from the texts of these sets alone."""
+def compared(rows: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of the pairs (sig, n, to, m) those that link, by their whole sets, made again from one text of each set."""
     spark = rows.sparkSession
     pairs = written(pairs, "pairs")
     wanted = pairs.select("sig", "n").unionByName(pairs.select(F.col("to").alias("sig"), F.col("m").alias("n"))).distinct()
-    mask = spark.sparkContext.broadcast(_bloom(wanted.select("sig")))
+    wanted = classes.join(wanted, ["sig", "n"], "left_semi").select("sig", "n", "h")
+    mask = spark.sparkContext.broadcast(_bloom(wanted.select("h")))
 
     def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = set()
-        for part in blocks(batches, "text"):
+        for part in blocks((b.filter(pa.array(_maybe(mask.value, b.column("h").to_numpy(zero_copy_only=False)))) for b in batches), "text"):
             sigs, held = [], []
             for x in shingle_sets(part.column("text"), k):
-                if len(x) and (s := _signature(x)) not in met and _maybe(mask.value, s):
+                if len(x) and (s := _signature(x)) not in met:
                     met.add(s)
                     sigs.append(s)
                     held.append(x.tobytes())
             yield pa.RecordBatch.from_pydict({"sig": pa.array(sigs, pa.int64()), "n": pa.array([len(x) // 8 for x in held], pa.int32()), "tokens": pa.array(held, pa.binary())})
 
-    sets = rows.mapInArrow(tokens_of, "sig bigint, n int, tokens binary").join(wanted, ["sig", "n"], "left_semi").dropDuplicates(["sig", "n"])
+    sets = rows.select("text", "h").mapInArrow(tokens_of, "sig bigint, n int, tokens binary").join(wanted.select("sig", "n"), ["sig", "n"], "left_semi").dropDuplicates(["sig", "n"])
     sets = written(sets, "members")
     held = pairs.join(sets.withColumnRenamed("tokens", "a"), ["sig", "n"]).join(sets.select(F.col("sig").alias("to"), F.col("n").alias("m"), F.col("tokens").alias("b")), ["to", "m"])
     return written(_filter(held, ["sig", "n", "to", "m"], percent, lambda a, b, n, m: _links(_overlap(a, b), n, m, percent)), "links")
@@ -246,73 +248,80 @@ def _overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.count_nonzero(y[at] == x))
 
 
-def _bloom(sigs: DataFrame, bits: int = 1 << 24) -> np.ndarray:
-    """A filter of fixed size over the signatures; what it lets through in error is joined away later."""
-    word = F.shiftright(F.col("sig").bitwiseAND(bits - 1), 6)
-    # signatures are hashes already: their low bits choose the bit
-    found = sigs.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(sig & 63 as int))")).alias("mask")).toArrow()
+def _bloom(hashes: DataFrame, bits: int = 1 << 24) -> np.ndarray:
+    """A filter of fixed size over the hashes ``h``; what it lets through in error is joined away later."""
+    word = F.shiftright(F.col("h").bitwiseAND(bits - 1), 6)
+    # the low bits of a hash choose the bit
+    found = hashes.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("mask")).toArrow()
     table = np.zeros(bits // 64, np.uint64)
     table[found["word"].to_numpy()] = found["mask"].to_numpy().view(np.uint64)
     return table
 
 
-def _maybe(table: np.ndarray, sig: int) -> bool:
-    at = sig & (len(table) * 64 - 1)
-    return bool((int(table[at >> 6]) >> (at & 63)) & 1)
+def _maybe(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes.astype(np.int64) & (len(table) * 64 - 1)
+    return (table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
 
 
-def across_groups(rows: DataFrame, lists: DataFrame, grouped: DataFrame, matrix: DataFrame, k: int, percent: int) -> DataFrame:
+def across_groups(rows: DataFrame, classes: DataFrame, lists: DataFrame, grouped: DataFrame, matrix: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (sig, n, to, m) between sets that share a prefix token and no component: of a set and a component, one at least if there is one."""
-    group, cell = ["grp", "linked"], ["grp", "linked", "part"]
-    sizes = grouped.groupBy(*group).agg(F.count("*").alias("size"))
-    parts = grouped.join(sizes, group).withColumn("part", F.pmod(F.xxhash64("sig", "n"), F.ceil(F.col("size") / PART)))
+    group, cell = ["grp", "linked"], ["grp", "linked", "step", "part"]
+    stepped = grouped.withColumn("step", F.floor(F.log(F.col("n")) / float(np.log(STEP))).cast("int"))
+    inside = stepped.groupBy(*group, "step").agg(F.count("*").alias("inside"))
+    sizes = inside.groupBy(*group).agg(F.sum("inside").alias("size"))
+    most = F.when(F.col("linked"), PART).otherwise(LONE)
+    parts = stepped.join(inside.join(sizes, group), [*group, "step"]).withColumn("part", F.pmod(F.xxhash64("sig", "n"), F.ceil(F.col("inside") / most))).drop("inside")
     ranges = parts.groupBy(*cell).agg(F.min("n").alias("low"), F.max("n").alias("high"))
     parts = written(parts.join(ranges, cell), "parts")
     posted = lists.select("token", "sig", "n").join(parts, ["sig", "n"])
-    here = posted.select("token", "sig", "n", F.struct("linked", "size", "grp", "part").alias("own"))
-    there = posted.select("token", F.struct("linked", "size", "grp", "part").alias("other"), "low", "high").distinct()
+    here = posted.select("token", "sig", "n", F.struct("linked", "size", "grp", "step", "part").alias("own"))
+    there = posted.select("token", F.struct("linked", "size", "grp", "step", "part").alias("other"), "low", "high").distinct()
     fits = (F.col("n") * percent <= F.col("high") * 100) & (F.col("low") * percent <= F.col("n") * 100)
-    # a set asks the parts that come after its own, and its own unless that is connected already
+    # a set asks the parts that come after its own; inside a part without links its members are held against each other
     later = (F.col("own") < F.col("other")) & ~(F.col("own.linked") & F.col("other.linked") & (F.col("own.grp") == F.col("other.grp")))
-    asks = here.join(there, "token").where((later | ((F.col("own") == F.col("other")) & ~F.col("own.linked"))) & fits)
-    asks = written(asks.select("sig", "n", "other.grp", "other.linked", "other.part").distinct(), "asks")
+    asks = here.join(there, "token").where(later & fits)
+    asks = written(asks.select("sig", "n", "other.grp", "other.linked", "other.step", "other.part").distinct(), "asks")
 
     cells = parts.select("sig", "n", *cell).join(matrix, ["sig", "n"])
     member = pa.list_(pa.struct([("to", pa.int64()), ("m", pa.int32()), ("bits", pa.binary())]))
+    pair = pa.list_(pa.struct([("sig", pa.int64()), ("n", pa.int32()), ("to", pa.int64()), ("m", pa.int32())]))
 
     def union(table: pa.Table) -> pa.Table:
         held = [np.frombuffer(t.as_buffer(), np.uint64) for t in table["bits"]]
         words = min(map(len, held))
         whole = np.bitwise_or.reduce([_folded(x, words) for x in held])
         members = [dict(zip(("to", "m", "bits"), x, strict=True)) for x in zip(*(table[c].to_pylist() for c in ("sig", "n", "bits")), strict=True)]
-        return pa.table({**{c: table[c][:1] for c in cell}, "b": pa.array([whole.tobytes()], pa.binary()), "members": pa.array([members], member)})
-
-    stored = written(cells.groupBy(*cell).applyInArrow(union, "grp bigint, linked boolean, part bigint, b binary, members array<struct<to: bigint, m: int, bits: binary>>"), "unions")
-    bounds = asks.join(stored.drop("members"), cell).join(matrix.withColumnRenamed("bits", "a"), ["sig", "n"])
+        within = []
+        for i, x in enumerate(members if not table["linked"][0].as_py() else ()):
+            near = _possible(held[i], x["m"], members[i + 1 :], percent)
+            within += [{"sig": x["to"], "n": x["m"], "to": y["to"], "m": y["m"]} for y in near]
+        return pa.table({**{c: table[c][:1] for c in cell}, "b": pa.array([whole.tobytes()], pa.binary()), "members": pa.array([members], member), "within": pa.array([within], pair)})
+
+    stored = written(cells.groupBy(*cell).applyInArrow(union, "grp bigint, linked boolean, step int, part bigint, b binary, members array<struct<to: bigint, m: int, bits: binary>>, within array<struct<sig: bigint, n: int, to: bigint, m: int>>"), "unions")
+    bounds = asks.join(stored.drop("members", "within"), cell).join(matrix.withColumnRenamed("bits", "a"), ["sig", "n"])
     reached = written(_filter(bounds, ["sig", "n", *cell], percent, lambda a, b, n: _bound(a, n, b) >= _least(n, percent)), "reached")
 
     def opened(asked: DataFrame) -> DataFrame:
-        held = asked.join(stored.drop("b"), cell).join(matrix, ["sig", "n"]).select("sig", "n", "linked", "bits", "members")
+        held = asked.join(stored.drop("b", "within"), cell).join(matrix, ["sig", "n"]).select("sig", "n", "bits", "members")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 good = []
-                for sig, n, linked, bits, members in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
+                for sig, n, bits, members in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
                     near = [x for x in members if n * percent <= x["m"] * 100 and x["m"] * percent <= n * 100]
-                    if not linked and any((x["m"], x["to"]) == (n, sig) for x in members):  # its own part: each pair once
-                        near = [x for x in near if (n, sig) < (x["m"], x["to"])]
                     good += [(sig, n, x["to"], x["m"]) for x in _possible(np.frombuffer(bits, np.uint64), n, near, percent)]
                 yield pa.RecordBatch.from_pydict({c: pa.array([g[i] for g in good], kind) for i, (c, kind) in enumerate((("sig", pa.int64()), ("n", pa.int32()), ("to", pa.int64()), ("m", pa.int32())))})
 
-        return compared(rows, held.mapInArrow(run, "sig bigint, n int, to bigint, m int"), k, percent)
+        return held.mapInArrow(run, "sig bigint, n int, to bigint, m int")
 
     # parts of one component give the same answer: the first is opened first
-    begun = reached.where("linked").groupBy("sig", "n", "grp").agg(F.min("part").alias("first"))
-    tried = reached.join(begun, ["sig", "n", "grp"], "left").withColumn("now", F.coalesce(~F.col("linked") | (F.col("part") == F.col("first")), F.lit(True)))
-    first = opened(tried.where("now").select("sig", "n", *cell))
+    begun = reached.where("linked").groupBy("sig", "n", "grp").agg(F.min(F.struct("step", "part")).alias("first"))
+    tried = reached.join(begun, ["sig", "n", "grp"], "left").withColumn("now", F.coalesce(~F.col("linked") | (F.struct("step", "part") == F.col("first")), F.lit(True)))
+    within = stored.select(F.explode("within").alias("pair")).select("pair.*")
+    first = compared(rows, classes, opened(tried.where("now").select("sig", "n", *cell)).unionByName(within), k, percent)
     found = first.join(parts.where("linked").select(F.col("sig").alias("to"), F.col("n").alias("m"), "grp"), ["to", "m"]).select("sig", "n", "grp").distinct()
     rest = written(tried.where("NOT now").select("sig", "n", *cell).join(found, ["sig", "n", "grp"], "left_anti"), "rest")
-    return first if rest.isEmpty() else first.unionByName(opened(rest))
+    return first if rest.isEmpty() else first.unionByName(compared(rows, classes, opened(rest), k, percent))
 
 
 def _possible(a: np.ndarray, n: int, members: list[dict], percent: int) -> list[dict]:
