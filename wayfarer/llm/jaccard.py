@@ -274,13 +274,18 @@ def across_groups(rows: DataFrame, classes: DataFrame, lists: DataFrame, grouped
     ranges = parts.groupBy(*cell).agg(F.min("n").alias("low"), F.max("n").alias("high"))
     parts = written(parts.join(ranges, cell), "parts")
     posted = lists.select("token", "sig", "n").join(parts, ["sig", "n"])
-    here = posted.select("token", "sig", "n", F.struct("linked", "size", "grp", "step", "part").alias("own"))
-    there = posted.select("token", F.struct("linked", "size", "grp", "step", "part").alias("other"), "low", "high").distinct()
     fits = (F.col("n") * percent <= F.col("high") * 100) & (F.col("low") * percent <= F.col("n") * 100)
     # a set asks the parts that come after its own; inside a part without links its members are held against each other
-    later = (F.col("own") < F.col("other")) & ~(F.col("own.linked") & F.col("other.linked") & (F.col("own.grp") == F.col("other.grp")))
-    asks = here.join(there, "token").where(later & fits)
-    asks = written(asks.select("sig", "n", "other.grp", "other.linked", "other.step", "other.part").distinct(), "asks")
+    here = posted.select("token", "sig", "n", F.struct("linked", "size", "grp").alias("whole"), F.struct("step", "part").alias("place"))
+    lone = posted.where("NOT linked").select("token", *cell, "low", "high", F.struct("linked", "size", "grp").alias("their"), F.struct("step", "part").alias("theirs")).distinct()
+    later = ~F.col("whole.linked") & ((F.col("whole") < F.col("their")) | ((F.col("whole") == F.col("their")) & (F.col("place") < F.col("theirs"))))
+    to_lone = here.join(lone, "token").where(later & fits).select("sig", "n", *cell)
+    # nearly every part of a component holds the tokens that its members share: sets find the component by them, then all its parts of their size
+    held_by = posted.where("linked").groupBy("token", *group, "step", "size").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    asked = here.join(held_by.withColumn("their", F.struct("linked", "size", "grp")), "token").where((F.col("whole") < F.col("their")) & fits)
+    spans = parts.where("linked").select(*cell, "low", "high").distinct()
+    to_linked = asked.select("sig", "n", *group, "step").distinct().join(spans, [*group, "step"]).where(fits).select("sig", "n", *cell)
+    asks = written(to_lone.unionByName(to_linked).distinct(), "asks")
 
     cells = parts.select("sig", "n", *cell).join(matrix, ["sig", "n"])
     member = pa.list_(pa.struct([("to", pa.int64()), ("m", pa.int32()), ("bits", pa.binary())]))
