@@ -15,7 +15,8 @@ after the shuffle.
 Edge cases: a null or unparsable URL has no host and is never blocked; a capture
 without a fetch time matches nothing; entries of a value on the same day apply
 in the order add, remove; repeated entries change nothing; rows that repeat are
-evaluated each; with an empty list nothing is blocked.
+evaluated each; with an empty list nothing is blocked; columns of the captures
+stay, but for those named as the results.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched") -> DataFrame:
     """``captures`` with ``host``, ``blocked``, ``lists`` (sorted, comma-joined) and ``n_entries`` active and matching."""
-    active = intervals(entries).withColumn("candidate", F.concat_ws(":", "kind", "value")).drop("kind", "value")
+    active = intervals(entries).select(F.concat_ws(":", "kind", "value").alias("_value"), F.col("list").alias("_list"), F.col("since").alias("_since"), F.col("until").alias("_until"))
     if entries.count() <= BROADCAST_ROWS:
         active = F.broadcast(active)
     kept = captures.drop("host", "blocked", "lists", "n_entries")
@@ -67,12 +68,12 @@ def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched:
     # a prefix ends at a slash, or is the whole path
     candidates = F.when(F.col("_host") != "", F.array_distinct(F.concat(domains, prefixes, F.array(F.concat(F.lit("prefix:"), F.col("_host"), path)))))
     rows = kept.withColumn("_row", F.monotonically_increasing_id()).withColumn("_host", host)
-    asked = rows.select("*", F.explode_outer(candidates).alias("candidate"))
-    then = (F.col(fetched) >= F.col("since")) & (F.col("until").isNull() | (F.col(fetched) < F.col("until")))
-    matched = asked.join(active, (asked["candidate"] == active["candidate"]) & then, "left").drop("candidate", "since", "until")
+    asked = rows.select("*", F.explode_outer(candidates).alias("_candidate"))
+    then = (F.col(fetched) >= F.col("_since")) & (F.col("_until").isNull() | (F.col(fetched) < F.col("_until")))
+    matched = asked.join(active, (F.col("_candidate") == F.col("_value")) & then, "left").drop("_candidate", "_value", "_since", "_until")
     same = [F.col(c) for c in rows.columns]
-    found = matched.groupBy(*same).agg(F.collect_set("list").alias("_lists"), F.count("list").alias("n_entries"))
-    return found.select(*kept.columns, F.col("_host").alias("host"), (F.col("n_entries") > 0).alias("blocked"), F.array_join(F.array_sort("_lists"), ",").alias("lists"), "n_entries")
+    found = matched.groupBy(*same).agg(F.collect_set("_list").alias("_lists"), F.count("_list").alias("_active"))
+    return found.select(*kept.columns, F.col("_host").alias("host"), (F.col("_active") > 0).alias("blocked"), F.array_join(F.array_sort("_lists"), ",").alias("lists"), F.col("_active").alias("n_entries"))
 
 
 SQL = """
