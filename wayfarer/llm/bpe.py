@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from wayfarer.llm._text import blocks
 
 #: Bytes of text whose distinct pieces are replayed together.
-REPLAYED_BYTES = 8_000_000
+REPLAYED_BYTES = 2_000_000
 #: Pieces whose ids a worker remembers from block to block; when full it starts anew.
-REMEMBERED = 150_000
+REMEMBERED = 80_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -206,8 +206,9 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: bo
             met = [p.encode() for p in islice(number, len(coded), None)]
             got = replay.encode(met)
             coded += got
-            decoded += [b"".join(map(replay.tokens.__getitem__, x)) for x in got]
-            shown += [",".join(map(str, x)).encode() for x in got]
+            if digests:
+                decoded += [b"".join(map(replay.tokens.__getitem__, x)) for x in got]
+                shown += [",".join(map(str, x)).encode() for x in got]
             columns = dict(zip(part.schema.names, part.columns, strict=True))
             counts = np.array([len(x) for x in coded])
             columns["n_tokens"] = pa.array([int(counts[row].sum()) for row in rows], pa.int64())
