@@ -52,6 +52,8 @@ from wayfarer.llm.components import components
 COMMON, OFTEN, LOW = 1 << 20, 6, 1 << 61
 #: Members in a part of a group: of linked sets, and of others; sizes in a part differ by this factor at most.
 PART, LONE, STEP = 32, 4, 1.12
+#: Bytes of text that become shingles together.
+BLOCK = 500_000
 _TOP = np.uint64(1) << np.uint64(63)
 
 
@@ -107,7 +109,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, p
             none = pa.nulls(int(many.sum()), pa.int64())
             return pa.RecordBatch.from_arrays([none, pa.array(n[many]), none, pa.nulls(len(none), pa.binary()), pa.array(tokens[many].astype(np.int64))], ["key", "n", "sig", "bits", "token"]).append_column("h", none)
 
-        for part in blocks(batches, "text"):
+        for part in blocks(batches, "text", BLOCK):
             found = shingle_sets(part.column("text"), k)
             sigs, bits = [], []
             for x in found:
@@ -135,7 +137,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, p
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = set()
-        for part in blocks(batches, "text"):
+        for part in blocks(batches, "text", BLOCK):
             tokens, sigs, sizes, shared = [], [], [], []
             for x in shingle_sets(part.column("text"), k):
                 n = len(x)
@@ -225,7 +227,7 @@ def compared(rows: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, perc
 
     def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = set()
-        for part in blocks((b.filter(pa.array(_maybe(mask.value, b.column("h").to_numpy(zero_copy_only=False)))) for b in batches), "text"):
+        for part in blocks((b.filter(pa.array(_maybe(mask.value, b.column("h").to_numpy(zero_copy_only=False)))) for b in batches), "text", BLOCK):
             sigs, held = [], []
             for x in shingle_sets(part.column("text"), k):
                 if len(x) and (s := _signature(x)) not in met:
