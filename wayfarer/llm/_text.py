@@ -7,6 +7,7 @@ runs once per block and not once per word.  A block holds at most
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,6 +16,9 @@ import pyarrow.compute as pc
 
 BLOCK_BYTES = 2_000_000
 
+#: The C library's own call, where it has one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 #: A-Z to a-z, all other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -54,8 +58,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker stays for later tasks, beside others of its executor."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def blocks(batches: Iterable[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the text of each part stays under ``limit`` bytes (one row at least)."""
+    give_back()  # what earlier tasks have left
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -67,6 +79,7 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str, limit: int = BLOCK_BY
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
