@@ -144,6 +144,39 @@ def test_decontamination_finds_near_matches_and_takes_empty_tables(spark):
     assert all(r.n_hit == 0 for r in decontaminate.decontaminate(docs, items.limit(0)).collect())
 
 
+def test_near_matches_equal_brute_force_at_every_offset(spark, monkeypatch):
+    """Words 4-13 of an item with words 7 and 9 replaced, its last words, and windows drawn at random."""
+    monkeypatch.setattr(decontaminate, "CANDIDATES", 50)
+    rng = np.random.default_rng(17)
+    items = {"whole": [f"a{i}" for i in range(23)], "few": list(rng.choice(WORDS[:8], 14)), "short": ["s1", "s2", "s3", "s4", "s5"]}
+    rows = []
+    for words in items.values():
+        size = min(10, len(words))
+        for at in range(len(words) - size + 1):
+            quoted = words[at : at + size]
+            for i in rng.choice(size, 2, replace=False):
+                quoted[i] = "changed"
+            rows.append(f"q {' '.join(quoted)} q")
+    rows += ["q " + " ".join("changed" if i in (7, 9) else w for i, w in enumerate(items["whole"]) if 4 <= i <= 13) + " q"]
+    # what a document lacks may not be borrowed from those beside it
+    rows += ["a0 a1 a2 a3 a4 a5 a6 x y z", "a7 a8 a9 q", *(prose(rng, 40, WORDS[:8]) for _ in range(8))]
+    docs = made(spark, list(enumerate(rows))).coalesce(1)
+    found = decontaminate.decontaminate(docs, spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id string, text string"), slop=2).collect()
+    for r in found:
+        text, expected = rows[int(r.doc)].split(), set()
+        for item, words in items.items():
+            size = min(10, len(words))
+            inside = [(x.start, x.stop) for x in r.exact if x.item == item]
+            for w in range(len(words) - size + 1):
+                whole = [s for s in range(len(text) - size + 1) if text[s : s + size] == words[w : w + size]]
+                for s in range(len(text) - size + 1):
+                    there = sum(words[w + i] in text[max(0, s + i - 2) : s + i + 3] for i in range(size))
+                    if there >= size - 2 and not any(abs(s - x) <= 2 for x in whole) and not any(a <= s and s + size <= b for a, b in inside):
+                        expected |= {(item, i) for i in range(s, s + size)}
+        assert {(x.item, i) for x in r.near for i in range(x.start, x.stop)} == expected, r.doc
+    assert {x.item for r in found for x in r.near} == set(items)
+
+
 def brute_lines(rows, least):
     """Every run of whole lines with enough words that occurs before goes."""
     places = sorted({(k, t) for k, t in rows if t is not None}, key=lambda x: (x[0] is not None, x[0]))

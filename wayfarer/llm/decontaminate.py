@@ -37,6 +37,8 @@ from wayfarer.llm._text import ALNUM, blocks, hashed_words
 QUERY_BYTES = 4_000_000
 #: Empty places around a row's words; larger than a window with its slop.
 FRAME = 1 << 10
+#: Postings that proximity matches start from at once.
+CANDIDATES = 1_000_000
 
 INDEX = "part bigint, docs array<string>, bounds binary, terms binary, begins binary, places binary"
 MATCHES = "doc string, n_words bigint, part bigint, row bigint, exact array<struct<item: string, start: int, stop: int>>, near array<struct<item: string, start: int, stop: int>>"
@@ -80,15 +82,14 @@ class Windows:
         self.items = items
         words, bounds = hashed_words(pa.array(texts, pa.string()), ALNUM)
         self.vocabulary, self.word = np.unique(words, return_inverse=True)
-        starts, stops, owners, item_starts = [], [], [], []
+        starts, stops, owners = [], [], []
         for i in range(len(items)):
             a, b = int(bounds[i]), int(bounds[i + 1])
             for s in range(a, max(a + 1, b - window + 1)) if b > a else ():
                 starts.append(s)
                 stops.append(min(s + window, b))
                 owners.append(i)
-                item_starts.append(a)
-        self.starts, self.stops, self.owners, self.item_starts = (np.array(x, np.int64) for x in (starts, stops, owners, item_starts))
+        self.starts, self.stops, self.owners = (np.array(x, np.int64) for x in (starts, stops, owners))
 
 
 class _Row:
@@ -113,12 +114,17 @@ class _Row:
         within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return self.places[np.repeat(self.begin[words], n) + within].astype(np.int64) - offsets[of], of
 
-    def stands(self, words: np.ndarray, at: np.ndarray, slop: int) -> np.ndarray:
-        """Whether each word stands within ``slop`` of its place."""
+    def stands(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether each word stands at its place."""
+        return self.word[at + FRAME] == words
+
+    def stands_near(self, words: np.ndarray, at: np.ndarray, first: np.ndarray, end: np.ndarray, slop: int) -> np.ndarray:
+        """Whether each word stands within ``slop`` of its place and in its document, from ``first`` to before ``end``."""
         found = self.word[at + FRAME] == words
+        found &= (at >= first) & (at < end)
         for d in range(1, slop + 1):
-            found |= self.word[at + FRAME - d] == words
-            found |= self.word[at + FRAME + d] == words
+            found |= (self.word[at + FRAME - d] == words) & (at - d >= first) & (at - d < end)
+            found |= (self.word[at + FRAME + d] == words) & (at + d >= first) & (at + d < end)
         return found
 
 
@@ -134,14 +140,14 @@ def search_row(windows: Windows, terms: np.ndarray, begins: np.ndarray, places:
     sizes = windows.stops - windows.starts
     for size in np.unique(sizes).tolist():
         some = np.flatnonzero((sizes == size) & (lacking == 0))
-        for w, start in zip(*_phrases(windows, row, some, size), strict=True):
+        phrases = _phrases(windows, row, some, size)
+        for w, start in zip(*phrases, strict=True):
             _add(exact, windows, w, start, size, bounds)
         may_miss = min(missing, size - 2)
         if slop and may_miss > 0:
-            # windows that overlap by half tell as much about a passage as all of them
-            some = np.flatnonzero((sizes == size) & (lacking <= may_miss) & ((windows.starts - windows.item_starts) % max(1, size // 2) == 0))
-            for w, start in zip(*_proximities(windows, row, some, size, slop, may_miss), strict=True):
-                if not any(item == windows.items[windows.owners[w]] and a <= start - bounds[d] <= b for d in [int(np.searchsorted(bounds, start, "right")) - 1] for item, a, b in exact.get(d, ())):
+            some = np.flatnonzero((sizes == size) & (lacking <= may_miss))
+            for w, start in zip(*_proximities(windows, row, some, size, slop, may_miss, phrases), strict=True):
+                if not any(item == windows.items[windows.owners[w]] and a <= start - bounds[d] and start + size - bounds[d] <= b for d in [int(np.searchsorted(bounds, start, "right")) - 1] for item, a, b in exact.get(d, ())):
                     _add(near, windows, w, start, size, bounds)
     return exact, near
 
@@ -159,29 +165,52 @@ def _phrases(windows: Windows, row: _Row, some: np.ndarray, size: int) -> tuple[
     good = _inside(start, size, row.bounds)
     start, of = start[good], of[good]
     for r in range(1, size):
-        good = row.stands(words[of, r], start + offsets[of, r], 0)
+        good = row.stands(words[of, r], start + offsets[of, r])
         start, of = start[good], of[good]
     return some[of].tolist(), start.tolist()
 
 
-def _proximities(windows: Windows, row: _Row, some: np.ndarray, size: int, slop: int, may_miss: int) -> tuple[list, list]:
-    words, offsets = _by_rarity(windows, row, some, size)
+def _proximities(windows: Windows, row: _Row, some: np.ndarray, size: int, slop: int, may_miss: int, phrases: tuple[list, list]) -> tuple[list, list]:
+    """The windows and starts of all proximity matches, but where the same window is a phrase within ``slop``."""
     at, starts = [], []
-    for r in range(may_miss + 1 if len(some) else 0):  # one of these words must be there
-        start, of = row.starts(words[:, r], offsets[:, r])
-        good = _inside(start, size, row.bounds)
-        start, of = start[good], of[good]
-        misses = np.zeros(len(of), np.int64)
-        for other in range(size):
-            misses += ~row.stands(words[of, other], start + offsets[of, other], slop)
-            good = misses <= may_miss
-            start, of, misses = start[good], of[good], misses[good]
-        at.append(of)
-        starts.append(start)
+    words, offsets = _by_rarity(windows, row, some, size)
+    # so many windows at a time as start from about ``CANDIDATES`` postings: what is held at once is bounded
+    load = np.cumsum(row.count[words[:, : may_miss + 1]].sum(axis=1))
+    cuts = np.flatnonzero(np.diff(load // CANDIDATES)) + 1
+    for some_words, some_offsets, numbers in zip(np.split(words, cuts), np.split(offsets, cuts), np.split(some, cuts), strict=True):
+        for r in range(may_miss + 1 if len(numbers) else 0):  # one of these words must be near its place
+            start, of = row.starts(some_words[:, r], some_offsets[:, r])
+            # where it stands off its place by up to slop, the others stand within twice that
+            start, of = _enough(row, some_words, some_offsets, start, of, 2 * slop, may_miss, False)
+            start, of = (start[:, None] + np.arange(-slop, slop + 1)).reshape(-1), np.repeat(of, 2 * slop + 1)
+            good = _inside(start, size, row.bounds)
+            start, of = _enough(row, some_words, some_offsets, start[good], of[good], slop, may_miss, True)
+            at.append(numbers[of])
+            starts.append(start)
     if not at:
         return [], []
-    found = np.unique(np.stack([np.concatenate(at), np.concatenate(starts)]), axis=1)
-    return some[found[0]].tolist(), found[1].tolist()
+    wide = int(row.bounds[-1]) + 2 * FRAME
+    keys = np.unique(np.concatenate(at) * wide + np.concatenate(starts) + FRAME)
+    whole = np.array(phrases[0], np.int64) * wide + np.array(phrases[1], np.int64) + FRAME
+    keys = keys[~np.isin(keys, (whole[:, None] + np.arange(-slop, slop + 1)).reshape(-1))]
+    number, start = keys // wide, keys % wide - FRAME
+    order = np.lexsort((start, windows.owners[number]))
+    return number[order].tolist(), start[order].tolist()
+
+
+def _enough(row: _Row, words: np.ndarray, offsets: np.ndarray, start: np.ndarray, of: np.ndarray, slop: int, may_miss: int, within: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the starts where all words of the window but ``may_miss`` stand within ``slop`` of their place, and ``within`` its document."""
+    if within:
+        doc = np.searchsorted(row.bounds, start, "right")
+        first, end = row.bounds[doc - 1], row.bounds[np.minimum(doc, len(row.bounds) - 1)]
+    else:
+        first, end = np.full(len(start), -FRAME), np.full(len(start), row.bounds[-1] + FRAME)
+    misses = np.zeros(len(of), np.int64)
+    for other in range(words.shape[1]):
+        misses += ~row.stands_near(words[of, other], start + offsets[of, other], first, end, slop)
+        good = misses <= may_miss
+        start, of, misses, first, end = start[good], of[good], misses[good], first[good], end[good]
+    return start, of
 
 
 def _inside(starts: np.ndarray, size: int, bounds: np.ndarray) -> np.ndarray:
@@ -225,7 +254,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     ``n_hit`` counts the words inside exact matches, ``items`` names the items
     with exact matches, sorted as strings.  With ``slop`` > 0, ``near`` holds
     windows of which all words but ``missing`` stand within ``slop`` words of
-    their place.
+    their place, unless they lie inside an exact match of their item or the same
+    window matches exactly within ``slop`` words.
     """
     items = items.select(F.col(item_key).cast("string").alias("item"), F.col(item_text).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
