@@ -282,6 +282,50 @@ def test_lm_base_score_and_probabilities(spark):
     assert adaptive[1] > -400 * math.log10(256) / 4 and adaptive[2] < 0
 
 
+def brute_ppm(texts, text):
+    """log10 of the probability of a text, with all contexts of up to three bytes."""
+    follow, used = {}, {0xFE, 0xFF}
+    for t in texts:
+        data = b"\xfe\xfe\xfe" + (t or "").encode() + b"\xff"
+        for i in range(3, len(data)):
+            used.add(data[i])
+            for d in range(4):
+                follow.setdefault(data[i - d : i], Counter())[data[i]] += 1
+    data, total = b"\xfe\xfe\xfe" + (text or "").encode() + b"\xff", 0.0
+    for i in range(3, len(data)):
+        p, out = 1.0, set()
+        for d in (3, 2, 1, 0):
+            now = {s: n for s, n in follow.get(data[i - d : i], {}).items() if s not in out}
+            n, q = sum(now.values()), len(now)
+            if data[i] in now:
+                p *= now[data[i]] / (n + q)
+                break
+            if n:
+                p *= q / (n + q)
+                out |= now.keys()
+        else:
+            p /= 256 - len(used)
+        total += math.log10(p)
+    return total
+
+
+def test_lm_keeps_rare_contexts(spark, monkeypatch):
+    """No text is scored by a shorter context than it has, however rare the context is."""
+    rng = np.random.default_rng(19)
+    rows = [(i, prose(rng, int(rng.integers(1, 30)), WORDS[:60])) for i in range(30)] + [(40, None), (41, "éa écru ü"), (42, "w1 unseen Zé"), (42, "w1 unseen Zé"), (43, "w5 w66 w5w5")]
+    docs = made(spark, rows).withColumn("held_out", F.col("doc_id") >= 42)
+    learned = [t for i, t in rows if i < 42]
+    expected = sorted((i, round(brute_ppm(learned, t), 2)) for i, t in rows)
+    for share, shard in ((2.0**-16, 10**7), (0.01, 10**7), (0.01, 500), (1.1, 10**7)):
+        monkeypatch.setattr(lm, "SHARE", share)
+        monkeypatch.setattr(lm, "SHARD_BYTES", shard)
+        model = lm.train(docs.where("NOT held_out"))
+        for got in (lm.score(docs, model), lm.score_with_unigrams(docs, model)):
+            got = sorted((r.doc_id, r.score) for r in got.collect())
+            assert [i for i, _ in got] == [i for i, _ in expected]
+            assert all(abs(a - b) < 0.02 for (_, a), (_, b) in zip(got, expected, strict=True)), (share, shard)
+
+
 def test_licenses(spark):
     rows = [(1, "Released under the MIT License."), (2, None), (3, ""), (4, "Licensed under the Apache License, Version 2.0"), (5, "cc-by-nc cc by nc"), (6, "mit license"), (1, "Released under the MIT License."), (7, "x " * 20000 + "under the mit license")]
     rows += [(8, "Permission is hereby granted, free of charge, to any kind person obtaining a copy of this software and its associated documentation files")]

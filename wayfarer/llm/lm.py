@@ -27,14 +27,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfarer.llm._shared import written
 from wayfarer.llm._text import SPACED, blocks, hashed_words, text_bytes
 
 #: Bytes that never occur in UTF-8 stand for the text's begin and end.
 BEGIN, END = 0xFE, 0xFF
-#: A three-byte context is kept if it makes up this part of all training positions.
+#: A three-byte context is held by every task if it makes up this part of all training positions, else joined.
 SHARE = 2.0**-16
 #: Bytes of text that share a table of word counts.
 SHARD_BYTES = 12_000_000
@@ -76,21 +78,53 @@ def train(docs: DataFrame, text: str = "text") -> PPM:
             for i in range(0, len(keys), 100_000):
                 yield pa.RecordBatch.from_pydict({"gram": keys[i : i + 100_000].astype(np.int64), "n": n[i : i + 100_000].astype(np.int64)})
 
-    grams = docs.select(F.col(text).alias("text")).mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    grams = grams.withColumn("context", F.shiftright("gram", 8))
+    grams = written(docs.select(F.col(text).alias("text")).mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    least = math.ceil(SHARE * (grams.agg(F.sum("n")).first()[0] or 0))
+    seen = grams.select("gram", "n", F.shiftright("gram", 8).alias("context")).withColumn("n3", F.expr("sum(n) OVER (PARTITION BY context)"))
+    short = grams.groupBy(F.col("gram").bitwiseAND(0xFFFFFF).alias("gram")).agg(F.sum("n").alias("n"))
     # both tables in one result: all contexts of two bytes, and those of three that are frequent
-    short = grams.groupBy(F.col("gram").bitwiseAND(0xFFFFFF).alias("gram")).agg(F.sum("n").alias("n")).select(F.lit(2).alias("of"), "gram", "n")
-    long = grams.withColumn("seen", F.expr("sum(n) OVER (PARTITION BY context)"))
-    total = grams.agg(F.sum("n").alias("total"))
-    long = long.where(F.col("seen") >= F.ceil(F.lit(SHARE) * total.scalar())).select(F.lit(3).alias("of"), "gram", "n")
-    both = short.unionByName(long)
+    both = short.select(F.lit(2).alias("of"), "gram", "n").unionByName(seen.where(F.col("n3") >= least).select(F.lit(3).alias("of"), "gram", "n"))
     rows = both.toPandas()
     two, three = rows[rows.of == 2], rows[rows.of == 3]
-    return PPM(two.gram.to_numpy(np.int64), two.n.to_numpy(np.int64), three.gram.to_numpy(np.int64), three.n.to_numpy(np.int64))
+    model = PPM(two.gram.to_numpy(np.int64), two.n.to_numpy(np.int64), three.gram.to_numpy(np.int64), three.n.to_numpy(np.int64))
+    model.rare = written(_rare(seen.where(F.col("n3") < least), short), "contexts")
+    return model
+
+
+def _rare(grams: DataFrame, short: DataFrame) -> DataFrame:
+    """``gram`` and ``log``, its log10 probability, of the grams of rare contexts; for the bytes that their context
+    has not seen, ``mid`` or ``low`` is to be added to the log10 probability in the context of two bytes: ``mid`` if that has seen the byte.
+    """
+    shorter = short.select(F.col("gram").alias("gram2"), F.col("n").alias("count2"))
+    whole = short.groupBy(F.shiftright("gram", 8).alias("context2")).agg(F.sum("n").alias("n2"), F.count("*").alias("q2"))
+    own = grams.withColumn("gram2", F.col("gram").bitwiseAND(0xFFFFFF)).join(shorter, "gram2")
+    own = own.select("*", F.expr("count(*) OVER (PARTITION BY context)").alias("q3"), F.expr("sum(count2) OVER (PARTITION BY context)").alias("m3"))
+    own = own.withColumn("context2", F.col("context").bitwiseAND(0xFFFF)).join(whole, "context2")
+    escape = F.log10(F.col("q3") / (F.col("n3") + F.col("q3")))
+    left, q_left = F.col("n2") - F.col("m3"), F.col("q2") - F.col("q3")
+    inside = F.col("n2") + F.col("q2")
+    return own.select(
+        "gram",
+        F.log10(F.col("n") / (F.col("n3") + F.col("q3"))).alias("log"),
+        F.when(left > 0, escape + F.log10(inside / (left + q_left))).otherwise(escape).alias("mid"),
+        (F.when(left > 0, escape + F.log10(q_left / (left + q_left))).otherwise(escape) + F.log10(inside / F.col("q2"))).alias("low"),
+    )
+
+
+class Rare:
+    """The rows of the table of rare contexts that a shard of documents needs."""
+
+    def __init__(self, grams: np.ndarray, log: np.ndarray, mid: np.ndarray, low: np.ndarray):
+        order = np.argsort(grams)
+        self.grams, self.log = grams[order], log[order]
+        self.contexts, first = np.unique(self.grams >> 8, return_index=True)
+        self.mid, self.low = mid[order][first], low[order][first]
 
 
 class PPM:
-    """Tables of log10 probabilities: by two-byte context, and by kept three-byte context."""
+    """Tables of log10 probabilities: by two-byte context, and by frequent three-byte context; ``rare`` has the others."""
+
+    rare: DataFrame | None = None
 
     def __init__(self, grams2: np.ndarray, n2: np.ndarray, grams3: np.ndarray, n3: np.ndarray):
         used = np.zeros(256, bool)
@@ -147,9 +181,21 @@ class PPM:
                 longer = count3[at].astype(float)
                 table3[at] = np.log10(_blend(longer, _excluded(longer, own[suffix], after2[suffix])))
         self.table2, self.table3 = table2.reshape(-1), table3.reshape(-1)
+        #: One bit for each entry of ``table2``: whether the context has seen the byte.
+        self.seen2 = np.packbits(count2.reshape(-1) > 0)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "rare"}  # tasks get its rows by joins
 
-    def log10(self, column: pa.Array) -> np.ndarray:
-        """log10 of the probability of each whole text."""
+    def unheld(self, column: pa.Array) -> np.ndarray:
+        """The contexts of three bytes in the texts that are not among the frequent ones."""
+        framed, _ = _framed(column)
+        c = self.code[framed]
+        at = np.flatnonzero((self.row3[(c[:-3] * self.size + c[1:-2]) * self.size + c[2:-1]] < 0) & (framed[3:] != BEGIN))
+        return np.unique(_contexts(framed, at))
+
+    def log10(self, column: pa.Array, rare: Rare) -> np.ndarray:
+        """log10 of the probability of each whole text, whose rare contexts are in ``rare``."""
         framed, begins = _framed(column)
         c = self.code[framed]
         a = self.size
@@ -161,11 +207,27 @@ class PPM:
         p = np.where(known, self.table3[np.where(known, row, 0).astype(np.int64) * a + sym] if len(self.table3) else np.float32(0), self.table2[at2]).astype(np.float64)
         if not len(begins) - 1:
             return np.zeros(0)
+        if len(rare.contexts):
+            at = np.flatnonzero(~known)
+            context = _contexts(framed, at)
+            i = np.minimum(np.searchsorted(rare.contexts, context), len(rare.contexts) - 1)
+            good = rare.contexts[i] == context
+            at, context, i = at[good], context[good], i[good]
+            gram = (context << 8) | framed[at + 3]
+            j = np.minimum(np.searchsorted(rare.grams, gram), len(rare.grams) - 1)
+            two = at2[at]
+            inside = (self.seen2[two >> 3] >> (7 - (two & 7)).astype(np.uint8)) & 1
+            p[at] = np.where(rare.grams[j] == gram, rare.log[j], p[at] + np.where(inside == 1, rare.mid[i], rare.low[i]))
         p = np.append(p, [0.0, 0.0, 0.0])  # entry i is for byte i+3; a text's own entries are its length and the end
         total = np.append(0.0, np.cumsum(p))
         return total[begins[1:] - 3] - total[begins[:-1]]
 
 
+def _contexts(framed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The three bytes from each place, as a number."""
+    return (framed[at].astype(np.int64) << 16) | (framed[at + 1].astype(np.int64) << 8) | framed[at + 2]
+
+
 def _blend(own: np.ndarray, after: np.ndarray) -> np.ndarray:
     """Probabilities in contexts with counts ``own``, given those after an escape."""
     n, q = own.sum(axis=1, keepdims=True), np.count_nonzero(own, axis=1)[:, None]
@@ -179,16 +241,46 @@ def _excluded(own: np.ndarray, lower: np.ndarray, after_lower: np.ndarray) -> np
     return _blend(left, np.broadcast_to(after_lower, left.shape))
 
 
+def _dealt(docs: DataFrame, n_bytes: int, key: str, text: str, *more: str) -> DataFrame:
+    """``shard``, ``key``, ``text`` and the columns ``more``, dealt by hash to shards of about ``SHARD_BYTES``."""
+    shards = max(1, -(-n_bytes // SHARD_BYTES))
+    rows = docs.select(
+        F.pmod(F.xxhash64(F.col(key).cast("string"), text), F.lit(shards)).cast("int").alias("shard"),
+        F.col(key).alias("key"),
+        F.coalesce(text, F.lit("")).alias("text"),
+        *(F.col(name).alias(name) for name in more),
+    )
+    return rows.repartition(shards, "shard")
+
+
+def _rare_of_shards(dealt: DataFrame, model: PPM, shared: Broadcast) -> DataFrame:
+    """``shard`` and the rows of the table of rare contexts whose context is in the shard's texts."""
+
+    def contexts_of(table: pa.Table) -> pa.Table:
+        found = [shared.value.unheld(part.column("text")) for part in blocks(table.select(["text"]).to_batches(), "text")]
+        contexts = np.unique(np.concatenate([np.zeros(0, np.int64), *found]))
+        return pa.table({"shard": pa.array(np.full(len(contexts), table["shard"][0].as_py(), np.int32)), "context": contexts})
+
+    asked = dealt.select("shard", "text").groupBy("shard").applyInArrow(contexts_of, "shard int, context bigint")
+    return asked.join(model.rare.withColumn("context", F.shiftright("gram", 8)), "context").select("shard", "gram", "log", "mid", "low")
+
+
+def _rare_rows(table: pa.Table) -> Rare:
+    return Rare(*(table[x].to_numpy() for x in ("gram", "log", "mid", "low")))
+
+
 def score(docs: DataFrame, model: PPM, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and ``score``, the log10 probability of each whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    dealt = _dealt(docs, docs.agg(F.sum(F.octet_length(text))).first()[0] or 0, key, text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in blocks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(shared.value.log10(part.column("text")))], ["key", "score"])
+    def scored(shard_docs: pa.Table, contexts: pa.Table) -> pa.Table:
+        rare = _rare_rows(contexts)
+        parts = [pa.RecordBatch.from_arrays([part.column("key"), pa.array(shared.value.log10(part.column("text"), rare))], ["key", "score"]) for part in blocks(shard_docs.to_batches(), "text")]
+        return pa.Table.from_batches(parts)
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, score double").withColumnRenamed("key", key)
+    joined = dealt.groupBy("shard").cogroup(_rare_of_shards(dealt, model, shared).groupBy("shard"))
+    return joined.applyInArrow(scored, f"key {dealt.schema['key'].dataType.simpleString()}, score double").withColumnRenamed("key", key)
 
 
 def score_with_unigrams(docs: DataFrame, model: PPM, key: str = "doc_id", text: str = "text", held_out: str = "held_out") -> DataFrame:
@@ -196,19 +288,14 @@ def score_with_unigrams(docs: DataFrame, model: PPM, key: str = "doc_id", text:
 
     Documents are dealt by hash to shards of about ``SHARD_BYTES``.  Each shard
     sends its distinct words with their own counts; a window by word adds them
-    up, and what differs from the shard's own count goes back to it.  No word
-    and no document is gathered beyond its shard.
+    up, and what differs from the shard's own count goes back to it.  The rare
+    contexts of its texts come the same way.  No word and no document is
+    gathered beyond its shard.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     size = docs.agg(F.sum(F.octet_length(text)).alias("bytes"), F.count_if(~F.col(held_out)).alias("training")).first()
-    shards, training = max(1, -(-(size.bytes or 0) // SHARD_BYTES)), size.training
-    rows = docs.select(
-        F.pmod(F.xxhash64(F.col(key).cast("string"), text), F.lit(shards)).cast("int").alias("shard"),
-        F.col(key).alias("key"),
-        F.coalesce(text, F.lit("")).alias("text"),
-        F.col(held_out).alias("held_out"),
-    )
-    dealt = rows.repartition(shards, "shard")
+    training = size.training
+    dealt = _dealt(docs.withColumn("held_out", F.col(held_out)), size.bytes or 0, key, text, "held_out")
 
     def counted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """The distinct words of the shard, and how often training rows have each."""
@@ -227,9 +314,14 @@ def score_with_unigrams(docs: DataFrame, model: PPM, key: str = "doc_id", text:
     pieces = dealt.groupBy("shard").applyInArrow(words_of, "shard int, word bigint, n bigint")
     whole = pieces.select("*", F.expr("sum(n) OVER (PARTITION BY word) AS total"), F.expr("min(shard) OVER (PARTITION BY word) AS first"))
     totals = whole.agg(F.sum("n").alias("n"), F.count_if((F.col("shard") == F.col("first")) & (F.col("total") > 0)).alias("v"))
-    elsewhere = whole.where("total <> n").select("shard", "word", "total")
-
-    def scored(shard_docs: pa.Table, counts: pa.Table) -> pa.Table:
+    elsewhere = whole.where("total <> n").select("shard", "word", "total", F.lit(None).cast("struct<gram: bigint, log: double, mid: double, low: double>").alias("rare"))
+    rare = _rare_of_shards(dealt, model, shared).select("shard", F.lit(None).cast("bigint").alias("word"), F.lit(None).cast("bigint").alias("total"), F.struct("gram", "log", "mid", "low").alias("rare"))
+
+    def scored(shard_docs: pa.Table, joined: pa.Table) -> pa.Table:
+        of_words = pc.is_valid(joined["word"])
+        counts = joined.select(["word", "total"]).filter(of_words)
+        contexts = joined["rare"].filter(pc.invert(of_words))
+        contexts = _rare_rows(pa.table({x: pc.struct_field(contexts, x) for x in ("gram", "log", "mid", "low")}))
         words, n = counted(shard_docs)
         at = np.searchsorted(words, counts["word"].to_numpy().view(np.uint64))
         n[at] = counts["total"].to_numpy()
@@ -247,13 +339,13 @@ def score_with_unigrams(docs: DataFrame, model: PPM, key: str = "doc_id", text:
                     "n_words": np.diff(bounds),
                     "n_known": known[bounds[1:]] - known[bounds[:-1]],
                     "logs": np.array([math.fsum(logs[at[a:b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]),
-                    "score": shared.value.log10(part.column("text")),
+                    "score": shared.value.log10(part.column("text"), contexts),
                 })
             )
         return pa.Table.from_batches(out)
 
-    kind = rows.schema["key"].dataType.simpleString()
-    joined = dealt.groupBy("shard").cogroup(elsewhere.groupBy("shard")).applyInArrow(scored, f"key {kind}, held_out boolean, n_words bigint, n_known bigint, logs double, score double")
+    kind = dealt.schema["key"].dataType.simpleString()
+    joined = dealt.groupBy("shard").cogroup(elsewhere.unionByName(rare).groupBy("shard")).applyInArrow(scored, f"key {kind}, held_out boolean, n_words bigint, n_known bigint, logs double, score double")
     n_all, v_all = F.coalesce(totals.select("n").scalar(), F.lit(0)) + F.lit(training), F.coalesce(totals.select("v").scalar(), F.lit(0)) + F.lit(int(training > 0))
     below = F.log10(n_all + 0.1 * (v_all + 1))
     n_tokens = F.col("n_words") + 1
