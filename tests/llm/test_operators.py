@@ -366,3 +366,12 @@ def test_html(spark):
         assert texts[10 + i] == f"Title {i}\n\nText of the story number {i} goes here and on\n\nMore of story {i} follows"
     assert texts[20] == "" and texts[21] == ""
     assert html.extract(table.limit(0)).collect() == []
+
+
+def test_html_without_an_article_keeps_the_title_and_parts_beside_the_body(spark):
+    def page(i):
+        return f"<body><nav><a href=/>Home</a></nav><div class=c><h1>Title {i}</h1><div class=lead>Lead {i}</div><div class=body><p>{'Long story ' * 40}{i}</p></div><div class=end>Last {i}</div></div></body>"
+
+    rows = [(i, f"http://one{i}.example/", page(i)) for i in range(3)]
+    texts = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert texts == {i: f"Title {i}\n\nLead {i}\n\n{'Long story ' * 40}{i}\n\nLast {i}" for i in range(3)}
