@@ -1,7 +1,9 @@
 """N-gram Jaccard join with a token-group matrix.
 
 Documents become sets of hashed word shingles; equal sets are one class.
-Two sets link if 100 * |A and B| >= percent * |A or B|.
+Two sets link if 100 * |A and B| >= percent * |A or B|.  The result is the
+components only: the links and their number are not returned, and most pairs
+inside a component are never compared.
 
 The token-group matrix has a row of bits for every set: tokens are put into
 groups by their hash, four times as many groups as the set has tokens, and a
