@@ -1,4 +1,4 @@
-"""Scalar functions, classifiers and text operators: F01-F35, P01-P20, T01-T14."""
+"""Scalar functions, classifiers and text operators: F01-F35, P01-P20 but P16 and P17, T01-T14 but T09 and T12."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
