@@ -6,13 +6,18 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows (of a few numbers each) that are broadcast at most.
+BROADCAST_ROWS = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (as in tests on one machine) is a
-    temporary folder made and set as the checkpoint folder.
+    Only where a session on one machine leaves it unset, as in tests, is a
+    temporary folder made and set as the checkpoint folder; a cluster must name
+    one that all its machines see.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -21,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     path = "file://" + tempfile.mkdtemp(prefix="wayfarer-")
     context.setCheckpointDir(path)
     return path
@@ -34,6 +41,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """``df`` (a written table), to be broadcast if it was counted and has at most ``BROADCAST_ROWS`` rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A whole input table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -17,8 +17,9 @@ A with B, and with every member of a group whose rows were put together (OR).
    the links: they are those most frequent within tasks, at most ``COMMON`` of
    them, and their list is what is broadcast.
 2. Sets that share a prefix token are held against the smallest set of that
-   token's list and the one with the most common tokens; pairs within the bound are compared token by token, and those
-   that link partition the sets into groups (components).
+   token's list and the one with the most common tokens; pairs within the bound
+   are compared token by token, and those that link partition the sets into
+   groups (components).
 3. Sets without a link are grouped by a token that many of them share.  Each
    group stores the union of its rows, in parts of members of like size: of at
    most about ``PART`` near copies, or ``LONE`` sets without a link, whose union
@@ -45,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfarer.llm._shared import written
+from wayfarer.llm._shared import small, written
 from wayfarer.llm._text import SPACED, blocks, hashed_words, mix, run_hashes
 from wayfarer.llm.components import components
 
@@ -153,24 +154,26 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, p
                 sizes.append(n)
             if tokens:
                 lengths = [len(x) for x in tokens]
-                yield pa.RecordBatch.from_pydict({"token": np.concatenate(tokens).view(np.int64), "sig": np.repeat(np.array(sigs, np.int64), lengths), "n": np.repeat(np.array(sizes, np.int32), lengths), "shared": np.repeat(np.array(shared, np.int32), lengths)})
+                # both counts in one number: what travels is a row for each token
+                counts = (np.array(shared, np.int64) << 32) | np.array(sizes, np.int64)
+                yield pa.RecordBatch.from_pydict({"token": np.concatenate(tokens).view(np.int64), "sig": np.repeat(np.array(sigs, np.int64), lengths), "counts": np.repeat(counts, lengths)})
 
-    posted = rows.mapInArrow(prefixes, "token bigint, sig bigint, n int, shared int")
+    posted = rows.mapInArrow(prefixes, "token bigint, sig bigint, counts bigint")
+    n = "counts & 4294967295"
     # of many copies with changes the one with the most common tokens has the fewest changes of its own
-    middle, least, most = ("max(struct(shared, n, sig))", "min(struct(n, sig))", "max(struct(n, sig))")
-    lists = posted.select("*", *[F.expr(f"{x} OVER (PARTITION BY token) AS {name}") for name, x in (("middle", middle), ("head", least), ("tail", most), ("sets", "count(*)"))])
-    lists = written(lists.where("head <> tail").select("token", "sig", "n", F.expr("struct(middle.n, middle.sig) AS middle"), "head", "sets").distinct(), "postings")
-
-    involved = lists.select("sig", "n").distinct()
-    matrix = written(matrix.join(involved, ["sig", "n"], "left_semi").dropDuplicates(["sig", "n"]), "matrix")
-    close = (F.col("n") * percent <= F.col("m") * 100) & (F.col("m") * percent <= F.col("n") * 100)
-    ends = lists.select("sig", "n", F.explode(F.array("middle", "head")).alias("end"))
-    stars = ends.select("sig", "n", F.col("end.sig").alias("to"), F.col("end.n").alias("m")).where("sig <> to OR n <> m").where(close).distinct()
+    ends = (("middle", "max(struct(counts, sig))"), ("head", f"min(struct({n}, sig))"), ("tail", f"max(struct({n}, sig))"), ("sets", "count(*)"))
+    lists = posted.select("*", *[F.expr(f"{x} OVER (PARTITION BY token) AS {name}") for name, x in ends])
+    lists = written(lists.where("head <> tail").select("token", "sig", F.col("middle.sig").alias("middle"), F.col("head.sig").alias("head"), "sets").distinct(), "postings")
+
+    involved = lists.select("sig").distinct()
+    matrix = written(matrix.join(involved, "sig", "left_semi").dropDuplicates(["sig", "n"]), "matrix")
+    stars = lists.select("sig", F.explode(F.array("middle", "head")).alias("to")).where("sig <> to").distinct()
+    stars = written(stars, "stars")
     linked = compared(rows, classes, within_bound(stars, matrix, percent), k, percent)
     groups = components(linked.select(F.col("sig").alias("a"), F.col("to").alias("b")))
     # sets without a link are grouped by the token of their prefix that most sets have
-    lead = lists.groupBy("sig", "n").agg(F.max_by("token", F.struct("sets", "token")).alias("lead"))
-    grouped = lead.join(groups, F.col("sig") == F.col("node"), "left").select("sig", "n", F.coalesce("component", "lead").alias("grp"), F.col("component").isNotNull().alias("linked"))
+    lead = lists.groupBy("sig").agg(F.max_by("token", F.struct("sets", "token")).alias("lead"))
+    grouped = lead.join(matrix.select("sig", "n"), "sig").join(groups, F.col("sig") == F.col("node"), "left").select("sig", "n", F.coalesce("component", "lead").alias("grp"), F.col("component").isNotNull().alias("linked"))
     grouped = written(grouped, "groups")
     links = linked.unionByName(across_groups(rows, classes, lists, grouped, matrix, k, percent))
     named = classes.select("n", "sig", "class")
@@ -214,8 +217,11 @@ def _filter(held: DataFrame, columns: list[str], percent: int, test) -> DataFram
 
 
 def within_bound(pairs: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
-    """The pairs (sig, n, to, m) that can link by their rows of the matrix."""
-    held = pairs.join(matrix.withColumnRenamed("bits", "a"), ["sig", "n"]).join(matrix.select(F.col("sig").alias("to"), F.col("n").alias("m"), F.col("bits").alias("b")), ["to", "m"])
+    """Of the written pairs (sig, to) those that can link by their rows of the matrix: (sig, n, to, m)."""
+    other = matrix.join(small(written(pairs.select("to").distinct().withColumnRenamed("to", "sig"), "others")), "sig")
+    other = other.select(F.col("sig").alias("to"), F.col("n").alias("m"), F.col("bits").alias("b"))
+    close = (F.col("n") * percent <= F.col("m") * 100) & (F.col("m") * percent <= F.col("n") * 100)
+    held = matrix.withColumnRenamed("bits", "a").join(small(pairs), "sig").join(other, "to").where(close)
     return _filter(held, ["sig", "n", "to", "m"], percent, lambda a, b, n, m: _links(min(_bound(a, n, b), _bound(b, m, a)), n, m, percent))
 
 
@@ -277,7 +283,10 @@ def across_groups(rows: DataFrame, classes: DataFrame, lists: DataFrame, grouped
     parts = stepped.join(inside.join(sizes, group), [*group, "step"]).withColumn("part", F.pmod(F.xxhash64("sig", "n"), F.ceil(F.col("inside") / most))).drop("inside")
     ranges = parts.groupBy(*cell).agg(F.min("n").alias("low"), F.max("n").alias("high"))
     parts = written(parts.join(ranges, cell), "parts")
-    posted = lists.select("token", "sig", "n").join(parts, ["sig", "n"])
+    # a token all of whose sets lie in one part, or in one component, leads nowhere else
+    placed = lists.select("token", "sig").join(parts, "sig").withColumn("where", F.struct(*group, F.when(~F.col("linked"), F.struct("step", "part")).alias("place")))
+    ends = [F.expr(f"{x}(where) OVER (PARTITION BY token) AS {x}_where") for x in ("min", "max")]
+    posted = written(placed.select("*", *ends).where("min_where <> max_where").drop("where", "min_where", "max_where"), "elsewhere")
     fits = (F.col("n") * percent <= F.col("high") * 100) & (F.col("low") * percent <= F.col("n") * 100)
     # a set asks the parts that come after its own; inside a part without links its members are held against each other
     here = posted.select("token", "sig", "n", F.struct("linked", "size", "grp").alias("whole"), F.struct("step", "part").alias("place"))
@@ -307,11 +316,11 @@ def across_groups(rows: DataFrame, classes: DataFrame, lists: DataFrame, grouped
         return pa.table({**{c: table[c][:1] for c in cell}, "b": pa.array([whole.tobytes()], pa.binary()), "members": pa.array([members], member), "within": pa.array([within], pair)})
 
     stored = written(cells.groupBy(*cell).applyInArrow(union, "grp bigint, linked boolean, step int, part bigint, b binary, members array<struct<to: bigint, m: int, bits: binary>>, within array<struct<sig: bigint, n: int, to: bigint, m: int>>"), "unions")
-    bounds = asks.join(stored.drop("members", "within"), cell).join(matrix.withColumnRenamed("bits", "a"), ["sig", "n"])
+    bounds = matrix.withColumnRenamed("bits", "a").join(small(asks), ["sig", "n"]).join(stored.drop("members", "within"), cell)
     reached = written(_filter(bounds, ["sig", "n", *cell], percent, lambda a, b, n: _bound(a, n, b) >= _least(n, percent)), "reached")
 
     def opened(asked: DataFrame) -> DataFrame:
-        held = asked.join(stored.drop("b", "within"), cell).join(matrix, ["sig", "n"]).select("sig", "n", "bits", "members")
+        held = matrix.join(small(asked), ["sig", "n"]).join(stored.drop("b", "within"), cell).select("sig", "n", "bits", "members")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -327,7 +336,7 @@ def across_groups(rows: DataFrame, classes: DataFrame, lists: DataFrame, grouped
     begun = reached.where("linked").groupBy("sig", "n", "grp").agg(F.min(F.struct("step", "part")).alias("first"))
     tried = reached.join(begun, ["sig", "n", "grp"], "left").withColumn("now", F.coalesce(~F.col("linked") | (F.struct("step", "part") == F.col("first")), F.lit(True)))
     within = stored.select(F.explode("within").alias("pair")).select("pair.*")
-    first = compared(rows, classes, opened(tried.where("now").select("sig", "n", *cell)).unionByName(within), k, percent)
+    first = compared(rows, classes, opened(written(tried.where("now").select("sig", "n", *cell), "now")).unionByName(within), k, percent)
     found = first.join(parts.where("linked").select(F.col("sig").alias("to"), F.col("n").alias("m"), "grp"), ["to", "m"]).select("sig", "n", "grp").distinct()
     rest = written(tried.where("NOT now").select("sig", "n", *cell).join(found, ["sig", "n", "grp"], "left_anti"), "rest")
     return first if rest.isEmpty() else first.unionByName(compared(rows, classes, opened(rest), k, percent))
