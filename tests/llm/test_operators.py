@@ -128,8 +128,9 @@ def test_decontamination_equals_brute_force(spark, monkeypatch):
                     named |= {item} - {None}
         expected.append((str(key), len(words), len(hit), tuple(sorted(named))))
     table = spark.createDataFrame(items, "item_id string, text string")
-    for size in (decontaminate.QUERY_BYTES, 300):  # at once, and in blocks against a stored index
+    for size, piece in ((decontaminate.QUERY_BYTES, decontaminate.PIECE), (600, 7)):  # at once, and in blocks of pieces of items
         monkeypatch.setattr(decontaminate, "QUERY_BYTES", size)
+        monkeypatch.setattr(decontaminate, "PIECE", piece)
         found = decontaminate.decontaminate(made(spark, rows), table, slop=2)
         assert sorted((r.doc, r.n_words, r.n_hit, tuple(r["items"])) for r in found.collect()) == sorted(expected)
 
@@ -205,6 +206,20 @@ def test_linededup_equals_brute_force(spark, seed):
     assert linededup.dedup_lines(made(spark, [])).collect() == []
 
 
+def test_repeated_runs_cover_what_dedup_removes(spark):
+    rng = np.random.default_rng(4)
+    lines = [prose(rng, int(rng.integers(1, 7))) for _ in range(10)]
+    docs = made(spark, [(i, "\n".join(rng.choice(lines, int(rng.integers(1, 12))))) for i in range(30)])
+    runs = linededup.repeated_runs(docs).collect()
+    gone = Counter()
+    for r in runs:
+        assert r.start < r.stop
+        gone[r.key] += r.stop - r.start
+    assert gone == Counter({r.doc_id: r.n_removed for r in linededup.dedup_lines(docs).collect() if r.n_removed})
+    spans = sorted((r.key, r.start, r.stop) for r in runs)
+    assert all(a[0] != b[0] or a[2] < b[1] for a, b in zip(spans, spans[1:], strict=False))
+
+
 def test_ann_recall_ties_and_odd_vectors(spark):
     rng = np.random.default_rng(11)
     centres = rng.standard_normal((20, 16))
@@ -242,6 +257,19 @@ def test_langid(spark):
     assert {r.lang_pred for r in langid.predict(asked, langid.train(table.limit(0))).collect()} == {"und"}
 
 
+def test_langid_with_more_than_eight_languages_and_ties(spark):
+    rng = np.random.default_rng(23)
+    letters = [chr(97 + i) for i in range(20)]
+    words = {f"l{k:02}": ["".join(rng.choice(letters, 6)) for _ in range(30)] for k in range(11)}
+    table = spark.createDataFrame([(i, prose(rng, 40, w), k) for i, (k, w) in enumerate(list(words.items()) * 3)], "doc_id long, text string, lang string")
+    filters = langid.train(table)
+    assert len(filters.tables) == 2
+    asked = spark.createDataFrame([(i, prose(rng, 25, w)) for i, w in enumerate(words.values())] + [(50, "zzzzzz zzzz")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(asked, filters).collect()}
+    assert [got[i][0] for i in range(11)] == sorted(words)
+    assert got[50] == ("l00", 0.0)  # no gram known: the label that sorts first
+
+
 def test_langid_long_texts_in_pieces_count_alike(spark, monkeypatch):
     import pyarrow as pa
 
@@ -375,3 +403,58 @@ def test_html_without_an_article_keeps_the_title_and_parts_beside_the_body(spark
     rows = [(i, f"http://one{i}.example/", page(i)) for i in range(3)]
     texts = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert texts == {i: f"Title {i}\n\nLead {i}\n\n{'Long story ' * 40}{i}\n\nLast {i}" for i in range(3)}
+
+
+def unmarked(i):
+    """A page without article, of a host whose boilerplate no name gives away."""
+    return f"<body><div class=q><p>Every page of ours says this in the same words</p></div><div class=z><h1>Story {i}</h1><p>{prose(np.random.default_rng(i), 30)}</p></div><div class=q><p>Made with care by people who write</p></div></body>"
+
+
+def test_html_template_decides_without_names(spark, monkeypatch):
+    rows = [(i, "http://plain.example/x", unmarked(i)) for i in range(40)]
+    rows += [(100 + i, "http://plain.example/y", unmarked(7)) for i in range(60)]  # copies count once
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    expected = {i: f"Story {n}\n\n{prose(np.random.default_rng(n), 30)}" for i, n in [(i, i) for i in range(40)] + [(100 + i, 7) for i in range(60)]}
+    assert {r.page_id: r.text for r in html.extract(table).collect()} == expected
+    monkeypatch.setattr(html, "PART", 8)  # a host of several parts
+    assert {r.page_id: r.text for r in html.extract(table).collect()} == expected
+    monkeypatch.setattr(html, "BROADCAST_HOSTS", 0)  # joins by shuffle
+    assert {r.page_id: r.text for r in html.extract(table, slots=True).collect()} == expected
+    monkeypatch.setattr(html, "PAGES", 10**9)  # no template: the boilerplate stays
+    assert all(r.text.startswith("Every page") for r in html.extract(table).collect())
+
+
+def test_html_deduction_equals_brute_force():
+    pages = [unmarked(i) for i in range(12)] + [unmarked(3).replace("care", "pride")]
+    part = html.Part(pages, np.arange(1, 14).astype(np.int64))
+    valid = {int(t) for t in part.found[part.valid()]}
+    counts, sequences = [], []
+    for page in pages:
+        tokens = []
+        for x in html.parse(page)[1]:
+            tokens += [(x, None)] if isinstance(x, str) else [(x.path, w.lower()) for w in x.text().split()]
+        counts.append(Counter(tokens))
+        sequences.append(tokens)
+    classes = {}
+    for token in {t for c in counts for t in c}:
+        vector = tuple(c[token] for c in counts)
+        if sum(n > 0 for n in vector) * 2 >= len(pages):
+            classes.setdefault(vector, set()).add(token)
+    expected = set()
+    for vector, tokens in classes.items():
+        if len(tokens) >= html.LARGE and max(vector) == 1:
+            orders = {tuple(t for t in s if t in tokens) for s, n in zip(sequences, vector, strict=True) if n}
+            expected |= tokens if len(orders) == 1 else set()
+    hashed = set()
+    for path, word in expected:
+        words = html.hashed_words(html.pa.array([word or ""]), html.SPACED)[0]
+        hashed.add(int(html._word_tokens(path, words)[0]) if word else html._path_hash(path))
+    assert expected and valid == hashed
+
+
+def test_html_names_inside_an_article_must_say_it_in_full(spark):
+    stays = ["<div class='social-science'>A one</div>", "<section class='notice-of-motion'>B two</section>", "<h2 id='related-work'>C three</h2>", "<div class='post-header'>D four</div>", "<section id='comments-on-method'>E five</section>"]
+    goes = ["<div class='ad-slot'>F</div>", "<div class='comments'>G</div>", "<aside>H</aside>", "<div class='x share-buttons'>I</div>", "<form>J</form>", "<div id='cookie-banner'>K</div>"]
+    page = f"<body><article><h1>Title</h1>{''.join(stays + goes)}<p>{'long ' * 40000}</p></article></body>"
+    found = html.extract(spark.createDataFrame([(1, "http://a.example/", page)], "page_id long, url string, html string")).collect()
+    assert found[0].text == "Title\n\nA one\n\nB two\n\nC three\n\nD four\n\nE five\n\n" + ("long " * 40000).strip()

@@ -9,9 +9,11 @@ place in the window; what the shifted postings of the next rarest word lack is
 dropped, until all words have agreed (exact phrases), or until too few words
 stand within ``slop`` of their place (proximity matches).
 
-Benchmarks of any size are searched in blocks of ``QUERY_BYTES`` of text: what
-is broadcast is bounded by that, and the index is stored and read once a block.
-With a single block the index is made in passing and holds its words only.
+The index is stored, with the postings of all words.  Items are cut into pieces
+of ``PIECE`` windows, which share the words of a window with their neighbours;
+repeated pieces of an item count once.  Benchmarks of any size are searched in
+blocks of pieces of about ``QUERY_BYTES`` of word hashes: what is broadcast is
+bounded by that, and the stored index is read once a block.
 
 Words are hashed to 64 bits by a fixed function; A-Z are lower-cased first.
 
@@ -33,8 +35,10 @@ from pyspark.sql import functions as F
 from wayfarer.llm._shared import written
 from wayfarer.llm._text import ALNUM, blocks, hashed_words
 
-#: Bytes of benchmark text that are broadcast at once.
+#: Bytes of the word hashes of a benchmark that are broadcast at once.
 QUERY_BYTES = 4_000_000
+#: Windows in a piece of an item.
+PIECE = 2_000
 #: Empty places around a row's words; larger than a window with its slop.
 FRAME = 1 << 10
 #: Postings that proximity matches start from at once.
@@ -44,48 +48,55 @@ INDEX = "part bigint, docs array<string>, bounds binary, terms binary, begins bi
 MATCHES = "doc string, n_words bigint, part bigint, row bigint, exact array<struct<item: string, start: int, stop: int>>, near array<struct<item: string, start: int, stop: int>>"
 
 
-def build_index(docs: DataFrame, key: str, text: str = "text", vocabulary: np.ndarray | None = None) -> DataFrame:
-    """One row per block of documents: their keys (as strings), where each one's words begin, and the postings.
-
-    ``vocabulary`` (sorted hashes, already bounded by the caller) limits the postings to these words.
-    """
-    known = None if vocabulary is None else docs.sparkSession.sparkContext.broadcast(vocabulary)
+def build_index(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """One row per block of documents: their keys (as strings), where each one's words begin, and the postings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, "text"):
             words, bounds = hashed_words(part.column("text"), ALNUM)
-            places = np.arange(len(words), dtype=np.uint32)
-            if known is not None:
-                v = known.value
-                at = np.minimum(np.searchsorted(v, words), max(0, len(v) - 1))
-                places = places[v[at] == words] if len(v) else places[:0]
-            found = words[places]
-            order = np.argsort(found, kind="stable")
-            terms, begins = np.unique(found[order], return_index=True)
+            order = np.argsort(words, kind="stable")
+            terms, begins = np.unique(words[order], return_index=True)
             row = {
                 "part": [0],
                 "docs": [part.column("doc").to_pylist()],
                 "bounds": [bounds.astype(np.int64).tobytes()],
                 "terms": [terms.tobytes()],
-                "begins": [np.append(begins, len(found)).astype(np.int64).tobytes()],
-                "places": [places[order].tobytes()],
+                "begins": [np.append(begins, len(words)).astype(np.int64).tobytes()],
+                "places": [order.astype(np.uint32).tobytes()],
             }
             yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int64()), ("docs", pa.list_(pa.string())), *((x, pa.binary()) for x in ("bounds", "terms", "begins", "places"))]))
 
     return docs.select(F.col(key).cast("string").alias("doc"), F.col(text).alias("text")).mapInArrow(run, INDEX)
 
 
+def pieces_of(items: DataFrame, window: int) -> DataFrame:
+    """Distinct pieces of the items (item, text): ``item`` and ``words``, the hashes of at most PIECE + window - 1 words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in blocks(batches, "text"):
+            words, bounds = hashed_words(part.column("text"), ALNUM)
+            at, held = [], []
+            for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                for s in range(a, max(a + 1, b - window + 1), PIECE) if b > a else ():
+                    at.append(i)
+                    held.append(words[s : min(b, s + PIECE + window - 1)].tobytes())
+            yield pa.RecordBatch.from_arrays([part.column("item").take(pa.array(at, pa.int64())), pa.array(held, pa.binary())], ["item", "words"])
+
+    return items.mapInArrow(run, "item string, words binary").distinct()
+
+
 class Windows:
-    """The windows of a block of items: item words end to end, and where each window starts and stops."""
+    """The windows of some pieces of items: their words end to end, and where each window starts and stops."""
 
-    def __init__(self, items: list[str | None], texts: list[str | None], window: int):
+    def __init__(self, items: list[str | None], pieces: list[bytes], window: int):
         self.items = items
-        words, bounds = hashed_words(pa.array(texts, pa.string()), ALNUM)
-        self.vocabulary, self.word = np.unique(words, return_inverse=True)
+        words = [np.frombuffer(x, np.uint64) for x in pieces]
+        bounds = np.append(0, np.cumsum([len(x) for x in words])).astype(np.int64)
+        self.vocabulary, self.word = np.unique(np.concatenate([np.zeros(0, np.uint64), *words]), return_inverse=True)
         starts, stops, owners = [], [], []
         for i in range(len(items)):
             a, b = int(bounds[i]), int(bounds[i + 1])
-            for s in range(a, max(a + 1, b - window + 1)) if b > a else ():
+            for s in range(a, max(a + 1, b - window + 1)):
                 starts.append(s)
                 stops.append(min(s + window, b))
                 owners.append(i)
@@ -257,21 +268,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     their place, unless they lie inside an exact match of their item or the same
     window matches exactly within ``slop`` words.
     """
-    items = items.select(F.col(item_key).cast("string").alias("item"), F.col(item_text).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    pieces = written(pieces_of(items.select(F.col(item_key).cast("string").alias("item"), F.col(item_text).alias("text")), window), "pieces")
+    total = pieces.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     n_blocks = max(1, -(-total // QUERY_BYTES))
 
     def block(i: int) -> Windows:
-        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == i).collect() if n_blocks > 1 else items.collect()
-        return Windows([r.item for r in rows], [r.text for r in rows], window)
+        rows = pieces.where(F.pmod(F.xxhash64("item", "words"), F.lit(n_blocks)) == i).collect()
+        return Windows([r.item for r in rows], [bytes(r.words) for r in rows], window)
 
-    if n_blocks == 1:
-        windows = block(0)
-        found = search(build_index(docs, key, text, windows.vocabulary), windows, slop, missing)
-    else:
-        index = written(build_index(docs, key, text).withColumn("part", F.monotonically_increasing_id()), "postings")
-        searched = [search(index, block(i), slop, missing) for i in range(n_blocks)]
-        found = searched[0]
+    index = written(build_index(docs, key, text).withColumn("part", F.monotonically_increasing_id()), "postings")
+    searched = [search(index, block(i), slop, missing) for i in range(n_blocks)]
+    found = searched[0]
+    if n_blocks > 1:
         for more in searched[1:]:
             found = found.unionByName(more)
         found = found.groupBy("part", "row").agg(F.first("doc").alias("doc"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("exact")).alias("exact"), F.flatten(F.collect_list("near")).alias("near"))

@@ -1,8 +1,9 @@
 """Language identification with bit-sliced Bloom filters.
 
 ``train`` counts the 4-byte grams of the labelled texts by language, over all
-of them, and keeps for each language the grams that are frequent in it and not
-far more frequent in another.  All languages share one Bloom filter that is
+of them, and keeps for each language the grams that make up at least ``LEAST`` of
+its grams (whatever the size of the corpus) and are not far more frequent in
+another.  All languages share one Bloom filter that is
 sliced by bit: each of its ``SLOTS`` places holds a mask with one bit for each
 language, so that one look-up (the AND of ``HASHES`` masks) returns all
 languages that contain a gram.  ``predict`` counts the bits of each language
@@ -34,8 +35,8 @@ from wayfarer.llm._text import blocks, mix, text_bytes
 
 SLOTS = 1 << 20
 HASHES = 3
-#: Most frequent grams of a language that its filter takes in.
-GRAMS = 30_000
+#: A filter takes in the grams that make up this part of all grams of its language: 1 / LEAST of them at most.
+LEAST = 2e-5
 #: Bytes of text that a task looks at together.
 PIECE = 300_000
 #: A gram is a language's own if its share there is at least this part of its largest share.
@@ -136,13 +137,12 @@ def train(docs: DataFrame, label: str = "lang", text: str = "text") -> LanguageF
 
     rows = docs.select(F.col(label).cast("string").alias("label"), F.col(text).alias("text")).where("label IS NOT NULL AND text IS NOT NULL")
     counts = rows.mapInArrow(count, "label string, gram bigint, n bigint").groupBy("label", "gram").agg(F.sum("n").alias("n"))
+    # a row for each language, of which the model holds a slice
     totals = counts.groupBy("label").agg(F.sum("n").alias("total"))
     share = counts.join(F.broadcast(totals), "label").withColumn("share", F.col("n") / F.col("total"))
     best = share.groupBy("gram").agg(F.max("share").alias("most"), F.collect_list(F.struct("label", "share")).alias("of"))
     own = best.select("gram", "most", F.explode("of").alias("of")).where(F.col("of.share") >= OWN * F.col("most")).select("gram", "of.label", "of.share")
-    # the top grams of each language: cut to whole shares first, so that the few languages' windows stay small
-    ranked = own.withColumn("place", F.expr("row_number() OVER (PARTITION BY label ORDER BY share DESC, gram)")).where(F.col("place") <= GRAMS)
-    chosen = ranked.select("label", "gram").toPandas()
+    chosen = own.where(F.col("share") >= LEAST).select("label", "gram").toPandas()
     return LanguageFilters({name: part.gram.to_numpy() for name, part in chosen.groupby("label")})
 
 

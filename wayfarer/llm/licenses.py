@@ -2,7 +2,8 @@
 
 The words of each text give rolling hashes of ``K`` words.  They are joined to
 the hashes of the license templates; a hit of text position p on template
-position t is a vote for the diagonal p - t.  Votes are added up per document,
+position t whose words are the same, one by one, is a vote for the diagonal
+p - t, so that spans stand on words and not on hashes.  Votes are added up per document,
 template and diagonal; diagonals that lie within ``GAP`` words of each other
 (words left out or put in) are merged into a span; a span stands if its votes
 make up ``COVERED`` of the template's hashes and it is not spread over far more
@@ -19,6 +20,7 @@ apart by number, not by key); a template of fewer than ``K`` words is an error.
 from __future__ import annotations
 
 import re
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,7 +65,7 @@ def template_hashes(spark, base: list[tuple[str, str]] = BASE, templates: list[t
         rows += [(*words[i : i + K], number, i, label, exact, len(words) - K + 1) for i in range(len(words) - K + 1)]
     names = [f"w{i}" for i in range(K)]
     table = spark.createDataFrame(rows, ", ".join([f"{x} string" for x in names]) + ", template int, at int, label string, exact boolean, size int")
-    return table.select(F.xxhash64(*names).alias("hash"), "template", "at", "label", "exact", "size")
+    return table.select(F.xxhash64(*names).alias("hash"), F.concat_ws(" ", *names).alias("gram"), "template", "at", "label", "exact", "size")
 
 
 def scan(docs: DataFrame, templates: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -74,17 +76,18 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, key: str = "doc_id
     """
     spark = docs.sparkSession
     templates = template_hashes(spark) if templates is None else templates
-    words = F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), BETWEEN), "")
+    lower = F.translate(F.coalesce(F.col(text), F.lit("")), ascii_uppercase, ascii_lowercase)
+    words = F.array_remove(F.split(lower, BETWEEN), "")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), words.alias("words"))
     hashes = F.when(
         F.size("words") >= K,
-        F.transform(F.sequence(F.lit(0), F.size("words") - K), lambda i: F.xxhash64(*[F.get("words", i + j) for j in range(K)])),
+        F.transform(F.sequence(F.lit(0), F.size("words") - K), lambda i: F.struct(F.xxhash64(*[F.get("words", i + j) for j in range(K)]).alias("hash"), F.concat_ws(" ", F.slice("words", i + 1, F.lit(K))).alias("gram"))),
     )
     # the words stay below the explosion: they would be carried along with every hash
     hashed = rows.select("row", "key", F.size("words").cast("long").alias("n_words"), hashes.alias("hashes"))
-    rolled = hashed.select("row", "key", "n_words", F.posexplode_outer("hashes").alias("pos", "hash"))
+    rolled = hashed.select("row", "key", "n_words", F.posexplode_outer("hashes").alias("pos", "run")).select("row", "key", "n_words", "pos", "run.hash", "run.gram")
     # the templates are a fixed list of a few hundred positions
-    voted = rolled.join(F.broadcast(templates), "hash", "left")
+    voted = rolled.join(F.broadcast(templates), ["hash", "gram"], "left")
     per_row = ["row", "key", "n_words"]
     template = ["template", "label", "exact", "size"]
     diagonals = voted.groupBy(*per_row, *template, (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("pos").alias("start"), (F.max("pos") + K).alias("stop"))

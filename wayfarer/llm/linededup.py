@@ -9,6 +9,12 @@ and the positions with one name are one interval of the suffix array whose
 longest common prefix is at least 2**k lines.  Positions that are alone leave
 after each step; lines that occur once never enter.
 
+After the step that names runs of 2**k lines, the positions of one name are an
+interval of the suffix array whose longest common prefix is at least 2**k.  A
+run of m lines, 2**k <= m < 2**(k+1), repeats exactly where two positions share
+the interval of its head and, m - 2**k lines on, that of its tail: so the
+intervals of the steps hold all maximal repeated runs (``repeated_runs``).
+
 A repeated run counts if it holds at least ``min_words`` words.  Every line
 inside a maximal run of that kind lies in a shortest such window, counted
 forward from its first line or back from its last, so it is enough to look at
@@ -32,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfarer.llm._shared import written
@@ -79,7 +85,8 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", m
     """Later copies of windows of lines: ``key``, ``doc`` (hash of key and text), ``start`` and ``size``."""
     spark = docs.sparkSession
     every = lines(docs, key, text, max(1, min_words))
-    often = every.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    # counted apart and written: the join can then split a line that makes up a large part of the corpus
+    often = written(every.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"), "often")
     tied = written(every.join(often, "name", "left_semi").distinct(), "lines")
     windows = tied.select("key", "doc", F.explode(F.array(F.struct(F.col("line").alias("start"), F.col("ahead").alias("size")), F.struct((F.col("line") - F.col("behind") + 1).alias("start"), F.col("behind").alias("size")))).alias("w"))
     windows = windows.select("key", "doc", "w.*").where("size > 0").distinct()
@@ -97,6 +104,7 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", m
             fit = fit.withColumn("tail", F.col("head"))
         place = F.struct("key", "doc", "start")
         copies = fit.groupBy("size", "head", "tail").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
+        copies = written(copies, f"repeated{span}")
         later = fit.join(copies, ["size", "head", "tail"]).where(place != F.col("kept")).select("key", "doc", "start", "size")
         later = written(later, f"copies{span}")
         found = later if found is None else found.unionByName(later)
@@ -112,6 +120,19 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", m
     return found if found is not None else spark.createDataFrame([], windows.schema)
 
 
+def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """Later copies as maximal runs of lines: ``key``, ``doc``, ``start`` and ``stop`` (not included).
+
+    Windows of a document that overlap or touch make one run; the order is by
+    line within a document, never over the corpus.
+    """
+    later = repeated_windows(docs, key, text, min_words).withColumn("stop", F.col("start") + F.col("size"))
+    along = Window.partitionBy("doc").orderBy("start", "stop")
+    reach = F.max("stop").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    begun = later.withColumn("_new", (reach.isNull() | (F.col("start") > reach)).cast("int")).withColumn("_run", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    return begun.groupBy("doc", "_run").agg(F.first("key").alias("key"), F.min("start").alias("start"), F.max("stop").alias("stop")).select("key", "doc", "start", "stop")
+
+
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with later copies of repeated runs taken out of the text, ``n_lines`` (before) and ``n_removed``."""
     later = repeated_windows(docs, key, text, min_words)
