@@ -59,15 +59,24 @@ def fold_compact(x: Column) -> Column:
     return F.regexp_replace(fold(x), "[^0-9a-z]", "")
 
 
-_GREEK = ("αβγδεζηικλμνξοπρσςτυω", "abgdeziiklmnxoprsstyo")
-_GREEK_TWO = {"θ": "th", "φ": "ph", "χ": "ch", "ψ": "ps"}
+# Greek letters in Latin, for identifiers.
+LATIN = {"α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x", "ο": "o", "π": "p", "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "u", "φ": "ph", "χ": "ch", "ψ": "ps", "ω": "o"}
+# Fixed value: the one letter that differs in spellings of names.
+SPELLED = {"υ": "y"}
+
+
+def _latin(x: Column, letters: dict[str, str]) -> Column:
+    one = {a: b for a, b in letters.items() if len(b) == 1}
+    y = F.translate(x, "".join(one), "".join(one.values()))
+    for a, b in letters.items():
+        if len(b) > 1:
+            y = F.replace(y, F.lit(a), F.lit(b))
+    return y
 
 
 def slug(x: Column, empty: str = "place") -> Column:
     """ASCII slug with underscores; Greek letters are written in Latin."""
-    y = F.translate(fold(x), *_GREEK)
-    for a, b in _GREEK_TWO.items():
-        y = F.replace(y, F.lit(a), F.lit(b))
+    y = _latin(F.replace(fold(x), F.lit("ß"), F.lit("ss")), LATIN)
     y = F.regexp_replace(F.regexp_replace(y, "[^0-9a-z]+", "_"), "^_+|_+$", "")
     return F.coalesce(F.nullif(y, F.lit("")), F.lit(empty))
 
@@ -88,10 +97,37 @@ def tokens(x: Column) -> Column:
     return F.regexp_extract_all(x, F.lit(f"({LETTER_OR_DIGIT}+)"), 1)
 
 
+def with_offsets(x: Column) -> Column:
+    """``text``, the key form of the text but for white space at its end, and ``offsets``, where each of its letters stands in the original."""
+    letters = F.filter(F.transform(F.split(x, ""), lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda p: ~p["c"].rlike(r"^\p{Mn}?$"))
+    before = F.concat(F.array(F.struct(F.lit(" ").alias("c"), F.lit(-1).alias("i"))), letters)
+    pairs = F.zip_with(letters, before, lambda p, q: F.struct(p["c"].alias("c"), p["i"].alias("i"), q["c"].alias("was")))
+    # of a run of white space the first stays, as one space, unless it begins the text
+    kept = F.filter(pairs, lambda p: p["c"].isNotNull() & ~(p["c"].rlike(r"^\s$") & p["was"].rlike(r"^\s$")))
+    text = F.translate(fold(F.array_join(F.transform(kept, lambda p: F.when(p["c"].rlike(r"^\s$"), " ").otherwise(p["c"])), "")), "ς", "σ")
+    return F.struct(text.alias("text"), F.transform(kept, lambda p: p["i"]).alias("offsets"))
+
+
 def find_folded(text: Column, needle: Column) -> Column:
-    """Offsets (from 0, end not included) of the folded needle in the folded text; null if absent."""
-    at = F.call_function("locate", fold(needle), fold(text))
-    return F.when(at > 0, F.struct((at - 1).alias("start"), (at - 1 + F.length(needle)).alias("end")))
+    """Offsets (from 0, end not included) in the original text of the needle, both in key form; null if absent.
+
+    Only texts that hold the needle and whose key form has other offsets (loose
+    marks, runs of white space) are taken apart letter by letter.
+    """
+    key = fold_key(needle)
+    at = F.call_function("locate", key, F.translate(fold(text), "ς", "σ"))
+    plain = ~text.rlike(r"\p{Mn}|\s\s|^\s|[^\S ]")
+    apart = with_offsets(text)
+    there = F.call_function("locate", key, apart["text"])
+    exact = F.when(there > 0, F.struct(F.get(apart["offsets"], there - 1).alias("start"), (F.get(apart["offsets"], there + F.length(key) - 2) + 1).alias("end")))
+    return F.when(plain, F.when(at > 0, F.struct((at - 1).alias("start"), (at - 1 + F.length(key)).alias("end")))).otherwise(exact)
+
+
+def find_surface(text: Column, surface: Column) -> Column:
+    """The surface as it stands in the text; else the run of six words at most whose label form is the same; else null."""
+    runs = F.transform(F.regexp_extract_all(text, F.lit(r"(\S+(?:\s+\S+){0,5})"), 1), lambda r: F.regexp_replace(r, "^[ .,;:··]+|[ .,;:··]+$", ""))
+    same = F.get(F.filter(runs, lambda r: (fold_alnum(r) == fold_alnum(surface)) & (fold_alnum(surface) != "")), F.lit(0))
+    return F.when(F.contains(text, surface) & (surface != ""), surface).otherwise(same)
 
 
 def on_token_boundary(text: Column, start: Column, end: Column) -> Column:
@@ -184,28 +220,85 @@ def citation(volume: Column, page: Column, line: Column, end_page: Column, end_l
     return F.concat_ws("-", start, end)
 
 
-#: Words for numbers in distances. Fixed values.
-NUMBER_WORDS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "twenty": 20, "thirty": 30, "hundred": 100, "thousand": 1000}
+# Numbers in words, and patterns of distances in order of rank.
+NUMBER_WORDS = {"eight hundred": 800.0, "three thousand": 3000.0, "four thousand": 4000.0}
+DISTANCES = [r"about\s+([0-9,]+)\s+stades", r"after\s+([0-9,]+)\s+stades", r"([0-9,]+)\s+stades", r"about\s+(eight hundred|three thousand|four thousand)\s+stades", r"after\s+(eight hundred|three thousand|four thousand)\s+stades"]
+RUNS = ["two or three runs", "two runs"]
 
 
 def distance(x: Column) -> Column:
-    """The first distance phrase, patterns in order of rank: stades in digits, stades in words, then runs (no value)."""
-    words = "|".join(NUMBER_WORDS)
-    digits = F.regexp_extract(x, r"(?i)(\d+(?:\.\d+)?)\s+(?:stades|stadia)", 1)
-    spelled = F.lower(F.regexp_extract(x, rf"(?i)\b({words})\s+(?:stades|stadia)", 1))
-    runs = F.regexp_extract(x, rf"(?i)((?:\d+|{words})\s+runs?)", 1)
-    value = F.when(digits != "", digits.cast("double")).when(spelled != "", F.create_map(*[F.lit(v) for pair in NUMBER_WORDS.items() for v in pair])[spelled].cast("double"))
-    unit = F.when((digits != "") | (spelled != ""), "stades").when(runs != "", "runs")
-    return F.struct(value.alias("value"), unit.alias("unit"), F.bround(value * 0.185, 1).alias("km"))
+    """The distance phrase of the highest rank: ``phrase``, ``value`` (none for runs), ``unit``, and kilometres of 185 m stades."""
+    low = F.lower(x)
+    words = F.create_map(*[F.lit(v) for pair in NUMBER_WORDS.items() for v in pair])
+    found = None
+    for pattern in DISTANCES:
+        said = F.regexp_extract(low, pattern, 1)
+        value = F.coalesce(F.element_at(words, said), F.expr("try_cast(NULL AS double)") if "hundred" in pattern else F.replace(said, F.lit(","), F.lit("")).try_cast("double"))
+        row = F.struct(F.regexp_extract(low, pattern, 0).alias("phrase"), value.alias("value"), F.lit("stades").alias("unit"))
+        hit = value.isNotNull()
+        found = F.when(hit, row) if found is None else found.when(hit, row)
+    for phrase in RUNS:
+        found = found.when(F.contains(low, F.lit(phrase)), F.struct(F.lit(phrase).alias("phrase"), F.lit(None).cast("double").alias("value"), F.lit("runs").alias("unit")))
+    return F.struct(found["phrase"].alias("phrase"), found["value"].alias("value"), found["unit"].alias("unit"), F.bround(found["value"] * 0.185, 1).alias("km"))
+
+
+# Endings that change between spellings of a name, with the least length.
+ENDINGS = [("on", "um", 2), ("os", "us", 2), ("e", "a", 4), ("eia", "ia", 3), ("eias", "ias", 4)]
+
+
+def rough_breathing(x: Column) -> Column:
+    """Whether one of the first three signs of the decomposed name is the rough breathing."""
+    rough = "".join(chr(c) for c in range(0x1F00, 0x2000) if "\u0314" in unicodedata.normalize("NFD", chr(c))[:3])
+    return x.rlike(f"^(?:.\u0314|[{rough}]|..\u0314)")
 
 
 def transliterations(x: Column) -> Column:
-    """All Latin spellings of a name, sorted: each stage adds the spellings that it changes."""
-    stages = [lambda s: F.regexp_replace(s, "^h", ""), lambda s: F.replace(s, F.lit("k"), F.lit("c")), lambda s: F.replace(s, F.lit("u"), F.lit("y")), lambda s: F.regexp_replace(F.regexp_replace(s, "os$", "us"), "on$", "um"), lambda s: F.replace(s, F.lit("ai"), F.lit("ae"))]
-    found = F.array(slug(x))
-    for change in stages:
-        found = F.array_distinct(F.concat(found, F.transform(found, change)))
-    return F.array_sort(found)
+    """All Latin spellings of a name, sorted: h for the rough breathing, c for k, u for y, other endings, ae for ai."""
+    base = _latin(fold(x), LATIN | SPELLED)
+    breathed = F.when(base.startswith("r"), F.concat(F.lit("rh"), F.substr(base, F.lit(2)))).when(base.rlike("^[aeiouy]"), F.concat(F.lit("h"), base)).otherwise(base)
+    found = F.array_distinct(F.array(base, F.when(rough_breathing(x), breathed).otherwise(base)))
+    swap = lambda a, b: lambda s: F.array(F.replace(s, F.lit(a), F.lit(b)))
+
+    def endings(s: Column) -> Column:
+        return F.array(*[F.when(s.endswith(a) & (F.length(s) >= n), F.concat(F.substr(s, F.lit(1), F.length(s) - len(a)), F.lit(b))).otherwise(s) for a, b, n in ENDINGS])
+
+    for change in (swap("k", "c"), swap("y", "u"), endings, swap("ai", "ae")):
+        found = F.array_distinct(F.concat(found, F.flatten(F.transform(found, change))))
+    return F.array_sort(F.filter(found, lambda s: s != ""))
+
+
+def derive_lemma(x: Column) -> Column:
+    """The name an entry is about: without number and note in brackets, what brackets hold, else up to four words before the first stop."""
+    y = F.trim(F.regexp_replace(F.regexp_replace(x, r"^\s*\d+\s+", ""), r"^\s*\[[^\]]{1,80}\]\s*", ""))
+    inside = F.regexp_extract(y, r"^\[([^\]]{1,80})\]", 1)
+    y = F.when(inside != "", inside).otherwise(y)
+    y = F.regexp_replace(y, r"(?i)^[α-ωΑ-Ωϛϙϟʹ΄´'.\s]+περὶ\s+", "")
+    words = F.filter(F.split(F.regexp_extract(y, r"^([^··.:]*)", 1), r"\s+"), lambda w: w != "")
+    return F.regexp_replace(F.array_join(F.slice(words, 1, 4), " "), r"^[\[\] ,;·.]+|[\[\] ,;·.]+$", "")
+
+
+# What says that a name is another name of the same thing.
+ALIAS_CUES = ["καλουσιν", "καλειται", "προσαγορευ", "ονομαζ"]
+
+
+def alias_context(text: Column, start: Column, end: Column, width: int = 35) -> Column:
+    """Whether a cue that the name is an alias stands within ``width`` characters of the span."""
+    around = fold_key(context_window(text, start, end, width))
+    hit = F.lit(False)
+    for cue in ALIAS_CUES:
+        hit = hit | F.contains(around, F.lit(cue))
+    return hit
+
+
+def human(x: Column) -> Column:
+    """An identifier as a label: underscores as spaces, the first letter large."""
+    y = F.trim(F.replace(x, F.lit("_"), F.lit(" ")))
+    return F.concat(F.upper(F.substr(y, F.lit(1), F.lit(1))), F.substr(y, F.lit(2)))
+
+
+def query_escape(x: Column) -> Column:
+    """For the query part of a URL."""
+    return F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))
 
 
 def labelled_lines(x: Column) -> Column:

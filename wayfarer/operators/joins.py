@@ -40,7 +40,7 @@ def alias_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     """Equi-join after both keys went through the alias table (``alias``, ``canonical``)."""
 
     def canonical(df: DataFrame, key: str) -> DataFrame:
-        return df.join(F.broadcast(aliases), df[key] == aliases["alias"], "left").withColumn("name", F.coalesce("canonical", key)).drop("alias", "canonical")
+        return df.join(aliases, df[key] == aliases["alias"], "left").withColumn("name", F.coalesce("canonical", key)).drop("alias", "canonical")
 
     return canonical(left, left_key).join(canonical(right, right_key), "name")
 
@@ -76,35 +76,50 @@ def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def label_score(label: Column, candidate: Column, similarity: Column) -> Column:
-    """Tiers: equal 1; all label words in the candidate 0.92; the reverse 0.86; else similarity, 0.08 more for equal beginnings."""
+    """Tiers: equal 1; all label words in the candidate 0.92; the reverse 0.86; else similarity, 0.08 more if one begins with the other's first five letters."""
     words, others = F.split(label, " "), F.split(candidate, " ")
+    begins = candidate.startswith(F.substring(label, 1, 5)) | label.startswith(F.substring(candidate, 1, 5))
     return (
         F.when(label == candidate, 1.0)
         .when(F.size(F.array_except(words, others)) == 0, 0.92)
         .when(F.size(F.array_except(others, words)) == 0, 0.86)
-        .otherwise(similarity + F.when(F.substring(label, 1, 5) == F.substring(candidate, 1, 5), 0.08).otherwise(0.0))
+        .otherwise(similarity + F.when(begins, 0.08).otherwise(0.0))
     )
 
 
-def best_match(labels: DataFrame, label: str, points: DataFrame, point: str, name: str, similarity, threshold: float = 0.78) -> DataFrame:
-    """The best point of each label above the threshold; ties to the smaller point.
+#: Letters and digits from the rarest; what is not among them is rarer still.
+_RARE = "jqxzkvwybpgfmucdlhrsnioate0123456789 "
 
-    Labels and names meet over their words and pairs of neighbouring letters.
-    That loses no match: where three quarters of the letters agree in order,
-    two of them are neighbours in both strings.
-    """
 
-    def blocks(column: str) -> Column:
-        x = F.col(column)
-        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 1, F.lit(1))), lambda i: F.substr(x, i, F.lit(2)))
-        return F.array_distinct(F.concat(F.split(x, " "), pairs))
+def letters(x: Column, share: float) -> Column:
+    """The letters of a string, numbered where they repeat, from the rarest: as many as any string with ``share`` of them must meet."""
+    each = F.split(x, "")
+    numbered = F.filter(F.transform(each, lambda c, i: F.struct((-F.size(F.filter(F.slice(each, F.lit(1), i + 1), lambda d: d == c))).alias("n"), F.call_function("locate", c, F.lit(_RARE)).alias("rank"), c.alias("c"))), lambda r: r["c"] != "")
+    ordered = F.transform(F.array_sort(numbered), lambda r: F.concat(r["c"], (-r["n"]).cast("string")))
+    return F.slice(ordered, F.lit(1), F.greatest(F.lit(1), F.size(ordered) - F.ceil(F.size(ordered) * share).cast("int") + 1))
+
 
-    a = labels.select(label).distinct().withColumn("block", F.explode(blocks(label)))
-    b = points.select(point, name).withColumn("block", F.explode(blocks(name)))
-    pairs = a.join(b, "block").select(label, point, name).distinct()
+def best_match(labels: DataFrame, label: str, points: DataFrame, point: str, name: str, similarity, threshold: float = 0.78) -> DataFrame:
+    """The best point of each label from the threshold on; ties to the smaller point.  A point may have several names (rows).
+
+    Labels and names must be in label form (``fold_alnum``).  They meet over
+    their words, for the tiers, and over letters.  Let s be the threshold less
+    the bonus: strings of a and b letters whose similarity is s or more share
+    s * (a + b) / 2 letters, and as they can't share more than the shorter has,
+    that is s / (2 - s) of either.  So in any order of letters they share one of
+    the first a - ceil(a * s / (2 - s)) + 1: those, rarest first, are the join keys.
+    No match is lost.
+    """
+    least = threshold - 0.08
+    keys = lambda c: F.array_distinct(F.concat(F.transform(F.split(c, " "), lambda w: F.concat(F.lit("w:"), w)), letters(c, least / (2 - least))))
+    a = labels.select(label).where(F.col(label) != "").distinct().withColumn("block", F.explode(keys(F.col(label))))
+    b = points.select(point, name).where(F.col(name) != "").distinct().withColumn("block", F.explode(keys(F.col(name))))
+    n, m = F.length(label), F.length(name)
+    near = F.col("block").startswith("w:") | ((n * (2 - least) >= m * least) & (m * (2 - least) >= n * least))
+    pairs = a.join(b, "block").where(near).select(label, point, name).distinct()
     scored = pairs.withColumn("score", label_score(F.col(label), F.col(name), similarity(F.col(label), F.col(name)))).where(F.col("score") >= threshold)
-    place = F.row_number().over(Window.partitionBy(label).orderBy(F.desc("score"), point))
-    return scored.withColumn("place", place).where("place = 1").drop("place")
+    best = scored.groupBy(label).agg(F.max(F.struct("score", (-F.col(point)).alias("first"), name)).alias("best"))
+    return best.select(label, (-F.col("best.first")).alias(point), F.col(f"best.{name}").alias(name), F.col("best.score").alias("score"))
 
 
 def ordered_path(df: DataFrame, group: str, order: list[str], points: DataFrame, key: str, value: str, least: int = 2) -> DataFrame:

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Names that are broadcast to the span scan; with more of them, scan by word join.
-SCANNED = 200_000
+from wayfarer.functions import text as X
 
 
 def token_mentions(texts: DataFrame, key: str, text: str, names: DataFrame, name: str) -> DataFrame:
@@ -24,46 +24,68 @@ def unpivot(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return df.unpivot(key, fields, "field", "text").where("text IS NOT NULL AND text <> ''")
 
 
-def span_mentions(texts: DataFrame, key: str, text: str, names: list[str], suppress=None) -> DataFrame:
-    """Non-overlapping mentions of names: more words first, then longer, then by text.
+def names_in(texts: DataFrame, key: str, text: str, names: DataFrame, name: str) -> DataFrame:
+    """``key`` and ``_names``: the names (in key form) whose first word stands in the text, however many there are in all."""
+    first = lambda c: F.regexp_extract(c, r"([\p{L}\p{N}]+)", 1)
+    known = names.select(F.col(name).alias("_name")).where(first(F.col("_name")) != "").distinct().withColumn("_word", first(F.col("_name")))
+    words = texts.select(key, F.explode(F.array_distinct(X.tokens(X.fold_key(F.col(text))))).alias("_word"))
+    return words.join(known, "_word").groupBy(key).agg(F.collect_set("_name").alias("_names"))
 
-    Only accepted spans take up their place: where ``suppress`` (a function of
-    text, start and end) rejects one, a shorter name may still stand there.
-    Spans must not touch letters or digits.  Yields key, name, start, end.
+
+def _key_form(text: str) -> tuple[str, list[int]]:
+    """The folded text with white space collapsed, and where each of its letters stands."""
+    out: list[str] = []
+    at: list[int] = []
+    for i, whole in enumerate(text):
+        for c in unicodedata.normalize("NFD", whole):
+            if c.isspace():
+                c = " "
+                if not out or out[-1] == " ":
+                    continue
+            elif unicodedata.category(c) == "Mn":
+                continue
+            out.append(c.lower().replace("ς", "σ"))
+            at.append(i)
+    return "".join(out), at
+
+
+def span_mentions(texts: DataFrame, key: str, text: str, names: DataFrame, name: str, own: str | None = None) -> DataFrame:
+    """Non-overlapping mentions of names (given in key form): more words first, then longer, then by text.
+
+    Texts and names meet by a join on the name's first word; what is left to do
+    for a text alone is to choose its spans.  Only accepted spans take up their
+    place.  A span is accepted if it touches no letters or digits, is none of
+    the text's ``own`` names (an array column), begins with a capital, and
+    stands in no alias context.  Yields key, name, surface, start, end (in the
+    original text).
     """
-    if len(names) > SCANNED:
-        raise ValueError(f"{len(names)} names are too many to send to every task; join by words instead")
-    ordered = sorted(set(names), key=lambda n: (-len(n.split()), -len(n), n))
-    by_first: dict[str, list[tuple[int, str]]] = {}
-    for rank, n in enumerate(ordered):
-        by_first.setdefault(n.split()[0], []).append((rank, n))
-    shared = texts.sparkSession.sparkContext.broadcast(by_first)
+    found = texts.withColumn("_own", F.col(own) if own else F.array().cast("array<string>")).select(key, F.col(text).alias("_text"), "_own").join(names_in(texts, key, text, names, name), key)
     kind = texts.schema[key].dataType.simpleString()
-    word = re.compile(r"[^\W_]+(?:[^\w\s][^\W_]+)*")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            at, found, starts, ends = [], [], [], []
-            for i, value in enumerate(part.column(text).to_pylist()):
-                if not value:
-                    continue
-                hits = []
-                for m in word.finditer(value):
-                    for rank, n in shared.value.get(m.group(), ()):
-                        end = m.start() + len(n)
-                        if value.startswith(n, m.start()) and not (end < len(value) and value[end].isalnum()):
-                            hits.append((rank, m.start(), end, n))
-                taken: list[tuple[int, int]] = []
-                for _, s, e, n in sorted(hits):
-                    if all(e <= a or s >= b for a, b in taken) and not (suppress and suppress(value, s, e)):
-                        taken.append((s, e))
-                        at.append(i)
-                        found.append(n)
-                        starts.append(s)
-                        ends.append(e)
-            yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(at, pa.int64())), pa.array(found, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], [key, "name", "start", "end"])
-
-    return texts.select(key, text).mapInArrow(scan, f"{key} {kind}, name string, start int, end int")
+            rows = []
+            for k, value, own_names, candidates in zip(*(part.column(c).to_pylist() for c in (key, "_text", "_own", "_names")), strict=True):
+                folded, at = _key_form(value)
+                taken = bytearray(len(folded))
+                for n in sorted(set(candidates) - set(own_names or ()), key=lambda n: (-len(n.split()), -len(n), n)):
+                    for m in re.finditer(f"(?=({re.escape(n)}))", folded):
+                        s, e = m.start(), m.start() + len(n)
+                        touched = (s and folded[s - 1].isalnum()) or (e < len(folded) and folded[e].isalnum())
+                        if touched or any(taken[s:e]):
+                            continue
+                        a, b = at[s], at[e - 1] + 1
+                        surface = value[a:b]
+                        head = surface.strip()[:1]
+                        around = _key_form(value[max(0, a - 35) : b + 35])[0]
+                        if head.upper() == head != head.lower() and not any(cue in around for cue in X.ALIAS_CUES):
+                            taken[s:e] = b"\1" * (e - s)
+                            rows.append((k, n, surface, a, b))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = (part.schema.field(key).type, pa.string(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [key, "name", "surface", "start", "end"])
+
+    return found.select(key, "_text", "_own", "_names").mapInArrow(scan, f"{key} {kind}, name string, surface string, start int, end int")
 
 
 def phased(tokens: DataFrame, key: list[str], token: str, curated: DataFrame, stop: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -87,14 +109,18 @@ def classify(text: Column, rules: list[tuple[str, list[str]]], default: str, gua
     return out.otherwise(default)
 
 
-def linkify(texts: DataFrame, text: str, names: list[str], mark=lambda n: f"[[{n}]]") -> DataFrame:
-    """Names in the text marked up: leftmost first, then the longest; no overlaps; whole words only."""
-    pattern = "|".join(re.escape(n) for n in sorted(set(names), key=lambda n: (-len(n), n)))
-    if not pattern:
-        return texts
-    java = pattern.replace("\\ ", " ")
-    return texts.withColumn(text, F.regexp_replace(F.col(text), rf"(?<![\p{{L}}\p{{N}}])({java})(?![\p{{L}}\p{{N}}])", mark("$1")))
+def linkify(texts: DataFrame, key: str, text: str, names: DataFrame, name: str) -> DataFrame:
+    """Names in the text marked up as ``[[name]]``: leftmost first, then the longest; no overlaps; whole words only.
 
-
-def ordinals(keys: list[str], order: list) -> Column:
-    return F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    Texts and names meet by a join on the name's first word, so that a text is
+    searched for its own names only, by a pattern of its own.
+    """
+    folded = X.fold_key(F.col(name))
+    raw = names.select(F.col(name).alias("_raw"), folded.alias("_name")).distinct()
+    first = F.regexp_extract("_name", r"([\p{L}\p{N}]+)", 1)
+    words = texts.select(key, F.explode(F.array_distinct(X.tokens(X.fold_key(F.col(text))))).alias("_word"))
+    held = words.join(raw.withColumn("_word", first), "_word").groupBy(key).agg(F.array_sort(F.collect_set(F.struct((-F.length("_raw")).alias("n"), "_raw"))).alias("_held"))
+    escaped = F.transform("_held", lambda r: F.regexp_replace(r["_raw"], r"([\\.\[\]{}()*+?^$|])", r"\\$1"))
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])("), F.array_join(escaped, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    joined = texts.join(held, key, "left")
+    return joined.withColumn(text, F.when(F.col("_held").isNull(), F.col(text)).otherwise(F.regexp_replace(F.col(text), pattern, F.lit("[[$1]]")))).drop("_held")

@@ -48,3 +48,9 @@ def search(df: DataFrame, q: str, title: str, body: str) -> DataFrame:
     at = F.call_function("locate", needle, fold(F.col(body)))
     hits = df.withColumn("weight", F.when(in_title, 0).when(at > 0, 1)).where(F.col("weight").isNotNull())
     return hits.withColumn("at", at).withColumn("snippet", search_snippet(F.col(body), F.col("at")))
+
+
+def first_with_total(df: DataFrame, order: list, n: int) -> DataFrame:
+    """The first ``n`` rows of all, each with the ``total`` of all."""
+    total = df.agg(F.count("*").alias("total"))
+    return df.orderBy(*order).limit(n).join(F.broadcast(total))

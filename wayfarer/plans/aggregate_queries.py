@@ -128,11 +128,11 @@ def q_spot_check(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT 'labels_only' AS side, count(*) AS n FROM (SELECT doc_id FROM labels WHERE toxic = 1 EXCEPT SELECT doc_id FROM documents WHERE doc_id % 2 = 0)
-       UNION ALL SELECT 'documents_only', count(*) FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0 EXCEPT SELECT doc_id FROM labels WHERE toxic = 1)"""
+    """SELECT 'labels_only' AS side, count(*) AS n FROM (SELECT doc_id FROM labels WHERE toxic = 1 EXCEPT SELECT doc_id FROM documents WHERE lang = 'en')
+       UNION ALL SELECT 'documents_only', count(*) FROM (SELECT doc_id FROM documents WHERE lang = 'en' EXCEPT SELECT doc_id FROM labels WHERE toxic = 1)"""
 )
 def q_difference_counts(t: Tables) -> DataFrame:
-    a, b = t.labels.where("toxic = 1").select("doc_id"), t.documents.where("doc_id % 2 = 0").select("doc_id")
+    a, b = t.labels.where("toxic = 1").select("doc_id"), t.documents.where("lang = 'en'").select("doc_id")
     side = F.when(F.col("a") & F.col("b"), "both").when(F.col("a"), "labels_only").otherwise("documents_only").alias("side")
     joined = a.distinct().withColumn("a", F.lit(True)).join(b.distinct().withColumn("b", F.lit(True)), "doc_id", "full").fillna(False)
     return joined.groupBy(side).agg(F.count("*").alias("n")).where("side <> 'both'")

@@ -42,8 +42,8 @@ def q_refresh(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH l AS (SELECT event_id AS pos, user_id % 120 AS c_custkey, event_type AS status, value AS c_acctbal, 'S' || event_id AS c_mktsegment FROM events),
-       b AS (SELECT c_custkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey <= 100),
+    """WITH l AS (SELECT event_id AS pos, user_id * 3 AS c_custkey, event_type AS status, value AS c_acctbal, 'S' || event_id AS c_mktsegment FROM events),
+       b AS (SELECT c_custkey, c_acctbal, c_mktsegment FROM customer),
        g AS (SELECT c_custkey, max_by(c_acctbal, pos) FILTER (status = 'purchase') AS bal, max_by(c_mktsegment, pos) FILTER (status IN ('purchase', 'signup')) AS seg,
                count(*) FILTER (status IN ('purchase', 'signup')) > 0 AS hit, count(*) FILTER (status = 'purchase') > 0 AS balhit, max_by(status = 'error', pos) AS skip FROM l GROUP BY 1)
        SELECT coalesce(b.c_custkey, g.c_custkey) AS c_custkey, CASE WHEN balhit THEN bal ELSE b.c_acctbal END AS c_acctbal, CASE WHEN hit THEN seg ELSE b.c_mktsegment END AS c_mktsegment,
@@ -51,8 +51,8 @@ def q_refresh(t: Tables) -> DataFrame:
        FROM b FULL JOIN g ON b.c_custkey = g.c_custkey WHERE b.c_custkey IS NOT NULL OR NOT skip"""
 )
 def q_ledger(t: Tables) -> DataFrame:
-    ledger = t.events.select(F.col("event_id").alias("pos"), (F.col("user_id") % 120).alias("c_custkey"), F.col("event_type").alias("status"), F.col("value").alias("c_acctbal"), F.concat(F.lit("S"), "event_id").alias("c_mktsegment"))
-    base = t.customer.where("c_custkey <= 100").select("c_custkey", "c_acctbal", "c_mktsegment")
+    ledger = t.events.select(F.col("event_id").alias("pos"), (F.col("user_id") * 3).alias("c_custkey"), F.col("event_type").alias("status"), F.col("value").alias("c_acctbal"), F.concat(F.lit("S"), "event_id").alias("c_mktsegment"))
+    base = t.customer.select("c_custkey", "c_acctbal", "c_mktsegment")
     writes = {"c_acctbal": F.col("status") == "purchase", "c_mktsegment": F.col("status").isin("purchase", "signup")}
     return M.apply_ledger(base, ledger, "c_custkey", "pos", writes, F.col("status") == "error")
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from wayfarer.functions import geo
 from wayfarer.operators import windows as W
+from wayfarer.operators.sorting import numbered
 from wayfarer.plans.registry import Tables, query
 
 _ORDER = ["ts", "event_id"]
@@ -141,8 +142,8 @@ def q_headers(t: Tables) -> DataFrame:
 )
 def q_natural_sort(t: Tables) -> DataFrame:
     number = F.try_to_number(F.nullif(F.regexp_extract("p_brand", r"([0-9]+)$", 1), F.lit("")), F.lit("999999999")).cast("long")
-    order = Window.orderBy(F.asc_nulls_last(number), F.lower("p_brand"), "p_partkey")
-    return t.part.select("p_partkey", F.row_number().over(order).alias("place"))
+    order = [F.coalesce(number, F.lit(2**62)), F.lower("p_brand"), F.col("p_partkey")]
+    return numbered(t.part.select("p_partkey", "p_brand"), order, "place").select("p_partkey", "place")
 
 
 @query(
@@ -154,11 +155,14 @@ def q_sort_orders(t: Tables) -> DataFrame:
     place = F.array_position(F.array(F.lit(3), F.lit(1), F.lit(2)), F.col("s_nationkey") % 5)
     orders = {
         "sentinel": [F.coalesce(key, F.lit(9999))],
-        "nulls_last": [F.desc_nulls_last(key)],
-        "longest": [F.desc(F.size(F.split("s_name", "0"))), F.desc(F.length("s_name")), "s_name"],
+        "nulls_last": [-F.coalesce(key, F.lit(-1))],
+        "longest": [-F.size(F.split("s_name", "0")), -F.length("s_name"), F.col("s_name")],
         "enumerated": [F.when(place > 0, place).otherwise(99)],
     }
-    return t.supplier.select("s_suppkey", *[F.row_number().over(Window.orderBy(*by, "s_suppkey")).alias(name) for name, by in orders.items()])
+    rows = t.supplier.select("s_suppkey", "s_nationkey", "s_name")
+    for name, by in orders.items():
+        rows = numbered(rows, [*by, F.col("s_suppkey")], name)
+    return rows.select("s_suppkey", *orders)
 
 
 @query(

@@ -1 +1 @@
-"""Readers and writers of the formats that the data comes in."""
+"""File sources and sinks; ``files`` has them all."""

@@ -1 +1 @@
-"""Structured Streaming operators and their batch twins."""
+"""Structured Streaming operators; ``inputs`` has them, each with a batch form."""
