@@ -287,8 +287,8 @@ def score_with_unigrams(docs: DataFrame, model: PPM, key: str = "doc_id", text:
     """The PPM score beside a word unigram score learned from the rows that are not held out.
 
     Documents are dealt by hash to shards of about ``SHARD_BYTES``.  Each shard
-    sends its distinct words with their own counts; they are added up by word,
-    and what differs from the shard's own count goes back to it.  The rare
+    sends its distinct words with their own counts; a window by word, which has
+    a row for each shard, adds them up, and what differs from the shard's own count goes back to it.  The rare
     contexts of its texts come the same way.  No word and no document is
     gathered beyond its shard.
     """
@@ -312,11 +312,9 @@ def score_with_unigrams(docs: DataFrame, model: PPM, key: str = "doc_id", text:
         return pa.table({"shard": pa.array(np.full(len(words), table["shard"][0].as_py(), np.int32)), "word": words.view(np.int64), "n": n})
 
     pieces = dealt.groupBy("shard").applyInArrow(words_of, "shard int, word bigint, n bigint")
-    pieces = written(pieces, "words")
-    # added up before the shuffle, and written: the join back can then split a word that all shards have
-    whole = written(pieces.groupBy("word").agg(F.sum("n").alias("total"), F.count("*").alias("shards")), "totals")
-    totals = whole.agg(F.sum("total").alias("n"), F.count_if(F.col("total") > 0).alias("v"))
-    elsewhere = pieces.join(whole.where("shards > 1"), "word").where("total <> n").select("shard", "word", "total", F.lit(None).cast("struct<gram: bigint, log: double, mid: double, low: double>").alias("rare"))
+    whole = pieces.select("*", F.expr("sum(n) OVER (PARTITION BY word) AS total"), F.expr("min(shard) OVER (PARTITION BY word) AS first"))
+    totals = whole.agg(F.sum("n").alias("n"), F.count_if((F.col("shard") == F.col("first")) & (F.col("total") > 0)).alias("v"))
+    elsewhere = whole.where("total <> n").select("shard", "word", "total", F.lit(None).cast("struct<gram: bigint, log: double, mid: double, low: double>").alias("rare"))
     rare = _rare_of_shards(dealt, model, shared).select("shard", F.lit(None).cast("bigint").alias("word"), F.lit(None).cast("bigint").alias("total"), F.struct("gram", "log", "mid", "low").alias("rare"))
 
     def scored(shard_docs: pa.Table, joined: pa.Table) -> pa.Table:
