@@ -72,21 +72,17 @@ class Accumulator:
         return fired
 
 
-FIRED = "{key} bigint, ts timestamp_ntz, fired int"
-
-
 def fires(df: DataFrame, key: str, ts: str, delta: str, quiet: float, cooldown: float, threshold: float) -> DataFrame:
     """Where the accumulator of each key fires, over a table: one key's events are one group, in order."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts", kind="stable")
+        rows = rows.sort_values("at", kind="stable")
         one = Accumulator(quiet, cooldown, threshold)
-        at = rows["ts"].astype("int64") / pd.Timedelta(1, rows["ts"].dt.unit).value * pd.Timedelta(1, rows["ts"].dt.unit).total_seconds()
-        rows["fired"] = [one.step(a, d) for a, d in zip(at, rows["delta"], strict=True)]
+        rows["fired"] = [one.step(a, d) for a, d in zip(rows["at"], rows["delta"], strict=True)]
         return rows.loc[rows["fired"] != 0, ["key", "ts", "fired"]]
 
-    renamed = df.select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.col(delta).cast("double").alias("delta"))
-    return renamed.groupBy("key").applyInPandas(run, FIRED.format(key="key")).withColumnRenamed("key", key)
+    renamed = df.select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.col(ts).cast("timestamp").cast("double").alias("at"), F.col(delta).cast("double").alias("delta"))
+    return renamed.groupBy("key").applyInPandas(run, f"key bigint, ts {df.schema[ts].dataType.simpleString()}, fired int").withColumnRenamed("key", key)
 
 
 def fires_stream(df: DataFrame, key: str, ts: str, delta: str, quiet: float, cooldown: float, threshold: float) -> DataFrame:
