@@ -65,11 +65,11 @@ def q_kml(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT CAST(conv_id AS VARCHAR) AS book, CAST(turn AS VARCHAR) AS chapter, 'https://pleiades.stoa.org/places/' || turn AS refs, trim(regexp_replace(text || ' end', '\\s+', ' ', 'g')) AS body FROM conversations"""
+    """SELECT CAST(conv_id AS VARCHAR) AS book, CAST(turn AS VARCHAR) AS chapter, 'https://places.example.org/' || turn AS refs, trim(regexp_replace(text || ' end', '\\s+', ' ', 'g')) AS body FROM conversations"""
 )
 def q_tei_chapters(t: Tables) -> DataFrame:
     """A TEI document for each conversation: turns as chapters, with notes that fall out."""
-    chapter = F.concat(F.lit('<div subtype="chapter" n="'), F.col("turn").cast("string"), F.lit('"><pb n="1"/><p>'), X.html_escape(F.col("text")), F.lit('<note>no <hi>no</hi></note> <placeName ref="https://pleiades.stoa.org/places/'), F.col("turn").cast("string"), F.lit('">end</placeName></p></div>'))
+    chapter = F.concat(F.lit('<div subtype="chapter" n="'), F.col("turn").cast("string"), F.lit('"><pb n="1"/><p>'), X.html_escape(F.col("text")), F.lit('<note>no <hi>no</hi></note> <placeName ref="https://places.example.org/'), F.col("turn").cast("string"), F.lit('">end</placeName></p></div>'))
     books = t.conversations.groupBy("conv_id").agg(F.array_join(F.collect_list(chapter), "").alias("chapters"))
     tei = F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body><div subtype="book" n="'), F.col("conv_id").cast("string"), F.lit('">'), "chapters", F.lit("</div></body></text></TEI>"))
     return files.tei_chapters(books.select(tei.alias("text")), "text")
