@@ -41,6 +41,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """Like ``written``, in buckets by ``keys``: joins by just these keys, in this order, leave its rows where they are.
+
+    ``df`` should come out of a shuffle by the same keys, so that a task writes few files.
+    """
+    spark = df.sparkSession
+    run = uuid.uuid4().hex
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_dir(spark)}/wayfarer/{run}/{name}"
+    df.write.format("parquet").bucketBy(buckets, *keys).option("path", path).saveAsTable(f"wayfarer_{name}_{run}")
+    return spark.table(f"wayfarer_{name}_{run}")
+
+
 def small(df: DataFrame) -> DataFrame:
     """``df`` (a written table), to be broadcast if it was counted and has at most ``BROADCAST_ROWS`` rows."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

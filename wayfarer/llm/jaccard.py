@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfarer.llm._shared import small, written
+from wayfarer.llm._shared import bucketed, small, written
 from wayfarer.llm._text import SPACED, blocks, hashed_words, mix, run_hashes
 from wayfarer.llm.components import components
 
@@ -159,21 +159,24 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, p
                 yield pa.RecordBatch.from_pydict({"token": np.concatenate(tokens).view(np.int64), "sig": np.repeat(np.array(sigs, np.int64), lengths), "counts": np.repeat(counts, lengths)})
 
     posted = rows.mapInArrow(prefixes, "token bigint, sig bigint, counts bigint")
-    n = "counts & 4294967295"
+    n = "cast(counts & 4294967295 AS int)"
     # of many copies with changes the one with the most common tokens has the fewest changes of its own
-    ends = (("middle", "max(struct(counts, sig))"), ("head", f"min(struct({n}, sig))"), ("tail", f"max(struct({n}, sig))"), ("sets", "count(*)"))
+    ends = (("middle", "max(struct(counts, sig))"), ("head", f"min(struct({n} AS n, sig))"), ("tail", f"max(struct({n} AS n, sig))"), ("sets", "count(*)"))
     lists = posted.select("*", *[F.expr(f"{x} OVER (PARTITION BY token) AS {name}") for name, x in ends])
-    lists = written(lists.where("head <> tail").select("token", "sig", F.col("middle.sig").alias("middle"), F.col("head.sig").alias("head"), "sets").distinct(), "postings")
+    middle = F.struct(F.expr("cast(middle.counts & 4294967295 AS int)").alias("n"), "middle.sig")
+    lists = written(lists.where("head <> tail").select("token", "sig", F.expr(n).alias("n"), middle.alias("middle"), "head", "sets").distinct(), "postings")
 
-    involved = lists.select("sig").distinct()
-    matrix = written(matrix.join(involved, "sig", "left_semi").dropDuplicates(["sig", "n"]), "matrix")
-    stars = lists.select("sig", F.explode(F.array("middle", "head")).alias("to")).where("sig <> to").distinct()
-    stars = written(stars, "stars")
+    involved = lists.select("sig", "n").distinct()
+    matrix = bucketed(matrix.join(involved, ["sig", "n"], "left_semi").dropDuplicates(["sig", "n"]), "matrix", "sig", "n")
+    # sizes rule out most pairs before any row of the matrix travels
+    close = (F.col("n") * percent <= F.col("m") * 100) & (F.col("m") * percent <= F.col("n") * 100)
+    ends = lists.select("sig", "n", F.explode(F.array("middle", "head")).alias("end"))
+    stars = ends.select("sig", "n", F.col("end.sig").alias("to"), F.col("end.n").alias("m")).where("sig <> to").where(close).distinct()
     linked = compared(rows, classes, within_bound(stars, matrix, percent), k, percent)
     groups = components(linked.select(F.col("sig").alias("a"), F.col("to").alias("b")))
     # sets without a link are grouped by the token of their prefix that most sets have
-    lead = lists.groupBy("sig").agg(F.max_by("token", F.struct("sets", "token")).alias("lead"))
-    grouped = lead.join(matrix.select("sig", "n"), "sig").join(groups, F.col("sig") == F.col("node"), "left").select("sig", "n", F.coalesce("component", "lead").alias("grp"), F.col("component").isNotNull().alias("linked"))
+    lead = lists.groupBy("sig", "n").agg(F.max_by("token", F.struct("sets", "token")).alias("lead"))
+    grouped = lead.join(groups, F.col("sig") == F.col("node"), "left").select("sig", "n", F.coalesce("component", "lead").alias("grp"), F.col("component").isNotNull().alias("linked"))
     grouped = written(grouped, "groups")
     links = linked.unionByName(across_groups(rows, classes, lists, grouped, matrix, k, percent))
     named = classes.select("n", "sig", "class")
@@ -217,11 +220,20 @@ def _filter(held: DataFrame, columns: list[str], percent: int, test) -> DataFram
 
 
 def within_bound(pairs: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
-    """Of the written pairs (sig, to) those that can link by their rows of the matrix: (sig, n, to, m)."""
-    other = matrix.join(small(written(pairs.select("to").distinct().withColumnRenamed("to", "sig"), "others")), "sig")
-    other = other.select(F.col("sig").alias("to"), F.col("n").alias("m"), F.col("bits").alias("b"))
-    close = (F.col("n") * percent <= F.col("m") * 100) & (F.col("m") * percent <= F.col("n") * 100)
-    held = matrix.withColumnRenamed("bits", "a").join(small(pairs), "sig").join(other, "to").where(close)
+    """Of the pairs (sig, n, to, m) those that can link by their rows of the matrix.
+
+    One row of each pair travels, with half its groups: enough to tell a set from another, if not from a union.
+    """
+    asked = matrix.withColumnRenamed("bits", "a").join(pairs, ["sig", "n"]).select("sig", "n", "to", "m", "a")
+
+    def half(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            rows = (np.frombuffer(a.as_buffer(), np.uint64) for a in part.column("a"))
+            halves = pa.array([_folded(a, max(1, len(a) // 2)).tobytes() for a in rows], pa.binary())
+            yield part.set_column(part.schema.get_field_index("a"), "a", halves)
+
+    other = matrix.select(F.col("sig").alias("to"), F.col("n").alias("m"), F.col("bits").alias("b"))
+    held = asked.mapInArrow(half, asked.schema).join(other, ["to", "m"])
     return _filter(held, ["sig", "n", "to", "m"], percent, lambda a, b, n, m: _links(min(_bound(a, n, b), _bound(b, m, a)), n, m, percent))
 
 
@@ -245,7 +257,7 @@ def compared(rows: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, perc
             yield pa.RecordBatch.from_pydict({"sig": pa.array(sigs, pa.int64()), "n": pa.array([len(x) // 8 for x in held], pa.int32()), "tokens": pa.array(held, pa.binary())})
 
     sets = rows.select("text", "h").mapInArrow(tokens_of, "sig bigint, n int, tokens binary").join(wanted.select("sig", "n"), ["sig", "n"], "left_semi").dropDuplicates(["sig", "n"])
-    sets = written(sets, "members")
+    sets = bucketed(sets, "members", "sig", "n")
     held = pairs.join(sets.withColumnRenamed("tokens", "a"), ["sig", "n"]).join(sets.select(F.col("sig").alias("to"), F.col("n").alias("m"), F.col("tokens").alias("b")), ["to", "m"])
     return written(_filter(held, ["sig", "n", "to", "m"], percent, lambda a, b, n, m: _links(_overlap(a, b), n, m, percent)), "links")
 
@@ -284,7 +296,7 @@ def across_groups(rows: DataFrame, classes: DataFrame, lists: DataFrame, grouped
     ranges = parts.groupBy(*cell).agg(F.min("n").alias("low"), F.max("n").alias("high"))
     parts = written(parts.join(ranges, cell), "parts")
     # a token all of whose sets lie in one part, or in one component, leads nowhere else
-    placed = lists.select("token", "sig").join(parts, "sig").withColumn("where", F.struct(*group, F.when(~F.col("linked"), F.struct("step", "part")).alias("place")))
+    placed = lists.select("token", "sig", "n").join(parts, ["sig", "n"]).withColumn("where", F.struct(*group, F.when(~F.col("linked"), F.struct("step", "part")).alias("place")))
     ends = [F.expr(f"{x}(where) OVER (PARTITION BY token) AS {x}_where") for x in ("min", "max")]
     posted = written(placed.select("*", *ends).where("min_where <> max_where").drop("where", "min_where", "max_where"), "elsewhere")
     fits = (F.col("n") * percent <= F.col("high") * 100) & (F.col("low") * percent <= F.col("n") * 100)
@@ -315,7 +327,7 @@ def across_groups(rows: DataFrame, classes: DataFrame, lists: DataFrame, grouped
             within += [{"sig": x["to"], "n": x["m"], "to": y["to"], "m": y["m"]} for y in near]
         return pa.table({**{c: table[c][:1] for c in cell}, "b": pa.array([whole.tobytes()], pa.binary()), "members": pa.array([members], member), "within": pa.array([within], pair)})
 
-    stored = written(cells.groupBy(*cell).applyInArrow(union, "grp bigint, linked boolean, step int, part bigint, b binary, members array<struct<to: bigint, m: int, bits: binary>>, within array<struct<sig: bigint, n: int, to: bigint, m: int>>"), "unions")
+    stored = bucketed(cells.groupBy(*cell).applyInArrow(union, "grp bigint, linked boolean, step int, part bigint, b binary, members array<struct<to: bigint, m: int, bits: binary>>, within array<struct<sig: bigint, n: int, to: bigint, m: int>>"), "unions", *cell)
     bounds = matrix.withColumnRenamed("bits", "a").join(small(asks), ["sig", "n"]).join(stored.drop("members", "within"), cell)
     reached = written(_filter(bounds, ["sig", "n", *cell], percent, lambda a, b, n: _bound(a, n, b) >= _least(n, percent)), "reached")
 
