@@ -162,7 +162,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, p
     n = "cast(counts & 4294967295 AS int)"
     # of many copies with changes the one with the most common tokens has the fewest changes of its own
     ends = (("middle", "max(struct(counts, sig))"), ("head", f"min(struct({n} AS n, sig))"), ("tail", f"max(struct({n} AS n, sig))"), ("sets", "count(*)"))
-    lists = posted.select("*", *[F.expr(f"{x} OVER (PARTITION BY token) AS {name}") for name, x in ends])
+    # dealt before the ends are put together, so that they don't travel
+    lists = posted.repartition("token").select("*", *[F.expr(f"{x} OVER (PARTITION BY token) AS {name}") for name, x in ends])
     middle = F.struct(F.expr("cast(middle.counts & 4294967295 AS int)").alias("n"), "middle.sig")
     lists = written(lists.where("head <> tail").select("token", "sig", F.expr(n).alias("n"), middle.alias("middle"), "head", "sets").distinct(), "postings")
 
@@ -296,7 +297,7 @@ def across_groups(rows: DataFrame, classes: DataFrame, lists: DataFrame, grouped
     ranges = parts.groupBy(*cell).agg(F.min("n").alias("low"), F.max("n").alias("high"))
     parts = written(parts.join(ranges, cell), "parts")
     # a token all of whose sets lie in one part, or in one component, leads nowhere else
-    placed = lists.select("token", "sig", "n").join(parts, ["sig", "n"]).withColumn("where", F.struct(*group, F.when(~F.col("linked"), F.struct("step", "part")).alias("place")))
+    placed = lists.select("token", "sig", "n").join(parts, ["sig", "n"]).repartition("token").withColumn("where", F.struct(*group, F.when(~F.col("linked"), F.struct("step", "part")).alias("place")))
     ends = [F.expr(f"{x}(where) OVER (PARTITION BY token) AS {x}_where") for x in ("min", "max")]
     posted = written(placed.select("*", *ends).where("min_where <> max_where").drop("where", "min_where", "max_where"), "elsewhere")
     fits = (F.col("n") * percent <= F.col("high") * 100) & (F.col("low") * percent <= F.col("n") * 100)
