@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfarer.llm import ann, bpe, decontaminate, html, jaccard, langid, licenses, linededup, lm, urlfilter
+from wayfarer.llm import ann, bpe, decontaminate, html, jaccard, langid, licenses, linededup, lm, merkle, urlfilter
 from wayfarer.llm._shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,69 @@ def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op10_urlfilter"] = urlfilter.SQL
+
+
+@query
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A leaf and its proof for every document; every seventh, by hash, is checked after its n_chars was changed."""
+    c = F.col
+    longer = F.when(F.crc32(c("doc_id").cast("string").cast("binary")) % 7 == 0, c("n_chars").cast("decimal(20,0)") + 1).otherwise(c("n_chars"))
+    leaf = merkle.leaf_digest(c("doc_id"), c("source"), c("lang"), c("n_chars"), c("text"))
+    changed = merkle.leaf_digest(c("doc_id"), c("source"), c("lang"), longer, c("text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", leaf.alias("leaf"), changed.alias("changed"))
+    proved = merkle.manifest(rows).withColumn("folded_root", merkle.fold(c("changed"), c("proof")))
+    return proved.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(c("proof")).alias("proof_sha256"), "folded_root", (c("folded_root") == c("root")).alias("verified"))
+
+
+ORACLE_SQL["op12_merkle"] = """
+WITH RECURSIVE d AS (
+  SELECT *, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc
+  FROM documents
+),
+f AS (
+  SELECT doc_id, lang, n_chars, crc IS NOT NULL AND xor(crc, 4294967295) % 7 = 0 AS hit,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+    coalesce(strlen(text) || ':' || text, '-') AS z
+  FROM d
+),
+l AS (
+  SELECT doc_id, coalesce('=' || lang, '-') AS tree, sha256(a || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || z) AS leaf,
+    sha256(a || coalesce(strlen((n_chars + hit::INT)::VARCHAR) || ':' || (n_chars + hit::INT), '-') || z) AS changed
+  FROM f
+),
+p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY tree) AS n FROM l),
+nodes AS (
+  SELECT tree, 0 AS level, place, n, leaf AS digest FROM p
+  UNION ALL
+  SELECT tree, level + 1, place // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY place)) FROM nodes WHERE n > 1 GROUP BY tree, level, place // 2, n
+),
+subroots AS (SELECT tree, level AS top, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE n = 1),
+upper AS (
+  SELECT 0 AS level, place, n, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY place)) FROM upper WHERE n > 1 GROUP BY level, place // 2, n
+),
+path AS (
+  SELECT p.doc_id, p.leaf, p.changed, p.tree, s.subroot, s.place AS tree_place, s.top, 0 AS level, p.place, p.n, p.changed AS folded, '' AS proof FROM p JOIN subroots s USING (tree)
+  UNION ALL
+  SELECT q.doc_id, q.leaf, q.changed, q.tree, q.subroot, q.tree_place, q.top, q.level + 1,
+    q.place // 2,
+    (q.n + 1) // 2,
+    CASE WHEN o.digest IS NULL THEN sha256(q.folded) WHEN q.place % 2 = 0 THEN sha256(q.folded || o.digest) ELSE sha256(o.digest || q.folded) END,
+    q.proof || coalesce(o.digest, '')
+  FROM path q LEFT JOIN nodes o ON o.tree = q.tree AND o.level = q.level AND o.place = xor(q.place, 1)
+  WHERE q.level < q.top
+),
+path2 AS (
+  SELECT doc_id, leaf, subroot, 0 AS level, tree_place AS place, (SELECT count(*) FROM subroots) AS n, folded, proof FROM path WHERE level = top
+  UNION ALL
+  SELECT q.doc_id, q.leaf, q.subroot, q.level + 1, q.place // 2, (q.n + 1) // 2,
+    CASE WHEN o.digest IS NULL THEN sha256(q.folded) WHEN q.place % 2 = 0 THEN sha256(q.folded || o.digest) ELSE sha256(o.digest || q.folded) END,
+    q.proof || coalesce(o.digest, '')
+  FROM path2 q LEFT JOIN upper o ON o.level = q.level AND o.place = xor(q.place, 1)
+  WHERE q.n > 1
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM path2, (SELECT digest AS root FROM upper WHERE n = 1) WHERE n = 1
+"""
