@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfarer.llm import ann, bpe, decontaminate, html, jaccard, langid, licenses, linededup, lm, merkle, urlfilter
+from wayfarer.llm import ann, bpe, decontaminate, embdedup, html, jaccard, langid, licenses, linededup, lm, merkle, urlfilter
 from wayfarer.llm._shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,3 +200,26 @@ path2 AS (
 SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
 FROM path2, (SELECT digest AS root FROM upper WHERE n = 1) WHERE n = 1
 """
+
+
+@query
+def op13_embdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every vector, within its label, at a cosine of 0.98."""
+    return embdedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE_SQL["op13_embdedup"] = """
+WITH RECURSIVE ok AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.98
+),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(b, vec_id)) AS component_id, vec_id <= coalesce(b, vec_id) AS kept
+FROM embeddings
+LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) c ON c.a = vec_id
+LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) r ON r.a = vec_id
+"""
