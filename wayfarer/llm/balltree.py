@@ -101,21 +101,23 @@ class Asks:
     """What some anchors want: rows of the same label, or of others within a window of the positive's score."""
 
     def __init__(self, t: pa.Table, low: int, high: int):
-        self.low, self.high = low, high
         self.anchor, self.turn = t["anchor"].to_numpy(), t["turn"].to_numpy()
         self.label = np.array(t["label"].to_pylist(), object)
         self.same = t["same"].to_numpy(zero_copy_only=False).astype(bool)
         self.v = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1).astype(np.int64)
         self.float = self.v.astype(np.float64)
         self.windowed = ~self.same
-        self.positive = np.array([p or 0 for p in t["positive"].to_pylist()], np.int64)
+        # whole scores of the window; none lies beyond 2**62
+        positive = [p or 0 for p in t["positive"].to_pylist()]
+        self.least = np.array([max(NONE, -(-low * p // 100)) for p in positive], np.int64)
+        self.most = np.array([min(-NONE, high * p // 100) for p in positive], np.int64)
         self.kth = np.array([NONE if k is None else k for k in t["kth"].to_pylist()], np.int64)
 
     def possible(self, least: np.ndarray, most: np.ndarray, only: object, kth: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Which of the asks ``at`` a ball with these bounds can serve; ``only``: the label of all its rows, or None."""
         fits = most >= kth
         window = self.windowed[at]
-        fits &= ~window | ((100.0 * most >= self.low * self.positive[at]) & (100.0 * least <= self.high * self.positive[at]))
+        fits &= ~window | ((most >= self.least[at]) & (least <= self.most[at]))
         if only is not None:
             fits &= (self.label[at] == only) == self.same[at]
         return fits
@@ -123,8 +125,7 @@ class Asks:
     def wanted(self, at: np.ndarray, ids: np.ndarray, labels: np.ndarray, score: np.ndarray) -> np.ndarray:
         fits = (labels[None, :] == self.label[at][:, None]) == self.same[at][:, None]
         fits &= ids[None, :] != self.anchor[at][:, None]
-        p = self.positive[at][:, None]
-        inside = (self.low * p <= 100 * score) & (100 * score <= self.high * p)
+        inside = (self.least[at][:, None] <= score) & (score <= self.most[at][:, None])
         return fits & (self.same[at][:, None] | inside)
 
 
@@ -310,7 +311,7 @@ def mine(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: i
     asks = written(rows.where("asks").select(F.col("id").alias("anchor"), F.lit(0).alias("turn"), "label", F.lit(True).alias("same"), null.alias("positive"), "size", "v", null.alias("kth")), "asks")
     chosen = written(best(asks, trees, positives, low, high), "positives")
     pairs = chosen.select("anchor", F.col("rank").alias("turn"), F.col("id").alias("positive_id"), F.col("score").alias("positive"))
-    windows = pairs.where(low * F.col("positive") <= high * F.col("positive")).join(asks.select("anchor", "label", "size", "v"), "anchor")
+    windows = pairs.where((high - low) * F.signum("positive") >= 0).join(asks.select("anchor", "label", "size", "v"), "anchor")
     windows = written(windows.select("anchor", "turn", "label", F.lit(False).alias("same"), "positive", "size", "v", null.alias("kth")), "windows")
     found = best(windows, trees, negatives, low, high).join(pairs, ["anchor", "turn"])
     return found.select(F.col("anchor").alias("anchor_id"), "positive_id", "rank", F.col("id").alias("negative_id"), F.col("positive").alias("positive_score"), F.col("score").alias("negative_score"))

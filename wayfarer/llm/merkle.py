@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wayfarer.llm._shared import small, written
 
@@ -209,6 +210,7 @@ def _forest(leaves: DataFrame, order: str, fan: int, crown: Callable[[DataFrame]
     ends = written(first.select("part", "tree", "level", "place").join(paths.drop("size"), ["tree", "level", "place"]), "paths")
 
     kept = [f for f in leaves.schema if f.name not in ("part", "size")]
+    schema = StructType([*kept, *StructType.fromDDL(f"proof {STEP}, subroot string, root string")])
 
     def prove(held: pa.Table, frontier: pa.Table) -> pa.Table:
         combiner = Combiner(fan, True)
@@ -240,8 +242,7 @@ def _forest(leaves: DataFrame, order: str, fan: int, crown: Callable[[DataFrame]
         out = {f.name: held[f.name] for f in kept}
         return pa.table(out | {"proof": proofs, "subroot": pa.array(subroots, pa.string()), "root": pa.array(roots, pa.string())})
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return leaves.groupBy("part").cogroup(ends.groupBy("part")).applyInArrow(prove, f"{schema}, proof {STEP}, subroot string, root string")
+    return leaves.groupBy("part").cogroup(ends.groupBy("part")).applyInArrow(prove, schema)
 
 
 def manifest(leaves: DataFrame, order: str = "doc_id", group: str = "lang", fan: int = 2) -> DataFrame:
@@ -259,4 +260,6 @@ def manifest(leaves: DataFrame, order: str = "doc_id", group: str = "lang", fan:
         top = _forest(written(top, "subroots"), "name", fan, lambda roots: roots.withColumn("root", F.col("subroot")).withColumn("above", F.array().cast(STEP)))
         return top.select(F.col("name").alias("tree"), F.col("leaf").alias("subroot"), "root", F.col("proof").alias("above"))
 
-    return _forest(written(leaves.withColumn("tree", tree), "digests"), order, fan, crown).drop("tree")
+    rows = written(leaves.select(tree.alias("tree"), F.col(order).alias("key"), "leaf", F.struct("*").alias("row")), "digests")
+    made = ["place", "proof", "subroot", "root"]
+    return _forest(rows, "key", fan, crown).select(*[F.col("row").getField(c).alias(c) for c in leaves.columns if c not in made], *made)
