@@ -1,11 +1,11 @@
-"""A folder for files that a query writes and reads again."""
+"""Files and tables that a query writes and reads again."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
@@ -16,3 +16,10 @@ def folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return "file://" + tempfile.mkdtemp(prefix="wayfarer-") + "/files"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet and read back, for what several consumers need."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
