@@ -12,10 +12,9 @@ SIZE, RAREST = 3, 3
 def grams(x: Column, size: int = SIZE) -> Column:
     """All runs of ``size`` letters of a text, in order; none in a shorter one."""
     letters = F.filter(F.split(x, ""), lambda c: c != "")
-    n = F.size(letters) - size + 1
-    # by place in the array of letters: to cut a long text at a place takes as long as the place is far
-    run = lambda i: F.concat(*[F.get(letters, i + k) for k in range(size)])
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), run)).otherwise(F.array().cast("array<string>"))
+    # arrays side by side: to cut a long text at a place takes as long as the place is far, and a lambda would split it again for each letter
+    beside = F.arrays_zip(*[F.slice(letters, k + 1, F.greatest(F.size(letters) - k, F.lit(0))).alias(f"_{k}") for k in range(size)])
+    return F.filter(F.transform(beside, lambda p: F.concat(*[p[f"_{k}"] for k in range(size)])), lambda g: g.isNotNull())
 
 
 def containing(texts: DataFrame, key: list[str], text: str, needles: DataFrame, needle: str) -> DataFrame:

@@ -19,7 +19,7 @@ sec AS (
 authterm AS (SELECT place_key, n, 0 AS pos, display AS term FROM auth UNION ALL SELECT place_key, n, 1, alias FROM auth),
 idx AS (SELECT term, arg_min(place_key, n * 10 + pos) AS known_key FROM authterm GROUP BY term),
 spoken AS (
-  SELECT route, section, i - 1 AS at, section * 100000 + i - 1 AS o, w[i] AS label, w[i + 1] AS surface, (i - 1 + section) % 4 AS role FROM sec, unnest(range(1, len(w) + 1)) u(i)
+  SELECT route, section, i - 1 AS nth, section * 100000 + i - 1 AS o, w[i] AS label, CASE WHEN i % 3 = 1 THEN w[i + 1] END AS surface, (i - 1 + section) % 4 AS role FROM sec, unnest(range(1, len(w) + 1)) u(i)
 ),
 first AS (SELECT label, min(o) AS o, arg_min(coalesce(surface, ''), o) AS surface, arg_min(role, o) AS role FROM spoken WHERE label NOT IN (SELECT term FROM idx) GROUP BY label),
 node AS (SELECT row_number() OVER (ORDER BY o) AS k, *, CASE WHEN surface <> '' AND surface <> label AND surface NOT IN (SELECT term FROM idx) THEN surface END AS other FROM first),
@@ -41,7 +41,7 @@ cand AS (
 ),
 best AS (SELECT key, arg_min(point_label, point) AS point_label FROM (SELECT *, max(score) OVER (PARTITION BY key) AS top FROM cand WHERE score >= 0.78) WHERE score = top GROUP BY key),
 places AS (
-  SELECT place_key, display, 0 AS new, n AS a, 0 AS b, n % 3 <> 0 AS mapped, NULL AS point_label, [display, alias] AS terms FROM auth
+  SELECT place_key, display, 0 AS new, n AS a, 0 AS b, n % 3 <> 0 AS mapped, NULL::VARCHAR AS point_label, [display, alias] AS terms FROM auth
   UNION ALL
   SELECT key, label, 1, o // 100000, o % 100000, point_label IS NOT NULL, point_label, CASE WHEN surface = '' THEN [label, label] ELSE [label, label, surface] END FROM made LEFT JOIN best USING (key)
 ),
@@ -68,13 +68,13 @@ labelled AS (
   FROM said s LEFT JOIN side t ON t.section = s.section AND t.side = 0 LEFT JOIN side o ON o.section = s.section AND o.side = 1
 ),
 everything AS (
-  SELECT section, place_key, [0, at, 0, 0, 0] AS rank, in_text AS surface, role = 0 AS main FROM labelled
-  UNION ALL SELECT section, place_key, [0, at, 0, 0, 1], in_original, role = 0 FROM labelled WHERE in_original IS NOT NULL
+  SELECT section, place_key, [0, nth, 0, 0, 0] AS rank, in_text AS surface, role = 0 AS main FROM labelled
+  UNION ALL SELECT section, place_key, [0, nth, 0, 0, 1], in_original, role = 0 FROM labelled WHERE in_original IS NOT NULL
   UNION ALL SELECT section, place_key, [1, new, a, b, term_at * 2 + side], surface, false FROM met
 ),
 mention AS (SELECT section, place_key, trim(surface) AS surface, min(rank) AS rank, arg_min(main, rank) AS main FROM everything WHERE trim(surface) <> '' GROUP BY ALL),
 known AS (
-  SELECT section, place_key, [0, at, 0, 0] AS rank, mapped, role = 0 AS main FROM said UNION ALL SELECT section, place_key, [1, new, a, b], mapped, false FROM met
+  SELECT section, place_key, [0, nth, 0, 0] AS rank, mapped, role = 0 AS main FROM said UNION ALL SELECT section, place_key, [1, new, a, b], mapped, false FROM met
 ),
 own AS (
   SELECT section, arg_min(place_key, rank) FILTER (main) AS dest, arg_min(mapped, rank) FILTER (main) AS dest_mapped, arg_min(place_key, rank) FILTER (mapped) AS near FROM known GROUP BY section
@@ -125,7 +125,7 @@ def q_section_ingest(t: Tables) -> DataFrame:
     phrase = F.when(d % 5 == 0, F.concat(F.lit("About "), (100 + d % 50).cast("string"), F.lit(" stades"))).when(d % 5 == 1, "two runs")
     words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{12,})"), 1)
     roles = F.array(*[F.lit(r) for r in ("destination_port", "region", "route_or_intermediate_place", "source_place")])
-    places = F.transform(words, lambda w, i: F.struct(w.alias("label"), F.get(words, i + 1).alias("surface"), F.get(roles, ((i + d) % 4).cast("int")).alias("role"), F.lit("").alias("note")))
+    places = F.transform(words, lambda w, i: F.struct(w.alias("label"), F.when(i % 3 == 0, F.get(words, i + 1)).alias("surface"), F.get(roles, ((i + d) % 4).cast("int")).alias("role"), F.lit("").alias("note")))
     text = F.concat("text", F.coalesce(F.concat(F.lit(". "), phrase), F.lit("")))
     sections = t.documents.select(F.coalesce("lang", F.lit("none")).alias("route"), d.alias("section"), F.concat(F.lit("d"), d.cast("string")).alias("chunk"), text.alias("text"), F.col("source").alias("original"), places.alias("places"), F.when(d % 3 == 0, F.array("source")).alias("goods"))
     similar = lambda a, b: 1.0 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
