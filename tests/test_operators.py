@@ -151,3 +151,8 @@ def test_accumulator_in_batch_and_stream(spark, tmp_path):
 @pytest.mark.parametrize("name", ["q_span_mentions", "q_linkify", "q_best_match_ratio"])
 def test_queries_without_sql_find_something(spark, name):
     assert catalog.QUERIES[name](spark, SF_DIR).count() > 0
+
+
+def test_offsets_keep_line_ends(spark):
+    found = X.find_folded(F.col("x"), F.lit("b c"))
+    assert values(spark, ["a\nb\nc", "é́\nb  c", "bc"], found["start"], found["end"]) == [(2, 5), (3, 7), (None, None)]

@@ -12,7 +12,7 @@ LETTER_OR_DIGIT = r"[\p{L}\p{N}]"
 
 
 @cache
-def _marked_letters() -> tuple[str, str]:
+def marked_letters() -> tuple[str, str]:
     """All single letters that decompose to a base and marks, and their bases: by the rules of Unicode."""
     source, target = [], []
     for code in range(0xC0, 0x2000):
@@ -26,7 +26,7 @@ def _marked_letters() -> tuple[str, str]:
 
 def strip_marks(x: Column) -> Column:
     """Without diacritics: loose marks go, marked letters become their bases; one letter for one."""
-    return F.translate(F.regexp_replace(x, r"\p{Mn}", ""), *_marked_letters())
+    return F.translate(F.regexp_replace(x, r"\p{Mn}", ""), *marked_letters())
 
 
 def fold(x: Column) -> Column:
@@ -99,7 +99,7 @@ def tokens(x: Column) -> Column:
 
 def with_offsets(x: Column) -> Column:
     """``text``, the key form of the text but for white space at its end, and ``offsets``, where each of its letters stands in the original."""
-    letters = F.filter(F.transform(F.split(x, ""), lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda p: ~p["c"].rlike(r"^\p{Mn}?$"))
+    letters = F.filter(F.transform(F.split(x, ""), lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda p: ~p["c"].rlike(r"\A\p{Mn}?\z"))
     before = F.concat(F.array(F.struct(F.lit(" ").alias("c"), F.lit(-1).alias("i"))), letters)
     pairs = F.zip_with(letters, before, lambda p, q: F.struct(p["c"].alias("c"), p["i"].alias("i"), q["c"].alias("was")))
     # of a run of white space the first stays, as one space, unless it begins the text

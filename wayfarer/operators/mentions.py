@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import unicodedata
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfarer.functions import text as X
+from wayfarer.operators.trie import name_spans
 
 
 def token_mentions(texts: DataFrame, key: str, text: str, names: DataFrame, name: str) -> DataFrame:
@@ -24,68 +20,16 @@ def unpivot(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return df.unpivot(key, fields, "field", "text").where("text IS NOT NULL AND text <> ''")
 
 
-def names_in(texts: DataFrame, key: str, text: str, names: DataFrame, name: str) -> DataFrame:
-    """``key`` and ``_names``: the names (in key form) whose first word stands in the text, however many there are in all."""
-    first = lambda c: F.regexp_extract(c, r"([\p{L}\p{N}]+)", 1)
-    known = names.select(F.col(name).alias("_name")).where(first(F.col("_name")) != "").distinct().withColumn("_word", first(F.col("_name")))
-    words = texts.select(key, F.explode(F.array_distinct(X.tokens(X.fold_key(F.col(text))))).alias("_word"))
-    return words.join(known, "_word").groupBy(key).agg(F.collect_set("_name").alias("_names"))
-
-
-def _key_form(text: str) -> tuple[str, list[int]]:
-    """The folded text with white space collapsed, and where each of its letters stands."""
-    out: list[str] = []
-    at: list[int] = []
-    for i, whole in enumerate(text):
-        for c in unicodedata.normalize("NFD", whole):
-            if c.isspace():
-                c = " "
-                if not out or out[-1] == " ":
-                    continue
-            elif unicodedata.category(c) == "Mn":
-                continue
-            out.append(c.lower().replace("ς", "σ"))
-            at.append(i)
-    return "".join(out), at
-
-
 def span_mentions(texts: DataFrame, key: str, text: str, names: DataFrame, name: str, own: str | None = None) -> DataFrame:
     """Non-overlapping mentions of names (given in key form): more words first, then longer, then by text.
 
-    Texts and names meet by a join on the name's first word; what is left to do
-    for a text alone is to choose its spans.  Only accepted spans take up their
+    A text is walked once over a trie of the names' words.  Only accepted spans take up their
     place.  A span is accepted if it touches no letters or digits, is none of
     the text's ``own`` names (an array column), begins with a capital, and
     stands in no alias context.  Yields key, name, surface, start, end (in the
     original text).
     """
-    found = texts.withColumn("_own", F.col(own) if own else F.array().cast("array<string>")).select(key, F.col(text).alias("_text"), "_own").join(names_in(texts, key, text, names, name), key)
-    kind = texts.schema[key].dataType.simpleString()
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            rows = []
-            for k, value, own_names, candidates in zip(*(part.column(c).to_pylist() for c in (key, "_text", "_own", "_names")), strict=True):
-                folded, at = _key_form(value)
-                taken = bytearray(len(folded))
-                for n in sorted(set(candidates) - set(own_names or ()), key=lambda n: (-len(n.split()), -len(n), n)):
-                    for m in re.finditer(f"(?=({re.escape(n)}))", folded):
-                        s, e = m.start(), m.start() + len(n)
-                        touched = (s and folded[s - 1].isalnum()) or (e < len(folded) and folded[e].isalnum())
-                        if touched or any(taken[s:e]):
-                            continue
-                        a, b = at[s], at[e - 1] + 1
-                        surface = value[a:b]
-                        head = surface.strip()[:1]
-                        around = _key_form(value[max(0, a - 35) : b + 35])[0]
-                        if head.upper() == head != head.lower() and not any(cue in around for cue in X.ALIAS_CUES):
-                            taken[s:e] = b"\1" * (e - s)
-                            rows.append((k, n, surface, a, b))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (part.schema.field(key).type, pa.string(), pa.string(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [key, "name", "surface", "start", "end"])
-
-    return found.select(key, "_text", "_own", "_names").mapInArrow(scan, f"{key} {kind}, name string, surface string, start int, end int")
+    return name_spans(texts, key, text, names, name, own, X.ALIAS_CUES, 35)
 
 
 def phased(tokens: DataFrame, key: list[str], token: str, curated: DataFrame, stop: DataFrame, dictionary: DataFrame) -> DataFrame:
