@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wayfarer.operators import grams, ingest
+from wayfarer.operators import gram_index, grams, ingest
 from wayfarer.operators.sorting import carried
 
 SECTIONS = f"route string, section long, chunk string, text string, original string, places {ingest.PLACE}, goods array<string>"
@@ -207,3 +207,27 @@ def test_carried_values_cross_ranges(spark):
     for current, expected in ((False, before), (True, now)):
         got = carried(df, [F.col("i")], {"last": F.col("v")}, current).collect()
         assert {r.i: r.last for r in got} == expected
+
+
+@pytest.mark.parametrize("named", [2_000, 0])
+def test_index_answers_like_a_scan(spark, monkeypatch, tmp_path, named):
+    monkeypatch.setattr(gram_index, "NAMED", named)
+    rng = np.random.default_rng(8)
+    text = lambda n: "".join(rng.choice(list("aAb éz"), n))
+    rows = [(i, ["x", "y", None][i % 3], text(int(rng.integers(0, 6))), text(int(rng.integers(0, 50)))) for i in range(120)] + [(500, "x", None, None), (501, "x", "", "ab")]
+    asked = sorted({text(int(n)) for n in rng.integers(0, 7, 40)} | {"zzzzzzz", "b", "AB"})
+    df = spark.createDataFrame(rows, "id int, corpus string, title string, body string")
+    index = gram_index.write_index(df, "corpus", "id", "title", "body", f"file://{tmp_path}/index", split=2)
+    got = gram_index.lookup(spark, index, spark.createDataFrame([(q,) for q in asked], "q string"), "q")
+    plain = lambda x: (x or "").lower().replace("é", "e")
+    expected = []
+    for q in asked:
+        f = plain(q.strip())
+        for i, c, title, body in rows if len(f) >= 2 else []:
+            if f in plain(title) or f in plain(body):
+                expected.append((q, c or "", i, 0 if f in plain(title) else 1, plain(body).find(f) + 1))
+    assert len(expected) > 200
+    assert sorted(tuple(r) for r in got.collect()) == sorted(expected)
+    first = gram_index.grouped_hits(got, {"x": 2}, 3).collect()
+    assert all(r.place <= (2 if r.corpus == "x" else 3) for r in first)
+    assert all(r.total == sum(e[:2] == (r.q, r.corpus) for e in expected) and r.of_query == sum(e[0] == r.q for e in expected) for r in first)

@@ -3,8 +3,10 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfarer.operators import gram_index as G
 from wayfarer.operators import search as S
 from wayfarer.plans.registry import Tables, query
+from wayfarer.sources.scratch import folder
 
 _FLAGS = "(SELECT o_orderkey, CASE WHEN count(l_returnflag) FILTER (l_quantity > 25) = 0 THEN [] ELSE list_sort(list(DISTINCT l_returnflag) FILTER (l_quantity > 25)) END AS flags FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)"
 
@@ -61,3 +63,22 @@ def q_facets(t: Tables) -> DataFrame:
 @query(f"""SELECT o_orderkey FROM {_FLAGS} WHERE list_contains(flags, 'R')""")
 def q_array_member(t: Tables) -> DataFrame:
     return _flags(t).where(F.array_contains("flags", "R")).select("o_orderkey")
+
+
+@query(
+    """WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark),
+       q AS (SELECT DISTINCT unnest([w[2] || ' ' || w[3], w[4], upper(w[1][1:2]), w[1][1:1], ' ' || w[5] || ' ']) AS q FROM w WHERE len(w) >= 5),
+       f AS (SELECT q, lower(trim(q)) AS fq FROM q WHERE length(trim(q)) >= 2),
+       d AS (SELECT coalesce(lang, '') AS corpus, doc_id AS id, lower(strip_accents(source)) AS title, lower(strip_accents(text)) AS body FROM documents),
+       h AS (SELECT q, corpus, id, CASE WHEN contains(title, fq) THEN 0 ELSE 1 END AS weight, CAST(strpos(body, fq) AS INTEGER) AS at FROM f JOIN d ON contains(body, fq) OR contains(title, fq)),
+       r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q, corpus ORDER BY weight, id) AS INTEGER) AS place, count(*) OVER (PARTITION BY q, corpus) AS total, count(*) OVER (PARTITION BY q) AS of_query FROM h)
+       SELECT q, corpus, id, weight, "at", place, total, of_query FROM r WHERE place <= CASE WHEN corpus = 'en' THEN 8 ELSE 6 END"""
+)
+def q_search_index(t: Tables) -> DataFrame:
+    """Words of benchmark items searched in the documents of all languages, from an index that is written first."""
+    index = G.write_index(t.documents, "lang", "doc_id", "source", "text", folder(t.spark))
+    w = t.benchmark.select(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1).alias("w")).where(F.size("w") >= 5)
+    word = lambda i: F.get("w", F.lit(i))
+    space = F.lit(" ")
+    asked = w.select(F.explode(F.array(F.concat(word(1), space, word(2)), word(3), F.upper(F.substring(word(0), 1, 2)), F.substring(word(0), 1, 1), F.concat(space, word(4), space))).alias("q"))
+    return G.grouped_hits(G.lookup(t.spark, index, asked, "q"), {"en": 8}, 6)
