@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wayfarer.operators import gram_index, grams, ingest
 from wayfarer.operators.sorting import carried
+from wayfarer.sources import files, tei
 
 SECTIONS = f"route string, section long, chunk string, text string, original string, places {ingest.PLACE}, goods array<string>"
 AUTHORITY = "place_key string, place_order long, display_name string, aliases array<string>, names array<string>, place_type string, lat double, lon double"
@@ -231,3 +232,25 @@ def test_index_answers_like_a_scan(spark, monkeypatch, tmp_path, named):
     first = gram_index.grouped_hits(got, {"x": 2}, 3).collect()
     assert all(r.place <= (2 if r.corpus == "x" else 3) for r in first)
     assert all(r.total == sum(e[:2] == (r.q, r.corpus) for e in expected) and r.of_query == sum(e[0] == r.q for e in expected) for r in first)
+
+
+def test_tei_sentences_equal_the_walk(spark):
+    rng = np.random.default_rng(9)
+    parts = ["word ", "two. ", "; ", "end.", " a &amp; b&#183; c&#xe9;&lt; ", "<lb/>", '<pb n="7"/>', "<pb n='8&amp;9' />", "<note>out. <lb/><pb n='0'/><note>in</note> x</note>", "<hi rend='a'>mid", "</hi>", "\n", "·", "<!-- no. <lb/> -->", "<![CDATA[raw < a. b]]>", "<note/>", "<?pi x.?>"]
+    docs = []
+    for k in range(60):
+        text, depth = "", 0
+        for b in (parts[p] for p in rng.choice(len(parts), rng.integers(0, 40))):
+            if b == "</hi>":
+                if not depth:
+                    continue
+                depth -= 1
+            depth += b.startswith("<hi")
+            text += b
+        docs.append((k, f'<TEI xmlns="http://www.tei-c.org/ns/1.0"><t:text xmlns:t="x">{text}{"</hi>" * depth}</t:text></TEI>'))
+    df = spark.createDataFrame([*docs, (99, None)], "k int, t string")
+    walked = files.tei_sentences(df, "t").collect()
+    got = tei.sentences(df, "k", "t").collect()
+    plain = lambda rows: sorted(tuple(r[c] for c in ("k", "page", "line", "end_page", "end_line", "sentence")) for r in rows)
+    assert len(walked) > 150
+    assert plain(got) == plain(walked)

@@ -39,6 +39,31 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return placed.withColumn(name, (F.col("_within") + F.col("_before")).cast("int")).drop("_key", "_range", "_within", "_before")
 
 
+def carry(rows: DataFrame, values: dict[str, Column], current: bool = False, then: tuple[str, ...] = ()) -> DataFrame:
+    """``carried`` over rows that are ``ranged`` already; ``then``: further columns of their order."""
+    rows = rows.withColumns({f"_v_{n}": v for n, v in values.items()})
+    place = F.struct("_key", *then)
+    ends = rows.groupBy("_range").agg(*[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), place)).alias(f"_e_{n}") for n in values])
+    # as many rows as there are ranges
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("_range", *[F.last(f"_e_{n}", ignorenulls=True).over(earlier).alias(f"_e_{n}") for n in values])
+    within = Window.partitionBy("_range").orderBy("_key", *then).rowsBetween(Window.unboundedPreceding, 0 if current else -1)
+    rows = rows.withColumns({n: F.last(f"_v_{n}", ignorenulls=True).over(within) for n in values}).join(F.broadcast(ends), "_range")
+    return rows.withColumns({n: F.coalesce(n, f"_e_{n}") for n in values}).drop(*[f"_{k}_{n}" for k in "ve" for n in values])
+
+
+def running(rows: DataFrame, values: dict[str, Column], then: tuple[str, ...] = ()) -> DataFrame:
+    """``ranged`` rows with the sums of values up to and with each row."""
+    rows = rows.withColumns({f"_v_{n}": v for n, v in values.items()})
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("_range").agg(*[F.sum(f"_v_{n}").alias(f"_e_{n}") for n in values])
+    # as many rows as there are ranges
+    sums = sums.select("_range", *[F.coalesce(F.sum(f"_e_{n}").over(earlier), F.lit(0)).alias(f"_e_{n}") for n in values])
+    within = Window.partitionBy("_range").orderBy("_key", *then).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({n: F.sum(f"_v_{n}").over(within) for n in values}).join(F.broadcast(sums), "_range")
+    return rows.withColumns({n: F.col(n) + F.col(f"_e_{n}") for n in values}).drop(*[f"_{k}_{n}" for k in "ve" for n in values])
+
+
 def carried(df: DataFrame, order: list[Column], values: dict[str, Column], current: bool = False) -> DataFrame:
     """``df`` with, for each of ``values``, the last one that is not null in an earlier row of the whole table (``current``: or in the row itself).
 
@@ -46,11 +71,4 @@ def carried(df: DataFrame, order: list[Column], values: dict[str, Column], curre
     order; what it carries in comes from the last values of the ranges before
     it, one row for each range.
     """
-    rows = ranged(df.withColumns({f"_v_{n}": v for n, v in values.items()}), order)
-    ends = rows.groupBy("_range").agg(*[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col("_key"))).alias(f"_e_{n}") for n in values])
-    # as many rows as there are ranges
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select("_range", *[F.last(f"_e_{n}", ignorenulls=True).over(earlier).alias(f"_e_{n}") for n in values])
-    within = Window.partitionBy("_range").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0 if current else -1)
-    rows = rows.withColumns({n: F.last(f"_v_{n}", ignorenulls=True).over(within) for n in values}).join(F.broadcast(ends), "_range")
-    return rows.withColumns({n: F.coalesce(n, f"_e_{n}") for n in values}).drop("_key", "_range", *[f"_{k}_{n}" for k in "ve" for n in values])
+    return carry(ranged(df, order), values, current).drop("_key", "_range")

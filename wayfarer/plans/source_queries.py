@@ -1,4 +1,4 @@
-"""Sources and sinks, written from the tables and read again: S01-S04, S07, S09, S11-S13, S21-S30."""
+"""Sources and sinks, written from the tables and read again: S01-S04, S07-S09, S11-S13, S21-S26, S28-S30."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from wayfarer.functions import text as X
 from wayfarer.plans.registry import Tables, query
 from wayfarer.sources import files, scratch
+from wayfarer.sources import tei as T
 
 
 @query("""SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, '"' || p_type || E'",\\n' || p_brand AS note FROM part""")
@@ -129,3 +130,20 @@ def q_report(t: Tables) -> DataFrame:
 @query("""SELECT 'v2' AS version, n_nationkey, n_name FROM nation""")
 def q_stamped(t: Tables) -> DataFrame:
     return files.stamped(files.stamped(t.nation.select("n_nationkey", "n_name"), {"version": "v1"}), {"version": "v2"})
+
+
+@query(
+    r"""WITH l AS (SELECT doc_id, i - 1 AS i, lines[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL), unnest(range(1, len(lines) + 1)) u(i)),
+       s AS (SELECT doc_id, i, j, parts[j] AS part FROM (SELECT doc_id, i, regexp_extract_all(line || ' ', '[^.;·]*[.;·]|[^.;·]+') AS parts FROM l), unnest(range(1, len(parts) + 1)) u(j)),
+       e AS (SELECT *, 'p' || (i // 5) AS page, CAST(i % 5 + 1 AS INTEGER) AS line, regexp_matches(part, '[.;·]$') AS ends, regexp_matches(part, '\S') AS filled, last_value(i) OVER (PARTITION BY doc_id ORDER BY i, j ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS final FROM s),
+       n AS (SELECT *, sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i, j) - ends::INT AS number FROM e)
+       SELECT doc_id, arg_min(page, i * 100000 + j) FILTER (filled) AS page, arg_min(line, i * 100000 + j) FILTER (filled) AS line, coalesce(any_value(page) FILTER (ends), 'p' || (max(final) // 5)) AS end_page,
+         coalesce(any_value(line) FILTER (ends), CAST(max(final) % 5 + 1 AS INTEGER)) AS end_line, trim(regexp_replace(string_agg(part, '' ORDER BY i, j), '\s+', ' ', 'g')) AS sentence
+       FROM n GROUP BY doc_id, number HAVING bool_or(filled)"""
+)
+def q_tei_sentences(t: Tables) -> DataFrame:
+    """Documents as TEI: a line break for each line, a page for every five, a note on every seventh."""
+    mark = lambda x, i: F.concat(F.when(i % 5 == 0, F.concat(F.lit('<pb n="p'), F.floor(i / 5).cast("string"), F.lit('"/>'))).otherwise(""), F.lit("<lb/>"), X.html_escape(x), F.lit(" "), F.when(i % 7 == 0, "<note>of. <lb/>it; </note>").otherwise(""))
+    body = F.array_join(F.transform(F.split("text", "\n"), mark), "")
+    tei_texts = t.documents.select("doc_id", F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><text>'), body, F.lit("</text></TEI>")).alias("xml"))
+    return T.sentences(tei_texts, "doc_id", "xml").drop("number")
