@@ -72,7 +72,7 @@ def _attribute_map(tag: Column) -> Column:
 
 
 # Confidence by certainty.
-CONFIDENCE = {"secure": 0.95, "probable": 0.75, "uncertain": 0.5}
+CONFIDENCE = {"secure": 1.0, "high": 0.95, "probable": 0.85, "ambiguous": 0.65, "low": 0.45}
 
 
 def claims(texts: DataFrame, key: str, text: str, places: DataFrame, deprecated: tuple[str, ...] = (), confidence: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
