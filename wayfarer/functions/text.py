@@ -247,9 +247,11 @@ ENDINGS = [("on", "um", 2), ("os", "us", 2), ("e", "a", 4), ("eia", "ia", 3), ("
 
 
 def rough_breathing(x: Column) -> Column:
-    """Whether one of the first three signs of the decomposed name is the rough breathing."""
-    rough = "".join(chr(c) for c in range(0x1F00, 0x2000) if "\u0314" in unicodedata.normalize("NFD", chr(c))[:3])
-    return x.rlike(f"^(?:.\u0314|[{rough}]|..\u0314)")
+    """Whether one of the first three signs of the decomposed name is the rough breathing: on the first letter, or on the second of a diphthong whose first has no mark."""
+    apart = {chr(c): unicodedata.normalize("NFD", chr(c)) for c in (*range(0x370, 0x400), *range(0x1F00, 0x2000))}
+    rough = "".join(c for c, d in apart.items() if "\u0314" in d[:3])
+    marked = "".join(c for c, d in apart.items() if len(d) > 1)
+    return x.rlike(f"^(?:.\u0314|[{rough}]|[^{marked}][{rough}]|..\u0314)")
 
 
 def transliterations(x: Column) -> Column:
@@ -314,3 +316,35 @@ def file_size(n: Column) -> Column:
     for power, unit in ((1, "KB"), (2, "MB"), (3, "GB")):
         out = F.when(n >= 1024**power, F.concat(F.format_number(n / 1024**power, 1), F.lit(f" {unit}"))).otherwise(out)
     return out
+
+
+def json_object(x: Column) -> Column:
+    """The JSON object that ends a text, as text: what stands before it, and a fence of backticks around all, are left out; null if there is none.
+
+    From each brace on, depth and quotes are followed letter by letter.  The first
+    brace whose object closes at the end of the text, and whose content parses,
+    counts.
+    """
+    y = F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))
+    y = F.when(y.startswith("```"), F.regexp_replace(F.regexp_replace(F.regexp_replace(y, "^`+|`+$", ""), "^json", ""), r"^\s+|\s+$", "")).otherwise(y)
+    # each part begins with a brace; an object that ends the text is the parts from its brace on
+    parts = F.split(y, r"(?=\{)", -1)
+    last = F.regexp_replace(y, r"^[^{]*", "")
+    state = F.struct(F.lit(-1).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(False).alias("over"))
+
+    def step(a: Column, c: Column) -> Column:
+        quoted, escaped = a["quoted"], a["escaped"]
+        depth = F.when(a["depth"] < 0, 1).when(~quoted & (c == "{"), a["depth"] + 1).when(~quoted & (c == "}"), a["depth"] - 1).otherwise(a["depth"])
+        return F.struct(depth.alias("depth"), F.when((c == '"') & ~escaped, ~quoted).otherwise(quoted).alias("quoted"), (quoted & ~escaped & (c == "\\")).alias("escaped"), (a["over"] | (a["depth"] == 0)).alias("over"))
+
+    def closes(s: Column) -> Column:
+        return F.aggregate(F.filter(F.split(s, ""), lambda c: c != ""), state, step, lambda a: (a["depth"] == 0) & ~a["quoted"] & ~a["over"])
+
+    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ""))
+    whole = F.filter(tails, lambda s: s.startswith("{") & F.endswith(s, F.lit("}")) & closes(s) & F.json_object_keys(s).isNotNull())
+    return F.when(last != "", F.get(whole, F.lit(0)))
+
+
+def has_exactly(json: Column, keys: list[str]) -> Column:
+    """Whether a JSON object has these keys and no others."""
+    return F.coalesce(F.array_sort(F.json_object_keys(json)) == F.array(*[F.lit(k) for k in sorted(keys)]), F.lit(False))

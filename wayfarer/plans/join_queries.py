@@ -3,9 +3,9 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfarer.functions import geo
 from wayfarer.functions import text as X
 from wayfarer.operators import joins
+from wayfarer.operators.nearest import nearest
 from wayfarer.plans.registry import Tables, query
 
 
@@ -257,8 +257,7 @@ def q_term_overlap(t: Tables) -> DataFrame:
 )
 def q_nn_bucket(t: Tables) -> DataFrame:
     sites = t.supplier.select("s_suppkey", "s_nationkey", (F.col("s_suppkey") * 37 % 90 - 45.0).alias("lat"), (F.col("s_suppkey") * 53 % 180 - 90.0).alias("lon"))
-    other = sites.select(F.col("s_suppkey").alias("o"), "s_nationkey", F.col("lat").alias("olat"), F.col("lon").alias("olon"))
-    pairs = sites.join(other, (sites["s_nationkey"] == other["s_nationkey"]) & (F.col("s_suppkey") != F.col("o")), "left")
-    near = pairs.groupBy("s_suppkey", "lat", "lon").agg(F.min(geo.haversine_km(F.col("lat"), F.col("lon"), F.col("olat"), F.col("olon"))).alias("km"))
-    bucket = F.when(F.col("km").isNull(), "alone").when(F.col("km") < 400, "near").when(F.col("km") < 1000, "mid").otherwise("far")
+    near = nearest(sites, "s_suppkey", "s_nationkey", "lat", "lon")
+    # a lone site is infinitely far from the next
+    bucket = F.when(F.col("km") < 400, "near").when(F.col("km") < 1000, "mid").otherwise("far")
     return near.select("s_suppkey", F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"), bucket.alias("bucket"))

@@ -31,10 +31,9 @@ def q_gestures(t: Tables) -> DataFrame:
 
 @query("""SELECT p_partkey, (SELECT max(n_nationkey) FROM nation WHERE n_nationkey * 2 <= p_size) AS n_nationkey FROM part""")
 def q_active_index(t: Tables) -> DataFrame:
-    """The last of the nations' marks at or above the line of each part; sizes repeat, so the distinct lines are looked up."""
+    """The last of the nations' marks at or above the line of each part."""
     marks = t.nation.select((F.col("n_nationkey") * 2).alias("mark"), "n_nationkey")
-    found = inputs.active(t.part.select("p_size").distinct(), marks, "p_size", "mark", "n_nationkey")
-    return t.part.select("p_partkey", "p_size").join(found, "p_size").select("p_partkey", "n_nationkey")
+    return inputs.active(t.part.select("p_partkey", "p_size"), marks, "p_size", "mark", "n_nationkey").select("p_partkey", "n_nationkey")
 
 
 @query("""SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) > 1 AS hit FROM events""")

@@ -126,13 +126,19 @@ def q_citation(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH s1 AS (SELECT n_name, lower(n_name) AS s FROM nation), s2 AS (SELECT n_name, s FROM s1 UNION SELECT n_name, replace(s, 'k', 'c') FROM s1), s3 AS (SELECT n_name, s FROM s2 UNION SELECT n_name, replace(s, 'y', 'u') FROM s2),
+    """WITH g AS (SELECT n_name, n_nationkey % 6 + 1 AS k FROM nation),
+       s1 AS (SELECT n_name, lower(n_name) AS s FROM nation UNION SELECT n_name || ' g', ['ai', 'ey', 'oi', 'ro', 'a', 'o'][k] || 'nation' FROM g UNION SELECT n_name || ' g', ['hai', 'hey', 'hoi', 'rho', 'a', 'ho'][k] || 'nation' FROM g),
+       s2 AS (SELECT n_name, s FROM s1 UNION SELECT n_name, replace(s, 'k', 'c') FROM s1), s3 AS (SELECT n_name, s FROM s2 UNION SELECT n_name, replace(s, 'y', 'u') FROM s2),
        s4 AS (SELECT n_name, s FROM s3 UNION SELECT n_name, unnest([regexp_replace(s, 'on$', 'um'), regexp_replace(s, 'os$', 'us'), regexp_replace(s, '^(.{3,})e$', '\\1a'), regexp_replace(s, 'eia$', 'ia'), regexp_replace(s, 'eias$', 'ias')]) FROM s3),
        s5 AS (SELECT n_name, s FROM s4 UNION SELECT n_name, replace(s, 'ai', 'ae') FROM s4)
        SELECT n_name, string_agg(s, ',' ORDER BY s) AS spellings FROM s5 GROUP BY 1"""
 )
 def q_translit(t: Tables) -> DataFrame:
-    return t.nation.select("n_name", F.array_join(X.transliterations(F.col("n_name")), ",").alias("spellings"))
+    """Names as they are, and in Greek with breathings on the first letter or on the second of a diphthong."""
+    begins = F.array(*[F.lit(b) for b in ("Αἷ", "Εὕ", "Οἱ", "Ῥό", "Ἀ", "Ὁ")])
+    greek = F.concat(F.get(begins, F.col("n_nationkey") % 6), F.translate(F.lower("n_name"), "natio_0123456789", "νατιο"))
+    names = t.nation.select("n_name", F.col("n_name").alias("name")).unionByName(t.nation.select(F.concat("n_name", F.lit(" g")).alias("n_name"), greek.alias("name")))
+    return names.select("n_name", F.array_join(X.transliterations(F.col("name")), ",").alias("spellings"))
 
 
 @query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, '{"event":' || event_id || ',"k":' || CAST(json_extract(props, '$.k') AS BIGINT) || '}' AS compact FROM events""")
@@ -337,3 +343,20 @@ def q_mention_candidate_link(t: Tables) -> DataFrame:
     votes = found.groupBy("token").agg(F.count_if(F.col("doc_id") % 3 != 0).alias("yes"), F.count("*").alias("votes")).withColumn("accepted", F.col("yes") * 2 > F.col("votes"))
     n = F.length("token")
     return votes.where("accepted").select("token", X.stable_id("link", F.col("token"), F.col("votes")).alias("link_id"), "yes", "votes", "accepted", (n % 9 * 10.0).alias("lat"), (n % 17 * 10.0).alias("lon"))
+
+
+@query(
+    """SELECT event_id, '{"id":' || event_id || ',"in":{"s":"a } { b","k":' || CAST(json_extract(props, '$.k') AS BIGINT) || '}}' AS found, event_id % 2 = 0 AS strict FROM events WHERE event_id % 5 < 4
+       UNION ALL SELECT event_id, NULL, false FROM events WHERE event_id % 5 = 4"""
+)
+def q_json_in_text(t: Tables) -> DataFrame:
+    """Objects at the end of texts with braces before them and in their strings, with a fence, or followed by more."""
+    e = F.col("event_id")
+    k = F.from_json("props", "k bigint")["k"].cast("string")
+    extra = F.when(e % 2 == 0, F.lit("in")).otherwise(F.lit("out"))
+    whole = F.concat(F.lit('{"id":'), e.cast("string"), F.lit(',"in":{"s":"a } { b","k":'), k, F.lit("}}"))
+    shape = e % 5
+    said = F.when(shape == 0, whole).when(shape == 1, F.concat(F.lit("it is {so}: {not json} "), whole, F.lit(" \n"))).when(shape == 2, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).when(shape == 3, F.concat(F.lit('"{" '), whole)).otherwise(F.concat(whole, F.lit(" and more")))
+    found = t.events.select(e, X.json_object(said).alias("found"), extra.alias("extra"))
+    keys = F.when(F.col("extra") == "in", X.has_exactly(F.col("found"), ["id", "in"])).otherwise(X.has_exactly(F.col("found"), ["id", "out"]))
+    return found.select("event_id", "found", keys.alias("strict"))

@@ -89,8 +89,13 @@ def marked_names(block: Column) -> Column:
 
 
 def post_blocks(html: Column) -> Column:
-    """Headings and paragraphs of ``div.post-content``: ``tag`` and ``text``, ``br`` as a line end."""
-    body = F.regexp_extract(html, r'(?s)<div[^>]*class="[^"]*post-content[^"]*"[^>]*>(.*)', 1)
+    """Headings and paragraphs of ``div.post-content``, up to the tag that closes it: ``tag`` and ``text``, ``br`` as a line end."""
+    rest = F.regexp_extract(html, r'(?s)<div[^>]*class="[^"]*post-content[^"]*"[^>]*>(.*)', 1)
+    # pieces that begin with a div's tag; depth 0 is outside for good
+    step = lambda p: F.when(p.rlike(r"^<div\b"), 1).when(p.startswith("</div"), -1).otherwise(0)
+    start = F.struct(F.lit(1).alias("depth"), F.lit("").alias("body"))
+    inside = lambda a, p: F.struct(F.when(a["depth"] == 0, 0).otherwise(a["depth"] + step(p)).alias("depth"), F.when((a["depth"] == 0) | (a["depth"] + step(p) == 0), a["body"]).otherwise(F.concat(a["body"], p)).alias("body"))
+    body = F.aggregate(F.split(rest, r"(?=<div\b|</div\b)"), start, inside, lambda a: a["body"])
     tag = F.regexp_extract_all(body, F.lit(r"(?s)<(h1|h2|p)\b[^>]*>.*?</\1>"), 1)
     inner = F.regexp_extract_all(body, F.lit(r"(?s)<(h1|h2|p)\b[^>]*>(.*?)</\1>"), 2)
     plain = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"<br\s*/?>", "\n"), r"<[^>]*>", ""))

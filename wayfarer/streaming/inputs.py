@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from wayfarer.operators.sorting import carried
+
 
 def settled(df: DataFrame, key: str, ts: str, quiet: float) -> DataFrame:
     """Debounce: the events that no other of their key follows within ``quiet`` seconds; ties go with all columns' order."""
@@ -40,11 +42,19 @@ def gestures(df: DataFrame, key: str, ts: str, dx: Column, dy: Column, gap: floa
 
 
 def active(lines: DataFrame, triggers: DataFrame, line: str, place: str, index: str) -> DataFrame:
-    """Each line with the index of the last trigger at or above it (null above the first): an as-of join by union and window."""
-    both = lines.select(F.col(line).alias("_at"), F.lit(None).cast(triggers.schema[index].dataType).alias(index), F.lit(1).alias("_kind"), F.struct(*lines.columns).alias("_row"))
-    marks = triggers.select(F.col(place).alias("_at"), index, F.lit(0).alias("_kind"), F.lit(None).cast(both.schema["_row"].dataType).alias("_row"))
-    upto = Window.orderBy("_at", "_kind", index).rowsBetween(Window.unboundedPreceding, 0)
-    return both.unionByName(marks).withColumn(index, F.last(index, ignorenulls=True).over(upto)).where("_kind = 1").select("_row.*", index)
+    """Each line with the index of the last trigger at or above it (null above the first, and for a null line; of triggers at one place the largest index).
+
+    An as-of join: lines and triggers are dealt to ranges of places, one ordered
+    pass goes over each, and the last trigger is carried over the borders.  Lines
+    at one place are told apart by a hash, so they need not share a range.
+    """
+    nothing = F.lit(None).cast(triggers.schema[index].dataType)
+    both = lines.where(F.col(line).isNotNull()).select(F.col(line).alias("_at"), nothing.alias(index), F.lit(1).alias("_kind"), F.struct(*lines.columns).alias("_row"))
+    both = both.withColumn("_tie", F.xxhash64("_row"))
+    marks = triggers.where(F.col(place).isNotNull()).groupBy(F.col(place).alias("_at")).agg(F.max(index).alias(index))
+    marks = marks.select("_at", index, F.lit(0).alias("_kind"), F.lit(None).cast(both.schema["_row"].dataType).alias("_row"), F.lit(0).cast("long").alias("_tie"))
+    rows = carried(both.unionByName(marks), [F.col("_at"), F.col("_kind"), F.col("_tie")], {"_last": F.col(index)}, current=True)
+    return rows.where("_kind = 1").select("_row.*", F.col("_last").alias(index)).unionByName(lines.where(F.col(line).isNull()).withColumn(index, nothing))
 
 
 def cached(df: DataFrame, key: str, order: list) -> DataFrame:
