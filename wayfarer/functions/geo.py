@@ -25,8 +25,3 @@ def ring_offset(position: Column, n: Column, radius: float = 13.0) -> Column:
 def in_frame(lat: Column, lon: Column, lat_range: tuple = (-90, 90), lon_range: tuple = (-180, 180)) -> Column:
     """Whether a point lies in a frame; null coordinates are outside."""
     return F.coalesce(lat.between(*lat_range) & lon.between(*lon_range), F.lit(False))
-
-
-def point_feature(lat: Column, lon: Column, properties: Column) -> Column:
-    """A GeoJSON point feature as JSON text."""
-    return F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.array(lon, lat).alias("coordinates")).alias("geometry"), properties.alias("properties")))

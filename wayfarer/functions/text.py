@@ -220,6 +220,15 @@ def citation(volume: Column, page: Column, line: Column, end_page: Column, end_l
     return F.concat_ws("-", start, end)
 
 
+def parse_citation(x: Column) -> Column:
+    """``volume``, ``page``, ``line``, ``end_page``, ``end_line`` of what ``citation`` writes; null where the text is no citation."""
+    pattern = r"^(\S+) (\d+)\.(\d+)(?:[-–](?:(\d+)\.)?(\d+))?$"
+    part = lambda i: F.regexp_extract(x, pattern, i)
+    number = lambda i: part(i).try_cast("int")
+    row = F.struct(part(1).alias("volume"), number(2).alias("page"), number(3).alias("line"), F.coalesce(number(4), number(2)).alias("end_page"), F.coalesce(number(5), number(3)).alias("end_line"))
+    return F.when(x.rlike(pattern), row)
+
+
 # Numbers in words, and patterns of distances in order of rank.
 NUMBER_WORDS = {"eight hundred": 800.0, "three thousand": 3000.0, "four thousand": 4000.0}
 DISTANCES = [r"about\s+([0-9,]+)\s+stades", r"after\s+([0-9,]+)\s+stades", r"([0-9,]+)\s+stades", r"about\s+(eight hundred|three thousand|four thousand)\s+stades", r"after\s+(eight hundred|three thousand|four thousand)\s+stades"]

@@ -56,11 +56,6 @@ def dominant(df: DataFrame, key: str, kind: str, priority: list[str], default: s
     return counts.groupBy(key).agg(F.coalesce(F.max_by(kind, F.struct("n", -F.when(rank > 0, rank).otherwise(len(priority) + 1))), F.lit(default)).alias("dominant"))
 
 
-def first_rows(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of each key."""
-    return df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_place = 1").drop("_place")
-
-
 def ordered_list(order: list[str], value: str) -> Column:
     """The values of a group in order, the first of repeated ones kept."""
     return F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct(*order, F.col(value).alias("_value")))), lambda r: r["_value"]))

@@ -34,13 +34,6 @@ def facets(scope: Column, tests: list[Column]) -> Column:
     return F.when(scope == "map", all_hold).otherwise(True)
 
 
-def contains_text(q: str, *fields: Column, least: int = 2) -> Column:
-    """Whether the folded fields, joined, contain the folded query; short queries match nothing."""
-    if len(q) < least:
-        return F.lit(False)
-    return F.contains(fold(F.concat_ws(" ", *fields)), fold(F.lit(q)))
-
-
 def search(df: DataFrame, q: str, title: str, body: str) -> DataFrame:
     """Rows whose title or body has the query: ``weight`` 0 or 1, the place in the body, and a snippet."""
     needle = fold(F.lit(q))
