@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfarer.functions import text as X
-from wayfarer.operators import nearest
+from wayfarer.operators import json_schema, nearest
 from wayfarer.sources import files
 from wayfarer.streaming import inputs
 
@@ -81,3 +81,33 @@ def test_blocks_end_with_their_post(spark):
     html = '<div class="a post-content"><h1>Head</h1><div><p>in</p><div><p>deep</p></div></div><p>last</p></div><div><p>footer</p></div>'
     ((rows,),) = values(spark, [html], files.post_blocks(F.col("x")))
     assert [(r.tag, r.text) for r in rows] == [("h1", "Head"), ("p", "in"), ("p", "deep"), ("p", "last")]
+
+
+def test_nested_schema_rules(spark):
+    schema = {
+        "definitions": {"name": {"type": "string", "minLength": 2, "maxLength": 4}},
+        "type": ["object", "null"],
+        "properties": {
+            "a": {"$ref": "#/definitions/name"},
+            "n": {"type": "number", "minimum": 1.5},
+            "list": {"type": "array", "minItems": 1, "maxItems": 2, "items": {"properties": {"b": {"const": True}}, "required": ["b"]}},
+            "any": {"anyOf": [{"type": "string"}, {"maximum": 3}]},
+            "all": {"allOf": [{"type": "integer"}, {"enum": [1, 2, None]}]},
+            "odd key": False,
+        },
+        "additionalProperties": {"type": "boolean"},
+    }
+    texts = ["null", "[]", '{"a": "x", "n": 1, "list": []}', '{"a": "abcde", "n": 2.5, "list": [{"b": true}, {"b": false}, {}]}', '{"any": 4, "all": 3, "more": true, "less": null}', '{"any": "x", "all": 2, "odd key": 1, "n": 2}', '{"a": null}', "{", None, '{"list": [1]}']
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = sorted((r.i, r.path, r.rule) for r in json_schema.validate(df, "i", "t", schema).collect())
+    assert got == [
+        (1, "$", "type"),
+        (2, "$.a", "minLength"), (2, "$.list", "minItems"), (2, "$.n", "minimum"),
+        (3, "$.a", "maxLength"), (3, "$.list", "maxItems"), (3, "$.list[1].b", "const"), (3, "$.list[2].b", "required"),
+        (4, "$.all", "enum"), (4, "$.any", "anyOf"), (4, "$.less", "type"),
+        (5, "$.odd key", "false"),
+        (6, "$.a", "type"),
+        (7, "$", "json"),
+    ]
+    with pytest.raises(ValueError):
+        json_schema.validate(df, "i", "t", {"properties": {"a": {"$ref": "#"}}})

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfarer.operators import json_schema as JS
 from wayfarer.operators import quality as V
 from wayfarer.plans.registry import Tables, query
 
@@ -87,3 +88,39 @@ def q_quality_uncovered(t: Tables) -> DataFrame:
     links = lines.where("l_returnflag <> 'R'")
     mentions = lines.where("l_returnflag = 'R'").select("l_orderkey", "l_partkey").distinct()
     return mentions.join(links, ["l_orderkey", "l_partkey"], "left_anti").join(links, "l_orderkey", "left_semi")
+
+
+@query(
+    """WITH e AS (SELECT event_id AS e, event_type AS t, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
+       SELECT e AS event_id, '$' AS path, 'json' AS rule, '{broken ' || e AS value FROM e WHERE e % 29 = 0
+       UNION ALL SELECT e, '$.id', 'type', '"' || e || '"' FROM e WHERE e % 29 > 0 AND e % 7 = 0
+       UNION ALL SELECT e, '$.type', 'enum', '"' || t || '"' FROM e WHERE e % 29 > 0 AND t = 'error'
+       UNION ALL SELECT e, '$.props', 'required', NULL FROM e WHERE e % 29 > 0 AND e % 13 = 0
+       UNION ALL SELECT e, '$.props.k', 'maximum', k::VARCHAR FROM e WHERE e % 29 > 0 AND e % 13 > 0 AND k > 80
+       UNION ALL SELECT e, '$.x', 'additionalProperties', '{"y":1}' FROM e WHERE e % 29 > 0 AND e % 11 = 0
+       UNION ALL SELECT e, '$.tags[' || i || ']', 'oneOf', v FROM e, (VALUES (1, '"B"'), (2, '2.5')) x(i, v) WHERE e % 29 > 0 AND e % 5 = 0
+       UNION ALL SELECT e, '$.in[0].k', 'minimum', '-1' FROM e WHERE e % 29 > 0 AND e % 3 = 0"""
+)
+def q_schema_nested(t: Tables) -> DataFrame:
+    """Events as nested JSON, some with faults, against a schema with references, items, choices and no other members."""
+    schema = {
+        "$defs": {"props": {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "minimum": 0, "maximum": 80}}, "additionalProperties": False}},
+        "type": "object",
+        "required": ["id", "type", "props"],
+        "properties": {
+            "id": {"type": "integer"},
+            "type": {"enum": ["click", "view", "purchase", "signup"]},
+            "props": {"$ref": "#/$defs/props"},
+            "tags": {"type": "array", "items": {"oneOf": [{"type": "string", "pattern": "^[a-z]+$"}, {"type": "integer"}]}},
+            "in": {"items": {"$ref": "#/$defs/props"}},
+        },
+        "additionalProperties": False,
+    }
+    e = F.col("event_id")
+    s, some = e.cast("string"), lambda n, yes, no="": F.when(e % n == 0, yes).otherwise(no)
+    whole = F.concat(
+        F.lit('{"id":'), F.when(e % 7 == 0, F.concat(F.lit('"'), s, F.lit('"'))).otherwise(s), F.lit(',"type":"'), "event_type", F.lit('"'), F.when(e % 13 > 0, F.concat(F.lit(',"props":'), "props")).otherwise(""),
+        some(11, ',"x":{"y":1}'), some(5, ',"tags":["a","B",2.5]', ',"tags":["a",3]'), F.lit(',"in":[{"k":'), some(3, "-1", "1"), F.lit("}]}"),
+    )
+    text = F.when(e % 29 == 0, F.concat(F.lit("{broken "), s)).otherwise(whole)
+    return JS.validate(t.events.select("event_id", text.alias("text")), "event_id", "text", schema)
