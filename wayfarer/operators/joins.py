@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from wayfarer.operators.grams import containing
+
 
 def inverted_index(df: DataFrame, terms: Column, key: str) -> DataFrame:
     """``term`` and its sorted distinct ``ids``; terms of several ids stay, as ambiguous."""
@@ -144,17 +146,20 @@ def with_default(df: DataFrame, dim: DataFrame, key: str, defaults: dict) -> Dat
     return df.join(dim, key, "left").fillna(defaults)
 
 
-def contained(texts: DataFrame, text: str, needles: DataFrame, needle: str, key: str) -> DataFrame:
-    """Rows of texts and needles where the text contains the needle.
+def contained(texts: DataFrame, key: str, text: str, needles: DataFrame, needle: str) -> DataFrame:
+    """``key`` of the texts beside the rows of ``needles`` where the text contains the needle; empty needles are in no text.
 
     A needle's longest run of word characters that it holds complete (a word
     between two others) must be a word of the text: that word is the join key,
     so only texts that have it are searched.  Needles of fewer than three words
-    have no such word and are held against all texts; they are few by contract.
+    have no such word and meet texts by their rarest grams.  Keys meet first, the
+    texts are joined to the pairs.
     """
     words = lambda c: F.regexp_extract_all(F.col(c), F.lit(r"([^\s]+)"), 1)
-    inner = needles.withColumn("_words", words(needle)).withColumn("_inner", F.slice("_words", F.lit(2), F.greatest(F.lit(0), F.size("_words") - 2)))
-    keyed = inner.where("size(_inner) > 0").withColumn("_word", F.expr("array_max(transform(_inner, w -> struct(length(w) AS n, w))).w")).drop("_words", "_inner")
-    by_word = texts.withColumn("_word", F.explode(F.array_distinct(words(text)))).join(keyed, "_word").where(F.contains(F.col(text), F.col(needle))).drop("_word")
-    short = inner.where("size(_inner) = 0").drop("_words", "_inner")
-    return by_word.unionByName(texts.join(short, F.contains(F.col(text), F.col(needle))))
+    asked = needles.select(needle).where(F.length(needle) > 0).distinct().withColumn("_words", words(needle))
+    inner = asked.withColumn("_inner", F.slice("_words", F.lit(2), F.greatest(F.lit(0), F.size("_words") - 2)))
+    keyed = inner.where("size(_inner) > 0").withColumn("_word", F.expr("array_max(transform(_inner, w -> struct(length(w) AS n, w))).w")).select(needle, "_word")
+    by_word = texts.select(key, F.explode(F.array_distinct(words(text))).alias("_word")).join(keyed, "_word").select(key, needle)
+    by_word = by_word.join(texts.select(key, text), key).where(F.contains(F.col(text), F.col(needle))).select(key, needle)
+    short = inner.where("size(_inner) = 0").select(needle)
+    return by_word.unionByName(containing(texts, [key], text, short, needle)).join(needles, needle)

@@ -151,11 +151,13 @@ def q_ordered_path(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, item_id FROM documents JOIN (SELECT item_id, text AS needle FROM benchmark) ON contains(text, needle)"""
+    """SELECT doc_id, item_id FROM documents JOIN (SELECT item_id, text AS needle FROM benchmark UNION ALL SELECT -1 - item_id, regexp_extract(text, '[a-z]{8,}') FROM benchmark) ON needle <> '' AND contains(text, needle)"""
 )
 def q_theta_contains(t: Tables) -> DataFrame:
-    needles = t.benchmark.select("item_id", F.col("text").alias("needle"))
-    return joins.contained(t.documents.select("doc_id", "text"), "text", needles, "needle", "item_id").select("doc_id", "item_id")
+    """Whole benchmark items, and a long word of each, in whole documents."""
+    word = t.benchmark.select((-1 - F.col("item_id")).alias("item_id"), F.regexp_extract("text", "([a-z]{8,})", 1).alias("needle"))
+    needles = t.benchmark.select("item_id", F.col("text").alias("needle")).unionByName(word)
+    return joins.contained(t.documents.select("doc_id", "text"), "doc_id", "text", needles, "needle").select("doc_id", "item_id")
 
 
 @query(

@@ -95,16 +95,39 @@ def fires(df: DataFrame, key: str, ts: str, delta: str, quiet: float, cooldown:
     return renamed.groupBy("key").applyInPandas(run, f"key bigint, ts {df.schema[ts].dataType.simpleString()}, fired int").withColumnRenamed("key", key)
 
 
-def fires_stream(df: DataFrame, key: str, ts: str, delta: str, quiet: float, cooldown: float, threshold: float) -> DataFrame:
-    """The same over a stream: the accumulator of each key is kept between batches."""
+def fires_stream(df: DataFrame, key: str, ts: str, delta: str, quiet: float, cooldown: float, threshold: float, late: str = "10 seconds") -> DataFrame:
+    """The same over a stream, event by event in the order of their times, whatever the order they come in.
+
+    Events wait in the state of their key until the watermark (``late`` behind
+    the latest event) has passed them, and are then stepped through in order;
+    those that come after the watermark has passed them are dropped.  A timer
+    wakes a key when its next event is due, and once more when neither the quiet gap
+    nor the cooldown can matter to a later event: then its state is gone.
+    """
 
     def run(key_of: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        one = Accumulator(quiet, cooldown, threshold, state.get if state.exists else None)
-        rows = pd.concat(parts).sort_values("at", kind="stable")
-        rows["fired"] = [one.step(a, d) for a, d in zip(rows["at"], rows["delta"], strict=True)]
-        state.update((one.last, one.until, one.total))
-        yield rows.loc[rows["fired"] != 0, ["key", "at", "fired"]]
-
-    renamed = df.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").cast("double").alias("at"), F.col(delta).cast("double").alias("delta"))
-    found = renamed.groupBy("key").applyInPandasWithState(run, "key bigint, at double, fired int", "last double, until double, total double", "append", GroupStateTimeout.NoTimeout)
+        last, until, total, at, change = state.get if state.exists else (float("-inf"), float("-inf"), 0.0, [], [])
+        seen = state.getCurrentWatermarkMs() / 1000
+        waiting = list(zip(at, change, strict=True))
+        for part in parts:
+            waiting += [(a, d) for a, d in zip(part["at"], part["delta"], strict=True) if a > seen]
+        waiting.sort(key=lambda e: e[0])
+        one, fired = Accumulator(quiet, cooldown, threshold, (last, until, total)), []
+        due = [e for e in waiting if e[0] <= seen]
+        for a, d in due:
+            if f := one.step(a, d):
+                fired.append((key_of[0], a, f))
+        waiting = waiting[len(due) :]
+        over = max(one.last + quiet, one.until)
+        if not waiting and over < seen:
+            state.remove()
+        else:
+            state.update((one.last, one.until, one.total, [a for a, _ in waiting], [d for _, d in waiting]))
+            wake = waiting[0][0] if waiting else over
+            state.setTimeoutTimestamp(int(max(wake, seen) * 1000) + 1)
+        yield pd.DataFrame(fired, columns=["key", "at", "fired"])
+
+    renamed = df.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("ts"), F.col(delta).cast("double").alias("delta")).withWatermark("ts", late)
+    renamed = renamed.withColumn("at", F.col("ts").cast("double"))
+    found = renamed.groupBy("key").applyInPandasWithState(run, "key bigint, at double, fired int", "last double, until double, total double, at array<double>, delta array<double>", "append", GroupStateTimeout.EventTimeTimeout)
     return found.withColumnRenamed("key", key)
