@@ -1,15 +1,17 @@
-"""Substring joins and searches over n-grams: what is asked meets only the texts that hold its rarest pieces."""
+"""Substring joins over n-grams: what is asked meets only the texts that hold a rare piece of it."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Letters of a gram, and the rarest grams of a needle that a text must hold before it is read.
-SIZE, RAREST = 3, 3
+from wayfarer.sources.scratch import written
 
+#: Letters of the run that a needle asks for, and runs that are sent to all tasks at most.
+LONG, BROADCAST_ROWS = 8, 400_000
 
-def grams(x: Column, size: int = SIZE) -> Column:
+
+def grams(x: Column, size: int) -> Column:
     """All runs of ``size`` letters of a text, in order; none in a shorter one."""
     letters = F.filter(F.split(x, ""), lambda c: c != "")
     # arrays side by side: to cut a long text at a place takes as long as the place is far, and a lambda would split it again for each letter
@@ -20,23 +22,21 @@ def grams(x: Column, size: int = SIZE) -> Column:
 def containing(texts: DataFrame, key: list[str], text: str, needles: DataFrame, needle: str) -> DataFrame:
     """``key`` and ``needle`` wherever the text contains the needle; empty needles are in no text.
 
-    The grams of the needles are counted in the texts; a needle asks for its
-    rarest ones, and only texts that hold all of these are searched for it.  A needle of
-    fewer letters than a gram is a gram itself.  Texts meet needles by keys; the
-    texts themselves are joined to what is left.
+    A needle asks for one of its runs of ``LONG`` letters, the one that fewest
+    needles share, or for itself if it is shorter; only texts that hold this run are searched
+    for it.  Runs of the texts that no needle asks for go before anything is
+    shuffled where the asked ones are few enough to be sent to all tasks.  Texts
+    meet needles by keys; the texts themselves are joined to what is left.
     """
     asked = needles.select(needle).where(F.length(needle) > 0).distinct()
-    sizes = [r[0] for r in asked.select(F.least(F.length(needle), F.lit(SIZE)).alias("n")).distinct().collect()]
+    sizes = [r[0] for r in asked.select(F.least(F.length(needle), F.lit(LONG)).alias("n")).distinct().collect()]
     if not sizes:
         return texts.select(*key).join(asked, F.lit(False))
-    pieces = F.when(F.length(needle) < SIZE, F.array(needle)).otherwise(F.array_distinct(grams(F.col(needle))))
-    pieces = asked.select(needle, F.explode(pieces).alias("gram"))
+    own = F.when(F.length(needle) < LONG, F.array(needle)).otherwise(F.array_distinct(grams(F.col(needle), LONG)))
+    pieces = asked.select(needle, F.explode(own).alias("gram"))
+    shared = pieces.groupBy("gram").agg(F.count("*").alias("n"))
+    wanted = written(pieces.join(shared, "gram").groupBy(needle).agg(F.min_by("gram", F.struct("n", "gram")).alias("gram")))
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     every = F.array_distinct(F.concat(*[grams(F.col(text), n) for n in sorted(sizes)]))
-    held = texts.select(*key, F.explode(every).alias("gram")).join(pieces.select("gram").distinct(), "gram", "left_semi")
-    often = held.groupBy("gram").agg(F.count("*").alias("n"))
-    # a gram that no text holds leaves its needle out
-    rare = pieces.join(often, "gram", "left").groupBy(needle).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("all"))
-    rare = rare.where(F.col("all")[0]["n"] > 0).select(needle, F.slice("all", 1, RAREST).alias("rarest"))
-    rare = rare.select(needle, F.size("rarest").alias("of"), F.explode("rarest.gram").alias("gram"))
-    met = held.join(rare, "gram").groupBy(*key, needle, "of").agg(F.count("*").alias("n")).where("n = of")
-    return met.join(texts.select(*key, text), key).where(F.contains(F.col(text), F.col(needle))).select(*key, needle)
+    held = texts.select(*key, F.explode(every).alias("gram")).join(F.broadcast(wanted) if few else wanted, "gram").select(*key, needle)
+    return held.join(texts.select(*key, text), key).where(F.contains(F.col(text), F.col(needle))).select(*key, needle)

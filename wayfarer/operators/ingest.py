@@ -141,20 +141,26 @@ def ingest(sections: DataFrame, authority: DataFrame, points: DataFrame, similar
     no_places = F.array().cast(PLACE)
     renamed = F.create_map(*[F.lit(v) for pair in rules.renamed.items() for v in pair]) if rules.renamed else None
     called = lambda p: F.coalesce(F.element_at(renamed, p["label"]), p["label"]) if renamed is not None else p["label"]
-    runs = lambda c: F.transform(F.regexp_extract_all(c, F.lit(r"(\S+(?:\s+\S+){0,5})"), 1), lambda r: F.regexp_replace(r, "^[ .,;:··]+|[ .,;:··]+$", ""))
-    s = sections.select("route", "section", "chunk", "text", "original", F.coalesce("places", no_places).alias("places"), F.filter(F.coalesce("goods", F.array().cast("array<string>")), lambda g: g.isNotNull() & (g != "")).alias("goods"), X.distance(F.col("text")).alias("distance"))
-    s = s.withColumns({f"{c}_runs": F.coalesce(runs(F.col(c)), F.array().cast("array<string>")) for c in ("text", "original")})
-    # written, so that runs and their label forms are made once a section
-    s = written(s.withColumns({f"{c}_forms": F.transform(f"{c}_runs", X.fold_alnum) for c in ("text", "original")}))
+    runs = lambda c: F.coalesce(F.transform(F.regexp_extract_all(c, F.lit(r"(\S+(?:\s+\S+){0,5})"), 1), lambda r: F.regexp_replace(r, "^[ .,;:··]+|[ .,;:··]+$", "")), F.array().cast("array<string>"))
+    bound = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # noqa: E731  made once, however often the body names it
 
-    def standing(c: str, surface: Column) -> Column:
+    def standing(c: str, surface: Column, m: Column) -> Column:
         """The surface where the text holds it, else the run of the same label form, else null."""
         form = F.nullif(X.fold_alnum(surface), F.lit(""))
-        return F.when((surface != "") & F.contains(F.col(c), surface), surface).otherwise(F.get(f"{c}_runs", F.nullif(F.array_position(f"{c}_forms", form), F.lit(0)).cast("int") - 1))
+        return F.when((surface != "") & F.contains(F.col(c), surface), surface).otherwise(F.get(m[c], F.nullif(F.array_position(m[f"{c}_forms"], form), F.lit(0)).cast("int") - 1))
 
-    seen = F.transform("places", lambda p: F.struct(called(p).alias("label"), p["surface"].alias("surface"), p["role"].alias("role"), p["note"].alias("note"), F.coalesce(standing("text", called(p)), called(p)).alias("in_text"), standing("original", F.coalesce(p["surface"], F.lit(""))).alias("in_original")))
-    s = s.withColumn("places", seen)
-    spoken = s.select("route", "section", F.posexplode("places").alias("at", "p")).select("route", "section", "at", "p.*").withColumn("norm", X.fold_alnum("label")).where("norm <> ''")
+    def seen(m: Column) -> Column:
+        return F.transform(F.coalesce("places", no_places), lambda p: F.struct(called(p).alias("label"), p["surface"].alias("surface"), p["role"].alias("role"), p["note"].alias("note"), F.coalesce(standing("text", called(p), m), called(p)).alias("in_text"), standing("original", F.coalesce(p["surface"], F.lit("")), m).alias("in_original")))
+
+    def with_forms(m: Column) -> Column:
+        return F.struct(*[m[c].alias(c) for c in ("text", "original")], *[F.transform(m[c], X.fold_alnum).alias(f"{c}_forms") for c in ("text", "original")])
+
+    both = F.struct(runs(F.col("text")).alias("text"), runs(F.col("original")).alias("original"))
+    goods = F.filter(F.coalesce("goods", F.array().cast("array<string>")), lambda g: g.isNotNull() & (g != ""))
+    # of the sections only what is small travels; texts are read again where they are searched
+    s = written(sections.select("route", "section", "chunk", goods.alias("goods"), X.distance(F.col("text")).alias("distance")))
+    found = bound(both, lambda m: bound(with_forms(m), seen))
+    spoken = written(sections.where(F.size("places") > 0).select("route", "section", F.posexplode(found).alias("at", "p")).select("route", "section", "at", "p.*").withColumn("norm", X.fold_alnum("label")).where("norm <> ''"))
 
     # the places: of the authority, then new ones in the order of their first labels
     rank = lambda new, a, b: F.struct(F.lit(new).alias("new"), a.cast("long").alias("a"), b.cast("long").alias("b"))
@@ -183,12 +189,11 @@ def ingest(sections: DataFrame, authority: DataFrame, points: DataFrame, similar
     spoken = written(spoken.join(creates, ["norm", "section", "at"], "left").join(places.select("place_key", "mapped"), "place_key").withColumn("is_main", F.coalesce(main, F.lit(False))))
 
     # names that stand in a text though no label says so
-    sides = s.select("section", F.explode(F.array(F.struct(F.lit(0).alias("side"), "text"), F.struct(F.lit(1).alias("side"), F.col("original").alias("text")))).alias("t")).select("section", "t.*").where("text <> ''")
+    sides = sections.select("section", F.explode(F.array(F.struct(F.lit(0).alias("side"), "text"), F.struct(F.lit(1).alias("side"), F.col("original").alias("text")))).alias("t")).select("section", "t.*").where("text <> ''")
     terms = places.select("place_key", "rank", "mapped", F.posexplode(_terms("display_name", "aliases", "names")).alias("term_at", "term"))
     needles = written(terms.select("term").distinct().withColumn("norm", X.fold_alnum("term")))
     exact = written(G.containing(sides, ["section", "side"], "text", needles, "term"))
-    runs = s.select("section", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text_runs").alias("runs"), F.col("text_forms").alias("forms")), F.struct(F.lit(1).alias("side"), F.col("original_runs").alias("runs"), F.col("original_forms").alias("forms")))).alias("t"))
-    runs = runs.select("section", "t.side", F.posexplode(F.arrays_zip("t.runs", "t.forms")).alias("run_at", "r")).select("section", "side", "run_at", F.col("r.runs").alias("run"), F.col("r.forms").alias("norm")).where("norm <> ''")
+    runs = sides.select("section", "side", F.posexplode(runs(F.col("text"))).alias("run_at", "run")).withColumn("norm", X.fold_alnum("run")).where("norm <> ''")
     aligned = runs.join(needles, "norm").join(exact, ["section", "side", "term"], "left_anti").groupBy("section", "side", "term").agg(F.min_by("run", "run_at").alias("surface"))
     met = exact.withColumn("surface", F.col("term")).unionByName(aligned).join(terms, "term").where("rank.new = 0 OR rank.a <= section")
     met = written(met.select("section", "side", "place_key", "rank", "mapped", "term_at", "surface"))
