@@ -274,7 +274,8 @@ def transliterations(x: Column) -> Column:
         return F.array(*[F.when(s.endswith(a) & (F.length(s) >= n), F.concat(F.substr(s, F.lit(1), F.length(s) - len(a)), F.lit(b))).otherwise(s) for a, b, n in ENDINGS])
 
     for change in (swap("k", "c"), swap("y", "u"), endings, swap("ai", "ae")):
-        found = F.array_distinct(F.concat(found, F.flatten(F.transform(found, change))))
+        # as an element of an array, so that what is found so far is made once and not for each time it is named
+        found = F.get(F.transform(F.array(found), lambda so_far: F.array_distinct(F.concat(so_far, F.flatten(F.transform(so_far, change))))), F.lit(0))
     return F.array_sort(F.filter(found, lambda s: s != ""))
 
 

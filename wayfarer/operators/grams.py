@@ -13,10 +13,7 @@ LONG, BROADCAST_ROWS = 8, 400_000
 
 def grams(x: Column, size: int) -> Column:
     """All runs of ``size`` letters of a text, in order; none in a shorter one."""
-    letters = F.filter(F.split(x, ""), lambda c: c != "")
-    # arrays side by side: to cut a long text at a place takes as long as the place is far, and a lambda would split it again for each letter
-    beside = F.arrays_zip(*[F.slice(letters, k + 1, F.greatest(F.size(letters) - k, F.lit(0))).alias(f"_{k}") for k in range(size)])
-    return F.filter(F.transform(beside, lambda p: F.concat(*[p[f"_{k}"] for k in range(size)])), lambda g: g.isNotNull())
+    return F.coalesce(F.regexp_extract_all(x, F.lit(f"(?s)(?=(.{{{size}}}))"), 1), F.array().cast("array<string>"))
 
 
 def containing(texts: DataFrame, key: list[str], text: str, needles: DataFrame, needle: str) -> DataFrame:
