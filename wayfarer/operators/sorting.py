@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfarer.sources.scratch import written
+
 #: Keys drawn to place the borders of the ranges: the work per range depends on them, the results do not.
 DRAWN = 2_000
 
@@ -27,16 +29,19 @@ def ranged(df: DataFrame, order: list[Column]) -> DataFrame:
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` with ``name``, the place of each row from 1 on by the ascending ``order``, which must be total and without nulls.
 
-    Rows are dealt to ranges of the order and numbered within each range; the
+    Rows are dealt to ranges of the order, sorted, numbered within each range and written once; the
     counts of the ranges, one row each, give what to add.
     """
-    rows = ranged(df, order)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # what an id of this function holds: the range above the place within it
+    at = F.monotonically_increasing_id()
+    rows = written(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", at))
+    rows = rows.withColumns({"_range": F.shiftright("_at", 33), "_within": F.col("_at").bitwiseAND(F.lit(2**33 - 1))})
     counts = rows.groupBy("_range").agg(F.count("*").alias("_n"))
     # as many rows as there are ranges
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy("_key"))
-    placed = rows.withColumn("_within", within).join(F.broadcast(counts.select("_range", before.alias("_before"))), "_range")
-    return placed.withColumn(name, (F.col("_within") + F.col("_before")).cast("int")).drop("_key", "_range", "_within", "_before")
+    placed = rows.join(F.broadcast(counts.select("_range", before.alias("_before"))), "_range")
+    return placed.withColumn(name, (F.col("_within") + F.col("_before") + 1).cast("int")).drop("_at", "_range", "_within", "_before")
 
 
 def carry(rows: DataFrame, values: dict[str, Column], current: bool = False, then: tuple[str, ...] = ()) -> DataFrame:
