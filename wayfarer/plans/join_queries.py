@@ -246,8 +246,7 @@ def q_corridor(t: Tables) -> DataFrame:
 )
 def q_term_overlap(t: Tables) -> DataFrame:
     words = F.filter(F.split(F.lower(F.regexp_extract("html", "<h1>([^<]*)", 1)), " "), lambda x: F.length(x) > 9)
-    terms = t.pages.select("page_id", F.explode(F.array_distinct(words)).alias("term"))
-    return terms.join(terms.withColumnRenamed("page_id", "other"), "term").where("page_id < other").select("page_id", "other").distinct()
+    return joins.overlapping(t.pages.select("page_id", words.alias("terms")), "page_id", "terms", "other")
 
 
 @query(
