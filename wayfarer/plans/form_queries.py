@@ -87,7 +87,7 @@ def q_citation_parse(t: Tables) -> DataFrame:
     n, page = F.col("l_linenumber"), F.col("l_partkey")
     end_page, end_line = F.when(n % 3 == 0, page + 1).otherwise(page), F.when(n % 3 == 0, 4).when(n % 3 == 1, n + 2).otherwise(n)
     parsed = X.parse_citation(X.citation(F.lit("XI"), page, n, end_page, end_line))
-    return t.lineitem.select("l_orderkey", "l_linenumber", *[parsed[c].alias(c) for c in ("volume", "page", "line", "end_page", "end_line")])
+    return t.lineitem.select("l_orderkey", "l_linenumber", parsed.alias("c")).select("l_orderkey", "l_linenumber", "c.volume", "c.page", "c.line", "c.end_page", "c.end_line")
 
 
 @query(
