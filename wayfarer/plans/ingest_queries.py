@@ -125,7 +125,9 @@ def q_section_ingest(t: Tables) -> DataFrame:
     phrase = F.when(d % 5 == 0, F.concat(F.lit("About "), (100 + d % 50).cast("string"), F.lit(" stades"))).when(d % 5 == 1, "two runs")
     words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{12,})"), 1)
     roles = F.array(*[F.lit(r) for r in ("destination_port", "region", "route_or_intermediate_place", "source_place")])
-    places = F.transform(words, lambda w, i: F.struct(w.alias("label"), F.when(i % 3 == 0, F.get(words, i + 1)).alias("surface"), F.get(roles, ((i + d) % 4).cast("int")).alias("role"), F.lit("").alias("note")))
+    # the words are made once for each text, not once more for each of them
+    labels = lambda all_: F.transform(all_, lambda w, i: F.struct(w.alias("label"), F.when(i % 3 == 0, F.get(all_, i + 1)).alias("surface"), F.get(roles, ((i + d) % 4).cast("int")).alias("role"), F.lit("").alias("note")))
+    places = F.get(F.transform(F.array(words), labels), F.lit(0))
     text = F.concat("text", F.coalesce(F.concat(F.lit(". "), phrase), F.lit("")))
     sections = t.documents.select(F.coalesce("lang", F.lit("none")).alias("route"), d.alias("section"), F.concat(F.lit("d"), d.cast("string")).alias("chunk"), text.alias("text"), F.col("source").alias("original"), places.alias("places"), F.when(d % 3 == 0, F.array("source")).alias("goods"))
     similar = lambda a, b: 1.0 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
