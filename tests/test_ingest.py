@@ -254,3 +254,32 @@ def test_tei_sentences_equal_the_walk(spark):
     plain = lambda rows: sorted(tuple(r[c] for c in ("k", "page", "line", "end_page", "end_line", "sentence")) for r in rows)
     assert len(walked) > 150
     assert plain(got) == plain(walked)
+
+
+def test_tei_sentences_of_texts_in_parts(spark):
+    """A text longer than a segment is cut and dealt out, within a note or a comment's neighbourhood too; each text counts for itself, and what pb and lb hold is no text."""
+    rng = np.random.default_rng(10)
+    parts = ["word ", "two. ", "; ", " \n", " a &amp;lt; b&#183; c&#38;lt; ", "<lb/>", "<lb></lb>", '<pb n="7"/>', "<pb ed=\" n='4'\" n='8'>no. </pb>", "<note>out. <lb/><pb n='0'/>", "</note>", "<hi>mid</hi>", "·", "<!-- no. <lb/> <note> -->", "<![CDATA[raw < a. <lb/>b]]>", "<note/>", "<?pi <note>.?>", "long words without a stop " * 3]
+    docs = []
+    for k in range(80):
+        text, depth = "", 0
+        for b in (parts[p] for p in rng.choice(len(parts), rng.integers(0, 60))):
+            if b == "</note>" and not depth:
+                continue
+            depth += b.startswith("<note>") - (b == "</note>")
+            text += b
+        docs.append((f"d{k}", f"<TEI><text>{text}{'</note>' * depth}</text></TEI>"))
+    df = spark.createDataFrame([*docs, ("none", None), ("empty", "<TEI/>")], "k string, t string")
+    plain = lambda rows: sorted(tuple(r[c] for c in ("k", "page", "line", "end_page", "end_line", "sentence")) for r in rows)
+    walked = plain(files.tei_sentences(df, "t").collect())
+    assert len(walked) > 300
+    whole = tei.sentences(df, "k", "t").collect()
+    assert plain(whole) == walked
+    assert all(r.number < 60 * 3 for r in whole)
+    for size in (1, 40, 300):
+        cut = tei.sentences(df, "k", "t", size).collect()
+        assert plain(cut) == walked
+        assert sorted(map(tuple, cut)) == sorted(map(tuple, whole))
+    assert max(len(list(tei._cut(t, 40))) for _, t in docs) > 10 and all("".join(tei._cut(t, 40)) == t for _, t in docs)
+    # what is read in one pass is not shuffled
+    assert "Exchange" not in tei._short(df, "k", "t")._jdf.queryExecution().executedPlan().toString()
