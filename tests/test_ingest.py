@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wayfarer.operators import gram_index, grams, ingest
 from wayfarer.operators.sorting import carried
-from wayfarer.sources import files, tei
+from wayfarer.sources import edits, files, tei
 
 SECTIONS = f"route string, section long, chunk string, text string, original string, places {ingest.PLACE}, goods array<string>"
 AUTHORITY = "place_key string, place_order long, display_name string, aliases array<string>, names array<string>, place_type string, lat double, lon double"
@@ -283,3 +283,26 @@ def test_tei_sentences_of_texts_in_parts(spark):
     assert max(len(list(tei._cut(t, 40))) for _, t in docs) > 10 and all("".join(tei._cut(t, 40)) == t for _, t in docs)
     # what is read in one pass is not shuffled
     assert "Exchange" not in tei._short(df, "k", "t")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_claims_are_read_in_one_pass(spark):
+    """A chapter without a number shifts no offsets, references are read once, and neither blocks nor claims of a text are shuffled."""
+    head = '<div type="textpart" subtype='
+    xml = f'<TEI>{head}"chapter">x Ilion</div>{head}"book" n="1">{head}"chapter" n="1"><p>Über  Ilion &#38;lt; <note>a\nb</note>é\u0301 sea</p></div>{head}"chapter">y</div>{head}"chapter" n="2"><p>to sea</p></div></div></TEI>'
+    texts = spark.createDataFrame([(1, xml), (2, None), (3, "<TEI/>")], "k int, t string")
+    assert {(r.k, r.book, r.chapter, xml[r["at"] :].startswith(r.block)) for r in edits.chapter_blocks(texts, "k", "t").collect()} == {(1, "1", "1", True), (1, "1", "2", True)}
+    claims = spark.createDataFrame([(1, "1", "1", 0, "Ilion"), (1, "1", "2", 1, "sea"), (3, "1", "1", 2, "sea")], 'k int, book string, chapter string, `order` int, surface string')
+    pairs = [("ref", F.lit("x/7")), ("ingredient_key", F.lit("m")), ("relation", F.lit("in")), ("claim_order", F.col("order")), ("evidence_phrase", F.when(F.col("order") == 0, "&lt; É sea"))]
+    made, errors = edits.annotate_claims(texts, "k", "t", claims, pairs)
+    text = {r.k: r.t for r in made.collect()}
+    assert text[1].count("<placeName") == 2 and text[1].count(">Ilion</placeName>") == 1 and ">sea</placeName></p></div></div></TEI>" in text[1]
+    assert [(r.k, r.reason) for r in errors.collect()] == [(3, "no chapter")]
+    places = spark.createDataFrame([("7", "P", "precise", False)], "place_id string, title string, precision string, broad boolean")
+    good, bad = edits.claims(made, "k", "t", places)
+    assert bad.count() == 0
+    got = {r.chapter: r for r in good.collect()}
+    body = "Über Ilion &lt; é\u0301 sea"
+    assert got["1"].evidence_span == (body.index("&"), len(body)) and got["1"].place_span == (5, 10) and got["2"].place_span == (3, 6)
+    for df in (edits.chapter_blocks(texts, "k", "t"), edits.claims(texts, "k", "t", F.broadcast(places))[0]):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "Exchange hashpartitioning" not in plan

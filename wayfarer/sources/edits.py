@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfarer.functions import keyed
 from wayfarer.functions import text as X
-from wayfarer.sources.tei import unescape
+from wayfarer.sources.tei import batches, plain
 
 
 def refused(edits: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -33,17 +38,37 @@ def attributes(pairs: list[tuple[str, Column]]) -> Column:
     return F.concat(*[F.when(F.coalesce(v.cast("string"), F.lit("")) != "", F.concat(F.lit(f' {n}="'), X.html_escape(v.cast("string")), F.lit('"'))).otherwise("") for n, v in pairs])
 
 
+_HEAD = re.compile(r'<div type="textpart" subtype="(book|chapter)"(?: n="([^"]+)">)?')
+
+
+def _blocks(x: str) -> Iterator[tuple[str | None, str, str, int]]:
+    heads, book = list(_HEAD.finditer(x)), None
+    for m, end in zip(heads, [*(h.start() for h in heads), len(x)][1:], strict=True):
+        if m[2] and m[1] == "book":
+            book = m[2]
+        elif m[2]:
+            yield book, m[2], x[m.start() : end], m.start()
+
+
+def _read(texts: DataFrame, key: str, text: str, rows: Callable[[str], Iterator[tuple]], columns: dict[str, str], heavy: int) -> DataFrame:
+    """A row for each that ``rows`` finds in a text, in the task that holds it."""
+    kinds = {"string": pa.string(), "int": pa.int32()}
+
+    def found(part: pa.RecordBatch) -> Iterator[tuple]:
+        for k, x in zip(part.column(key), part.column(text), strict=True):
+            k = k.as_py()
+            yield from ((k, *row) for row in rows(x.as_py() or ""))
+
+    def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in given:
+            yield from batches(found(part), {key: part.schema.field(key).type} | {n: kinds[t] for n, t in columns.items()}, heavy)
+
+    return texts.select(key, text).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in ({key: texts.schema[key].dataType.simpleString()} | columns).items()))
+
+
 def chapter_blocks(texts: DataFrame, key: str, text: str) -> DataFrame:
     """``key``, ``book``, ``chapter``, ``block`` (raw, from its opening tag to the next chapter or book) and its ``at`` in the raw text."""
-    part = r'(?s)(<div type="textpart" subtype="(?:book|chapter)" n="[^"]+">.*?(?=<div type="textpart" subtype="(?:book|chapter)"|\z))'
-    head = F.regexp_extract(text, r'(?s)\A(.*?)(?=<div type="textpart" subtype="(?:book|chapter)"|\z)', 1)
-    rows = texts.select(key, F.length(head).alias("_head"), F.posexplode(F.regexp_extract_all(text, F.lit(part), 1)).alias("_i", "block"))
-    # parts of one document, in order
-    order = Window.partitionBy(key).orderBy("_i")
-    kind, n = F.regexp_extract("block", 'subtype="([a-z]+)"', 1), F.regexp_extract("block", 'n="([^"]+)"', 1)
-    rows = rows.withColumns({"at": F.col("_head") + F.sum(F.length("block")).over(order) - F.length("block"), "_kind": kind, "_n": n})
-    rows = rows.withColumn("book", F.last(F.when(F.col("_kind") == "book", F.col("_n")), ignorenulls=True).over(order))
-    return rows.where("_kind = 'chapter'").select(key, "book", F.col("_n").alias("chapter"), "block", F.col("at").cast("int").alias("at"))
+    return _read(texts, key, text, _blocks, {"book": "string", "chapter": "string", "block": "string", "at": "int"}, 3)
 
 
 def annotate_claims(texts: DataFrame, key: str, text: str, claims: DataFrame, pairs: list[tuple[str, Column]]) -> tuple[DataFrame, DataFrame]:
@@ -66,9 +91,28 @@ def annotate_claims(texts: DataFrame, key: str, text: str, claims: DataFrame, pa
     return apply_edits(texts, key, text, made.select(key, "start", "end", "replacement", "order")), errors
 
 
-def _attribute_map(tag: Column) -> Column:
-    one = lambda i: F.regexp_extract_all(tag, F.lit(r'([\w:.-]+)\s*=\s*"([^"]*)"'), i)
-    return F.map_from_arrays(one(1), F.transform(one(2), unescape))
+_ELEMENT = re.compile(r"(?s)<placeName\b[^>]*>.*?</placeName>")
+_ATTRIBUTE = re.compile(r'([\w:.-]+)\s*=\s*"([^"]*)"')
+_NOTE, _TAG, _SPACES = re.compile(r"(?s)<note\b.*?</note>"), re.compile("<[^>]*>"), re.compile(r"[ \t\n\f\r]+")
+#: What is read of an element.
+_SAID = ["ingredient_key", "relation", "ref", "claim_order", "cert", "evidence_phrase", "warnings"]
+
+
+def _said(x: str) -> str:
+    return _SPACES.sub(" ", plain(_TAG.sub("", _NOTE.sub("", x)))).strip(" ")
+
+
+def _elements(x: str) -> Iterator[tuple]:
+    """The claims of a text, with the places of evidence (else the surface) and surface in the text of their chapter."""
+    for book, chapter, block, _ in _blocks(x):
+        body = None
+        for node, m in enumerate(_ELEMENT.finditer(block)):
+            held = {n: plain(v) for n, v in _ATTRIBUTE.findall(_TAG.match(m[0])[0])}
+            if held.get("ingredient_key"):
+                body = body or keyed.Folded(_said(block))
+                surface = _said(m[0])
+                spans = [body.find(keyed.key_text(n).rstrip(" ")) or (None, None) for n in (held.get("evidence_phrase") or surface, surface)]
+                yield (book, chapter, node, surface, *(held.get(n, "") for n in _SAID), *spans[0], *spans[1])
 
 
 # Confidence by certainty.
@@ -82,20 +126,15 @@ def claims(texts: DataFrame, key: str, text: str, places: DataFrame, deprecated:
     chapter's text without notes and with white space collapsed.  ``places``: ``place_id``,
     ``title``, ``precision``, ``broad``.
     """
-    blocks = chapter_blocks(texts, key, text)
-    body = F.trim(F.regexp_replace(unescape(X.strip_tags(F.col("block"))), r"\s+", " "))
-    blocks = blocks.withColumn("body", body)
-    found = blocks.select(key, "book", "chapter", "body", F.posexplode(F.regexp_extract_all("block", F.lit(r"(?s)(<placeName\b[^>]*>.*?</placeName>)"), 1)).alias("node", "element"))
-    found = found.withColumns({"a": _attribute_map(F.regexp_extract("element", "^<[^>]*>", 0)), "surface": F.trim(F.regexp_replace(unescape(X.strip_tags(F.col("element"))), r"\s+", " "))})
-    a = lambda n: F.coalesce(F.element_at("a", n), F.lit(""))
-    found = found.where(a("ingredient_key") != "")
+    columns = {"book": "string", "chapter": "string", "node": "int", "surface": "string", **dict.fromkeys(_SAID, "string"), **dict.fromkeys(["e0", "e1", "s0", "s1"], "int")}
+    found = _read(texts, key, text, _elements, columns, 4)
+    span = lambda a, b: F.when(F.col(a).isNotNull(), F.struct(F.col(a).alias("start"), F.col(b).alias("end")))
     found = found.select(
-        key, "book", "chapter", "node", "body", "surface", a("ingredient_key").alias("ingredient_key"), a("relation").alias("relation"), F.regexp_extract(a("ref"), r"(\d+)/?$", 1).alias("place_id"), a("claim_order").alias("claim_order"),
-        F.when(a("cert") == "", "secure").otherwise(a("cert")).alias("cert"), F.when(a("evidence_phrase") == "", F.col("surface")).otherwise(a("evidence_phrase")).alias("evidence"), F.filter(F.split(a("warnings"), r"\s+"), lambda w: w != "").alias("warnings"),
+        key, "book", "chapter", "node", "surface", "ingredient_key", "relation", F.regexp_extract("ref", r"(\d+)/?$", 1).alias("place_id"), "claim_order",
+        F.when(F.col("cert") == "", "secure").otherwise(F.col("cert")).alias("cert"), F.when(F.col("evidence_phrase") == "", F.col("surface")).otherwise(F.col("evidence_phrase")).alias("evidence"),
+        F.filter(F.split("warnings", r"\s+"), lambda w: w != "").alias("warnings"), span("e0", "e1").alias("evidence_span"), span("s0", "s1").alias("place_span"),
     )
     found = found.join(places.select("place_id", "title", "precision", "broad", F.lit(True).alias("_known")), "place_id", "left")
-    spans = {n: X.find_folded(F.col("body"), F.col(c)) for n, c in (("evidence_span", "evidence"), ("place_span", "surface"))}
-    found = found.withColumns(spans)
     reason = (
         F.when(F.col("place_id") == "", "no reference").when(F.col("place_id").isin(*deprecated), "deprecated reference").when(F.col("_known").isNull(), "unknown place").when(F.col("relation") == "", "no relation")
         .when(~F.col("claim_order").rlike(r"^\d+$"), "no numeric order").when(F.col("evidence_span").isNull(), "evidence not in text").when(F.col("place_span").isNull(), "surface not in text")

@@ -6,15 +6,15 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfarer.sources.scratch import written
 
 #: Letters of a text that are read in one pass; longer texts are cut and dealt out. The work of a task depends on it, the results do not.
 SEGMENT = 1 << 20
-#: Rows of a batch that a task gives back.
-_BATCH = 20_000
+#: Rows and letters of a batch that a task gives back.
+_ROWS, _LETTERS = 20_000, 1 << 22
 
 _PIECE = re.compile(r"(?sa)(?P<text>[^<]+)|<!--.*?-->|<!\[CDATA\[(?P<raw>.*?)\]\]>|<\?.*?\?>|<(?P<end>/?)(?:[\w.-]+:)?(?P<tag>[\w.-]*)[^>]*>")
 #: What may hold a "<" that begins no piece.
@@ -28,30 +28,18 @@ _WHITE = " \t\n\f\r"
 _SILENT = {"note", "pb", "lb"}
 
 
-def unescape(x: Column) -> Column:
-    """Text with its character references as characters."""
-    # what stands before the first "&#", then for each a number in hex or decimal, and what follows
-    parts = F.split(x, "&#", -1)
-    number = lambda p: F.when(p.rlike("^[xX]"), F.conv(F.regexp_extract(p, "^[xX]([0-9a-fA-F]+);", 1), 16, 10)).otherwise(F.regexp_extract(p, "^([0-9]+);", 1)).cast("bigint")
-    letter = lambda p: F.decode(F.unhex(F.lpad(F.hex(number(p)), 8, "0")), "UTF-32")
-    said = lambda p: F.when(p.rlike("^([0-9]+|[xX][0-9a-fA-F]+);"), F.concat(letter(p), F.regexp_replace(p, "^[^;]*;", ""))).otherwise(F.concat(F.lit("&#"), p))
-    y = F.when(F.contains(x, F.lit("&#")), F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), said), ""))).otherwise(x)
-    for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
-        y = F.replace(y, F.lit(f"&{name};"), F.lit(sign))
-    return y
-
-
 def _letter(m: re.Match) -> str:
     code = int(m[1]) if m[1] else int(m[2], 16) if m[2] else ord(_NAMED[m[3]])
     return chr(code) if code < 0xD800 or 0xDFFF < code < 0x110000 else m[0]
 
 
-def _plain(x: str) -> str:
+def plain(x: str) -> str:
+    """A text with its character references as characters; each is read once."""
     return _REFERENCE.sub(_letter, x) if "&" in x else x
 
 
 def _page(tag: str) -> str:
-    return next((_plain(a if a is not None else b) for n, a, b in (m.groups() for m in _ATTRIBUTE.finditer(tag)) if n == "n"), "")
+    return next((plain(a if a is not None else b) for n, a, b in (m.groups() for m in _ATTRIBUTE.finditer(tag)) if n == "n"), "")
 
 
 def _scan(xml: str, depth: int, page: str | None) -> tuple[list[tuple], str | None, int]:
@@ -76,7 +64,7 @@ def _scan(xml: str, depth: int, page: str | None) -> tuple[list[tuple], str | No
                 line += 1
             depth += not m[0].endswith("/>")
         elif kind and not depth:
-            for part in _PART.findall(_plain(m[0]) if kind == "text" else m["raw"]):
+            for part in _PART.findall(plain(m[0]) if kind == "text" else m["raw"]):
                 if first[1] is None and part.strip(_WHITE):
                     first = page, line
                 said += part
@@ -114,18 +102,19 @@ def _cut(xml: str, size: int) -> Iterator[str]:
 _SPOKEN = {"number": pa.int64(), "page": pa.string(), "line": pa.int32(), "end_page": pa.string(), "end_line": pa.int32(), "said": pa.string(), "ended": pa.bool_()}
 
 
-def _batches(found: Iterator[tuple], keyed: pa.DataType, more: dict[str, pa.DataType], key: str) -> Iterator[pa.RecordBatch]:
-    kinds = {key: keyed} | more
-    held = []
+def batches(found: Iterator[tuple], kinds: dict[str, pa.DataType], heavy: int) -> Iterator[pa.RecordBatch]:
+    """Rows in batches that are bounded in rows and in the letters of the text at place ``heavy`` of a row."""
+    held, letters = [], 0
 
     def batch() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds.values(), strict=True)], list(kinds))
 
     for row in found:
         held.append(row)
-        if len(held) == _BATCH:
+        letters += len(row[heavy] or "")
+        if len(held) == _ROWS or letters > _LETTERS:
             yield batch()
-            held = []
+            held, letters = [], 0
     if held:
         yield batch()
 
@@ -140,9 +129,9 @@ def _short(texts: DataFrame, key: str, text: str) -> DataFrame:
                 if line is not None:
                     yield (k, n, page, line, *rest)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            yield from _batches(read(part), part.schema.field(key).type, _SPOKEN, key)
+    def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in given:
+            yield from batches(read(part), {key: part.schema.field(key).type} | _SPOKEN, 6)
 
     kind = texts.schema[key].dataType.simpleString()
     return texts.select(key, text).mapInArrow(run, f"`{key}` {kind}, number long, page string, line int, end_page string, end_line int, said string, ended boolean").drop("ended")
@@ -152,8 +141,8 @@ def _long(texts: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """The same of longer texts: their parts are read where they are dealt to, each from the least depth on that it comes to, and set right by what the parts before hold."""
     kind = texts.schema[key].dataType.simpleString()
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
+    def cut(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in given:
             for k, xml in zip(part.column(key), part.column(text), strict=True):
                 for seq, x in enumerate(_cut(xml.as_py(), size)):
                     yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], k.type), pa.array([seq], pa.int32()), pa.array([x])], [key, "seq", "xml"])
@@ -168,9 +157,9 @@ def _long(texts: DataFrame, key: str, text: str, size: int) -> DataFrame:
             # what the part leaves behind; ``number``: the sentences that end in it
             yield (k, sum(r[5] for r in rows), page, line, None, None, None, None, seq, step, least)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            yield from _batches(read(part), part.schema.field(key).type, _SPOKEN | {"seq": pa.int32(), "step": pa.int32(), "least": pa.int32()}, key)
+    def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in given:
+            yield from batches(read(part), {key: part.schema.field(key).type} | _SPOKEN | {"seq": pa.int32(), "step": pa.int32(), "least": pa.int32()}, 6)
 
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = texts.select(key, text).mapInArrow(cut, f"`{key}` {kind}, seq int, xml string").repartition(parts, key, "seq")
