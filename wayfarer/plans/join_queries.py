@@ -176,19 +176,16 @@ def q_strict_lookup(t: Tables) -> DataFrame:
        GROUP BY 1, 2, 3"""
 )
 def q_basic_joins(t: Tables) -> DataFrame:
-    # a number for each name until the groups are made (25 rows); of the parts only those whose names count
-    nations = t.nation.select("n_nationkey", "n_name", F.dense_rank().over(Window.orderBy("n_name")).alias("_n"))
-    number = lambda key, name: nations.select(F.col("n_nationkey").alias(key), F.col("_n").alias(name))
-    names = lambda number, name: nations.select(F.col("_n").alias(number), F.col("n_name").alias(name)).distinct()
-    suppliers = t.supplier.select("s_suppkey", "s_nationkey").join(number("s_nationkey", "_to"), "s_nationkey")
+    nation = lambda key, name: t.nation.select(F.col("n_nationkey").alias(key), F.col("n_name").alias(name))
+    suppliers = t.supplier.select("s_suppkey", "s_nationkey").join(nation("s_nationkey", "to_nation"), "s_nationkey").select("s_suppkey", "to_nation")
     lines = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity").join(suppliers, F.col("s_suppkey") == F.col("l_suppkey"))
-    lines = lines.join(t.part.where("p_size > 45").select("p_partkey", "p_name"), F.col("p_partkey") == F.col("l_partkey"), "left").select("l_orderkey", "_to", "l_quantity", "p_name")
+    lines = lines.join(t.part.select("p_partkey", "p_name", "p_size"), F.col("p_partkey") == F.col("l_partkey"), "left")
+    lines = lines.select("l_orderkey", "to_nation", "l_quantity", F.when(F.col("p_size") > 45, F.col("p_name")).alias("big"))
     # the orders come last, so that lines lie by order when they are grouped
-    customers = t.customer.select("c_custkey", "c_nationkey").join(number("c_nationkey", "_from"), "c_nationkey")
-    orders = t.orders.select("o_orderkey", "o_custkey").join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "_from")
-    rows = orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderkey", "_from", "_to").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"), F.coalesce(F.max("p_name"), F.lit("unmapped")).alias("big"))
-    rows = rows.join(F.broadcast(names("_from", "from_nation")), "_from").join(F.broadcast(names("_to", "to_nation")), "_to")
-    return rows.select("o_orderkey", "from_nation", "to_nation", "n", "quantity", "big")
+    customers = t.customer.select("c_custkey", "c_nationkey").join(nation("c_nationkey", "from_nation"), "c_nationkey").select("c_custkey", "from_nation")
+    orders = t.orders.select("o_orderkey", "o_custkey").join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "from_nation")
+    rows = orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderkey", "from_nation", "to_nation")
+    return rows.agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"), F.coalesce(F.max("big"), F.lit("unmapped")).alias("big"))
 
 
 @query(
